@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe, mixing, quality, token_counts, toxicity
 from . import exact_dedup as exact
-from . import mixing, token_counts
+from .common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(df: DataFrame, n: int, rest: int) -> DataFrame:
+    """Adds held_out: whether crc32 of the id modulo n is `rest`."""
+    return df.withColumn("held_out", remainder("doc_id", n) == rest)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    fold = remainder("doc_id", 5)
+    model = toxicity.train(docs, labels, learn=fold.isin(1, 2, 3), tune=fold == 4)
+    return held_out(toxicity.score(docs, model), 5, 0).select("doc_id", "held_out", "score", "predicted", "toxic_ll", "ordinary_ll")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -35,7 +48,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_mixing, op7_exact_dedup)}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    trees = quality.train(docs, labels, learn=remainder("doc_id", 3) != 1)
+    return held_out(quality.classify(docs, trees), 3, 1).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_mixing, op7_exact_dedup, op8_quality, op10_bpe)}
 
 ORACLE: dict[str, str] = {
     "op3_mixing": r"""
