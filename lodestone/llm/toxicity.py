@@ -16,11 +16,11 @@ from .common import table, text_batches, text_of
 #: Labelled rows to learn from at most, first by hash of their ids. It bounds the models, and so what is broadcast.
 MAX_ROWS = 200_000
 #: Prefixes that fewer words begin with are not stored: they back off.
-MIN_COUNT = 3
+MIN_COUNT = 8
 #: Bytes of a word that its prefixes are told apart by.
 DEPTH = 24
-#: Words of a window; a text is also judged by its most toxic window, lest length dilutes an expression.
-WINDOW = 8
+#: A text is also judged by so many of its most toxic words, lest length dilutes them.
+TOP = 3
 #: Words that a counting task gathers before it passes them on, and that a scoring process keeps.
 FLUSH, KEPT = 200_000, 300_000
 
@@ -68,7 +68,7 @@ class Model:
         return float(ll[0]), float(ll[1])
 
     def statistics(self, texts: list[str], known: dict[bytes, tuple[float, float]]) -> np.ndarray:
-        """For each text: log-likelihood a word in each class, mean and best window's difference, log of the length.
+        """For each text: log-likelihood a word in each class, mean of its differences and of the TOP largest, log of the length.
 
         known: the words so far, kept for the next call.
         """
@@ -85,9 +85,9 @@ class Model:
                 ll = np.array([known[w] for w in tokens])
             except KeyError:  # the store was emptied while this text's words came in
                 ll = np.array([self.word(w) for w in tokens])
-            sums = np.concatenate([np.zeros((1, 2)), np.cumsum(ll, 0)])
-            diff, w = sums[:, 1] - sums[:, 0], min(len(tokens), WINDOW)
-            out[k] = [*sums[-1] / len(tokens), diff[-1] / len(tokens), (diff[w:] - diff[:-w]).max() / w, np.log1p(len(tokens))]
+            diff = ll[:, 1] - ll[:, 0]
+            top = np.partition(diff, len(diff) - TOP)[-TOP:] if len(diff) > TOP else diff
+            out[k] = [*ll.mean(0), diff.mean(), top.sum() / TOP, np.log1p(len(tokens))]
         return out
 
     def score(self, statistics: np.ndarray) -> np.ndarray:
@@ -227,8 +227,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, tune: Column, id_co
     ordered = tally.repartition(F.substring("word", 1, 2)).sortWithinPartitions("word")
     got = ordered.mapInArrow(lambda b: _prefixes(b, min_count), "prefix binary, ordinary long, toxic long").groupBy("prefix").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow()
     model = smooth(got.column("prefix").to_pylist(), np.stack([got.column(c).to_numpy() for c in ("ordinary", "toxic")], 1).astype(float).reshape(-1, 2), np.array([total[0] or 0, total[1] or 0], float))
-    names = ["mean", "best", "length"]
-    told = _apply(rows.where("tune").select("label", "text"), model, lambda s, head: [head, *(pa.array(s[:, k]) for k in (2, 3, 4))], ["label", *names], "label int, mean double, best double, length double").toArrow()
+    names = ["mean", "top", "length"]
+    told = _apply(rows.where("tune").select("label", "text"), model, lambda s, head: [head, *(pa.array(s[:, k]) for k in (2, 3, 4))], ["label", *names], "label int, mean double, top double, length double").toArrow()
     told = told.sort_by([(c, "ascending") for c in (*names, "label")])
     model.weights = calibrate(np.stack([told.column(c).to_numpy() for c in names], 1), told.column("label").to_numpy().astype(float))
     return model
