@@ -47,3 +47,20 @@ def remainder(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
 
+
+#: Slots of a table of keys that is broadcast: 2**20 rows of 8 bytes at most, whatever the number of keys.
+SLOTS = 1 << 20
+
+
+def slot(key: Column) -> Column:
+    return key.bitwiseAND(F.lit(SLOTS - 1).cast("long"))
+
+
+def slots_of(keys: DataFrame, key: str, label: str) -> DataFrame:
+    """The slots that the keys (64-bit hashes) fall into; SLOTS rows at most, so that it may be broadcast."""
+    return F.broadcast(table(keys.select(slot(F.col(key)).alias("taken")).distinct(), label))
+
+
+def may_have(df: DataFrame, key: str, slots: DataFrame) -> DataFrame:
+    """The rows of df whose key shares a slot with a wanted one: all that are wanted, and as few others as slots allow."""
+    return df.join(slots, slot(F.col(key)) == F.col("taken"), "left_semi")

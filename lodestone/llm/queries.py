@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, mixing, near_dedup, quality, token_counts, toxicity
+from . import bpe, line_dedup, mixing, near_dedup, quality, secrets, token_counts, toxicity
 from . import exact_dedup as exact
 from .common import remainder
 
@@ -44,6 +45,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -58,11 +63,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out(quality.classify(docs, trees), 3, 1).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_gone").cast("long").alias("n_gone"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_mixing, op5_near_dedup, op7_exact_dedup, op8_quality, op10_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_mixing, op4_secrets, op5_near_dedup, op7_exact_dedup, op8_quality, op9_line_dedup, op10_bpe)}
 
 ORACLE: dict[str, str] = {
     "op3_mixing": r"""
@@ -90,6 +100,7 @@ ORACLE: dict[str, str] = {
             FROM sized s JOIN whole w ON s.source IS NOT DISTINCT FROM w.source)
         SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN before + size / 2 <= goal THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM ordered""",
+    "op4_secrets": secrets.oracle(),
     "op7_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
