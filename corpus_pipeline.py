@@ -5,16 +5,59 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from lodestone.llm import bpe, line_dedup, mixing, near_dedup, quality
+from lodestone.llm.common import remainder, table
+from lodestone.llm.queries import tokenizer
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier accepts; it learns from the labels of two folds of three."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.accept(docs, quality.train(docs, labels, learn=remainder("doc_id", 3) != 1))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without lines that occur before; a document that loses all it says goes. n_chars follows the text."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    out = line_dedup.line_dedup(docs, carry=others).where((F.col("n_gone") == 0) | (F.btrim("text", F.lit(" \n\t\r\x0b\f")) != ""))
+    told = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    return out.select(*[told.get(c, F.col(f"carried.{c}")) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest id."""
+    gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the sources' target weights ask for."""
+    return mixing.repeat(docs, mixing.mix(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's token ids, and whether decoding gives its text again."""
+    return bpe.encode(docs, tokenizer("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", accept_quality),
+    ("lines", drop_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("mix", mix_sources),
+    ("bpe", encode),
+]
+
+#: A classifier and signatures are no SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over documents; each result is written to the shared folder and read again."""
-    from lodestone.llm.common import table
-
+    """All stages in turn over documents; each result but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

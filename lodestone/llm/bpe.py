@@ -192,16 +192,22 @@ def automaton(path: str) -> Automaton:
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of df: doc_id and ids (array of int). Null texts count as empty and have no ids."""
+    """One row for each row of df: doc_id, ids (array of int), n_tokens, and whether decoding gives the text again.
+
+    Null texts count as empty and have no ids. Only text that holds no valid UTF-8 fails to come back.
+    """
     text_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = automaton(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tool.encode(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            texts = batch.column(1).to_pylist()
+            ids = [tool.encode(t) for t in texts]
+            same = [tool.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "decodes"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>, n_tokens long, decodes boolean")
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

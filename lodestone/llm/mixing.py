@@ -74,7 +74,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 
 def repeat(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of df as often as mixed says; ids are to be unique in df."""
-    times = mixed.where("repeats > 0").select(F.col("doc_id").alias("key"), F.col("repeats").cast("int").alias("times"))
+    """The rows of df as often as mixed says. Rows that share an id are all repeated as often as the most repeated of them."""
+    times = mixed.where("repeats > 0").groupBy(F.col("doc_id").alias("key")).agg(F.max("repeats").cast("int").alias("times"))
     packed = df.select(F.col(id_col).alias("id"), F.struct("*").alias("row"))
     return packed.join(times, F.col("id").eqNullSafe(F.col("key"))).select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")

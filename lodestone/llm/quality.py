@@ -174,3 +174,16 @@ def classify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double, predicted int")
+
+
+def accept(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose whole text is predicted to have label 1, with all their columns and without a shuffle."""
+    text_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([features(t or "") for t in batch.column(at).to_pylist()], np.float64).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(trees.score(x) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
