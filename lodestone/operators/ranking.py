@@ -131,6 +131,6 @@ def cover_density(questions: DataFrame, positions: DataFrame) -> DataFrame:
     ordered = Window.partitionBy("query_id", "doc_id").orderBy("e")
     covers = spans.withColumn("next_s", F.lead("s").over(ordered)).where("next_s IS NULL OR next_s > s")
     covers = covers.withColumn("gap", (F.col("s") + F.col("e")) / 2 - F.lag((F.col("s") + F.col("e")) / 2).over(ordered))
-    summed = covers.groupBy("query_id", "doc_id").agg(F.sum(1.0 / (F.col("e") - F.col("s") + 2 - F.col("n"))).alias("weight"), F.avg(F.greatest("gap", F.lit(1.0))).alias("distance"))
+    summed = covers.groupBy("query_id", "doc_id").agg(F.sum(1.0 / (F.col("e") - F.col("s") + 2 - F.col("n"))).alias("weight"), F.avg(F.when(F.col("gap").isNotNull(), F.greatest("gap", F.lit(1.0)))).alias("distance"))
     lengths = positions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("dl"))
     return summed.join(lengths, "doc_id").select("query_id", "doc_id", (F.col("weight") / F.coalesce("distance", F.lit(1.0)) / (1 + F.ln("dl"))).alias("score"))
