@@ -46,8 +46,9 @@ def texts():
     return [(k * 13 % 997, "\n".join(edited(rng, rng.choice(base), rng.randrange(4)) for _ in range(rng.randrange(1, 9)))) for k in range(120)]
 
 
-@pytest.mark.parametrize("edits", [1, 2, 3])
-def test_equals_brute_force(spark, edits):
+@pytest.mark.parametrize("edits,hot", [(1, 16), (2, 16), (3, 16), (2, 1)])
+def test_equals_brute_force(spark, monkeypatch, edits, hot):
+    monkeypatch.setattr(ld, "HOT", hot)
     data = texts() + [(2000, None), (2001, ""), (2002, "\n \n\n"), (2003, "same\nsame\n\nsame"), (2004, "same\r"), (None, "same\nother"), (2005, "long " * 40_000), (2006, "long " * 40_000 + "x")]
     got = rows(ld.line_dedup(docs(spark, data), edits=edits), "doc_id", "text", "n_lines", "n_gone")
     small = [d for d in data if d[0] not in (2005, 2006)]

@@ -85,7 +85,9 @@ def test_superminhash_estimates_similarity(overlap):
     assert sorted(np.floor(near_dedup.superminhash(np.zeros(1, np.int64), a[:1], 1, 64)[0])) == list(range(64))
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("block", [500_000, 50])
+def test_components_of_random_graphs(spark, monkeypatch, block):
+    monkeypatch.setattr("lodestone.llm.components.BLOCK", block)
     rng = random.Random(5)
     edges = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(2200)] + [(4000 + k, 4001 + k) for k in range(60)] + [(9000, 9000 + k) for k in range(1, 400)] + [(7, 7), (None, 3)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(7)
