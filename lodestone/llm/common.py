@@ -26,11 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def table(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: later stages survive the loss of executors and don't recompute it."""
+def table(df: DataFrame, label: str, thin: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it again: later stages survive the loss of executors and don't recompute it.
+
+    thin: the rows are few against what they are made from; they are dealt into an eighth of the shuffle's partitions.
+    """
     spark = df.sparkSession
+    if thin:
+        df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/lodestone-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
