@@ -80,3 +80,26 @@ def figures(text: Column) -> Column:
 def magnitude(figure: Column) -> Column:
     """A figure's size without signs and separators; null if it is no number."""
     return F.abs(F.regexp_replace(figure, r"[^0-9.]", "").try_cast("decimal(38,10)"))
+
+
+def truncate(text: Column, most: int) -> Column:
+    """A text of `most` code points or fewer as it is; a longer one up to its last space within them, if there is one."""
+    head = F.substring(text, 1, most)
+    cut = F.regexp_extract(head, r"(?s)^(.*)\s\S*$", 1)
+    return F.when(F.length(text) <= most, text).when(cut == "", head).otherwise(cut)
+
+
+def is_value(cell: Column) -> Column:
+    """Whether a table's cell is a number with its marks, or a dash; labels of periods are not."""
+    number = cell.rlike(r"^[\s$€£¥₩(△▲+-]*\d[\d,.]*[\s)%]*$") & ~cell.rlike(r"^\s*(?:19|20)\d{2}\s*$")
+    return number | cell.rlike(r"^\s*[-–—]\s*$")
+
+
+#: Roman numerals that have one character, and full-width digits, as plain letters and digits.
+FOLDED = {"Ⅰ": "I", "Ⅱ": "II", "Ⅲ": "III", "Ⅳ": "IV", "Ⅴ": "V", "Ⅵ": "VI", "Ⅶ": "VII", "Ⅷ": "VIII", "Ⅸ": "IX", "Ⅹ": "X", "Ⅺ": "XI", "Ⅻ": "XII"}
+
+
+def fold_numerals(title: Column) -> Column:
+    for one, plain in FOLDED.items():
+        title = F.replace(title, F.lit(one), F.lit(plain))
+    return F.translate(title, "０１２３４５６７８９．", "0123456789.")

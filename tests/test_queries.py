@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from lodestone.plans.queries import ORACLE, QUERIES
+from lodestone.plans.more_queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
