@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
@@ -38,3 +41,53 @@ def run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+#: Where a job may go from each state.
+NEXT = {None: {"queued"}, "queued": {"running", "cancelled", "interrupted"}, "running": {"succeeded", "failed", "cancelled", "interrupted"}}
+
+
+def job_machine(stream: DataFrame) -> DataFrame:
+    """(job, state, ignored): each job's state after its events (job, state, seq), and how many could not follow.
+
+    A job is queued, then runs, then ends; events that don't fit are counted and change nothing. The state of a job is two
+    values, kept by Spark across triggers.
+    """
+
+    def step(key, frames, state: GroupState):
+        now, ignored = state.get if state.exists else (None, 0)
+        for frame in frames:
+            for new in frame.sort_values("seq")["state"]:
+                if new in NEXT.get(now, set()):
+                    now = new
+                else:
+                    ignored += 1
+        state.update((now, ignored))
+        yield pd.DataFrame({"job": [key[0]], "state": [now], "ignored": [ignored]})
+
+    return stream.groupBy("job").applyInPandasWithState(step, "job long, state string, ignored long", "state string, ignored long", "update", GroupStateTimeout.NoTimeout)
+
+
+def newest_only(stream: DataFrame, key: str, order: str, path: str) -> StreamingQuery:
+    """Writes each batch's newest row of every key, replacing what the key had: progress of which only the last state counts."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = [c for c in batch.columns if c != key]
+        last = batch.groupBy(key).agg(F.max_by(F.struct(*rows), order).alias("x")).select(key, "x.*")
+        old = f"{path}/{number - 1}"
+        if number:
+            before = batch.sparkSession.read.parquet(old)
+            last = last.unionByName(before.join(last.select(key), key, "left_anti"))
+        last.write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/_progress").trigger(availableNow=True).start()
+
+
+def backfill(stream: DataFrame, path: str) -> StreamingQuery:
+    """Appends what the source has that was not appended yet; a second run adds only what came since."""
+    return stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/_progress").option("path", f"{path}/rows").trigger(availableNow=True).start()
+
+
+def stage_times(stream: DataFrame) -> DataFrame:
+    """(run, stage, started, ended) of stages from their first and last event."""
+    return stream.groupBy("run", "stage").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"))
