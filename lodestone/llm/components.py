@@ -57,14 +57,17 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of the edges; component is the smallest node that it reaches, itself included.
 
-    Each partition's edges first shrink to a forest by union-find. Then rounds of large-star and small-star follow until
-    nothing changes; a round is written to the shared folder. A node with very many neighbours is no hot group: only
+    Each partition's edges first shrink to a forest by union-find. If BLOCK edges or fewer are left, one more union-find
+    over them all is the result. Else rounds of large-star and small-star follow until nothing changes; a round is written
+    to the shared folder. A node with very many neighbours is no hot group: only
     minima by node are aggregated, with partial sums before the shuffle, and joins on it are dealt by Spark's skew handling.
     Edges with a null end are dropped; loops, repeated and reversed edges do no harm; no edges give no rows.
     """
     edges = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     shrunk = lambda df, label: table(df.mapInArrow(_forests, "a long, b long").distinct().mapInArrow(_forests, "a long, b long"), label)
-    star = shrunk(edges, "edges")
+    star = table(edges.mapInArrow(_forests, "a long, b long"), "edges", thin=True)
+    if star.count() <= BLOCK:
+        star = table(star.coalesce(1).mapInArrow(_forests, "a long, b long"), "stars")
     while not _stars(star):
         # large star: a node's larger neighbours are joined to its smallest neighbour or itself
         both = star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))

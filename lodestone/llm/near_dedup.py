@@ -7,15 +7,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, text_batches, text_of
 from .components import components
 
 WIDTH = 5
-#: Registers of a signature in bands of ROWS. At a similarity of 0.75 a pair has no band in common once in 200,000 times.
-BANDS, ROWS = 32, 4
+#: Registers of a signature in bands of ROWS. At a similarity of 0.75 a pair has no band in common once in 12,000 times, at
+#: 0.8 once in two million; at 0.3, as documents that share a passage have, one pair in thirty has one.
+BANDS, ROWS = 48, 6
+#: Rounds of trying each document with one hub before the rest of the pairs is verified, at most.
+ROUNDS = 5
+#: A component of fewer documents is compared document by document, a larger one in blocks of so many shingles.
+FEW, BLOCK = 8, 500_000
 #: Words whose hashes a process keeps.
 KEPT = 300_000
 
@@ -137,6 +142,82 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.where(100 * common >= percent * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
 
+def _alike(n: Column, m: Column, percent: int) -> Column:
+    """Whether the sets' sizes alone leave a link possible."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def _mixed(members: DataFrame, known: DataFrame, number: int) -> tuple[DataFrame, int]:
+    """The members of buckets with several components, with their component and their bucket's hub, which a hash of the
+    round's number picks; and how many pairs of different components those buckets hold, counted once in each bucket."""
+    placed = members.join(known, F.col("doc") == F.col("node"), "left").select("band", "doc", "n", F.coalesce("component", "doc").alias("c"))
+    placed = table(placed, "placed", thin=True)
+    hubs = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64("doc", F.lit(number)).alias("by"), "doc", "n", "c")).alias("hub")).where("low < high")
+    mixed_up = table(placed.join(hubs.select("band", "hub"), "band"), "mixed", thin=True)
+    sizes = mixed_up.groupBy("band", "c").count().groupBy("band").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("within"))
+    pairs = sizes.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2)).first()[0]
+    return mixed_up, pairs or 0
+
+
+def _one_link(percent: int):
+    """For each document on the left, one document on the right that it is linked with, if there is one.
+
+    All overlaps are counted exactly: the right side's shingles are sorted once, and each shingle on the left adds one to
+    every document on the right that has it.
+    """
+
+    def link(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets = right.column("theirs").combine_chunks()
+        sizes = np.diff(sets.offsets.to_numpy())
+        flat = sets.flatten().to_numpy()
+        order = np.argsort(flat, kind="stable")
+        keys, owner = flat[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+        docs = right.column("b").to_numpy()
+        out: list[tuple[int, int]] = []
+        for a, mine in zip(left.column("a").to_pylist(), left.column("mine").combine_chunks(), strict=True):
+            x = mine.values.to_numpy()
+            low, high = np.searchsorted(keys, x, "left"), np.searchsorted(keys, x, "right")
+            n = high - low
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(sizes))
+            linked = np.flatnonzero(100 * common >= percent * (len(x) + sizes - common))
+            if len(linked):
+                out.append((a, int(docs[linked].min())))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return link
+
+
+def _rest(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between documents of different components that share a bucket: of every document and other component
+    there is one link if there are any.
+
+    placed: (band, doc, n, c) of buckets with several components. A bucket's documents outside its largest component face
+    the bucket's other components. A small component is expanded into its documents; a large one is read in blocks of BLOCK
+    shingles, against which the documents that face it, in blocks too, are counted. So no group makes pairs of rows.
+    """
+    sizes = placed.groupBy("band", "c").count()
+    major = sizes.groupBy("band").agg(F.max(F.struct("count", "c"))["c"].alias("major"))
+    minor = placed.join(major, "band").where("c <> major")
+    others = sizes.select("band", F.col("c").alias("other"))
+    facing = minor.join(others, (minor["band"] == others["band"]) & ((F.col("other") == F.col("major")) | (F.col("other") < F.col("c"))) & (F.col("other") != F.col("c")))
+    facing = table(facing.select(F.col("doc").alias("a"), "n", "other").distinct(), "facing", thin=True)
+    docs = table(placed.select("doc", "n", "c").distinct(), "facing-docs", thin=True)
+    volume = docs.groupBy("c").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+    asked = facing.groupBy("other").agg(F.sum("n").alias("asked"))
+    deal = lambda volume_: F.ceil(F.col(volume_) / BLOCK).cast("int")
+    plan = table(volume.join(asked, F.col("c") == F.col("other")).select("other", "docs", deal("shingles").alias("blocks"), deal("asked").alias("parts")), "facing-plan", thin=True)
+    few = facing.join(plan.where(F.col("docs") < FEW), "other").join(docs.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("other")), "other")
+    pairs = few.where(_alike(F.col("n"), F.col("n_b"), percent)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = _verified(pairs, sets, percent)
+    many = plan.where(F.col("docs") >= FEW)
+    left = facing.join(many, "other").select("other", "a", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    left = left.join(sets.select(F.col("doc").alias("d"), F.col("set").alias("mine")), F.col("a") == F.col("d")).select(F.col("other").alias("c_a"), F.col("block").alias("block_a"), F.col("part").alias("part_a"), "a", "mine")
+    right = docs.join(many, docs["c"] == many["other"]).select("other", "doc", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = right.join(sets.select(F.col("doc").alias("d"), F.col("set").alias("theirs")), F.col("doc") == F.col("d")).select(F.col("other").alias("c_b"), F.col("block").alias("block_b"), F.col("part").alias("part_b"), F.col("doc").alias("b"), "theirs")
+    return links.union(left.groupBy("c_a", "block_a", "part_a").cogroup(right.groupBy("c_b", "block_b", "part_b")).applyInArrow(_one_link(percent), "a long, b long"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row for each row of df: doc_id, n_shingles, component_id, kept. doc_id is cast to long.
 
@@ -144,9 +225,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     that is reachable, the document itself included, and the row with that id is kept.
 
     Equal sets are one class, whose smallest id stands for it. Representatives with a band in common are candidates, but
-    buckets are never expanded into all pairs: each member is first verified against its bucket's smallest id, and
-    union-find joins what is linked. Then only members of different components that share a bucket remain, and all those
-    pairs are verified. So no link between components is lost; the work in a bucket is its members times its other components'.
+    buckets are not expanded into all pairs. In each round every bucket names a hub by a hash, and each document is verified
+    with the one hub of another component that it shares most buckets with; union-find joins what is linked. Rounds go on
+    while they link and buckets still hold many pairs of different components. Then every document is verified against the other
+    components that it shares a bucket with, on full sets, so no link between components is lost.
 
     Null or blank texts have no shingles and are linked with nothing. Rows without an id are linked with nothing and kept.
     Rows that share an id are one node. Other columns are ignored; an empty table gives no rows.
@@ -155,27 +237,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     signed = table(rows.mapInArrow(_signed, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
     named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = table(named.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("first")), "classes")
+    classes = table(named.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("first")), "classes", thin=True)
     joined = named.select("doc_id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"])
     same = joined.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     firsts = named.join(classes, ["d1", "d2", "n_shingles"]).where("doc_id = first")
     members = table(firsts.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band")), "members")
-    buckets = table(members.groupBy("band").agg(F.min(F.struct("doc", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "buckets")
-    members = table(members.join(buckets, "band").select("band", "doc", "n", "hub"), "crowded")
-    alike = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)  # noqa: E731  else the sizes alone rule a link out
-    first = members.where((F.col("doc") > F.col("hub.doc")) & alike(F.col("n"), F.col("hub.n"))).select(F.col("doc").alias("a"), F.col("hub.doc").alias("b")).distinct()
-    wanted = members.select("doc").distinct()
-    sets = table(rows.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(_sets, "doc long, set array<long>"), "sets")
-    links = table(_verified(first, sets, percent), "links")
-    known = table(components(links), "components")
-    placed = members.join(known, F.col("doc") == F.col("node"), "left").select("band", "doc", "n", F.coalesce("component", "doc").alias("c"))
-    mixed_up = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-    placed = table(placed.join(mixed_up, "band"), "placed")
-    others = placed.select("band", F.col("c").alias("other")).distinct()
-    facing = placed.select("band", F.col("doc").alias("a"), F.col("n").alias("n_a"), "c").join(others, "band").where("other < c")
-    facing = facing.join(placed.select("band", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("other")), ["band", "other"])
-    second = facing.where(alike(F.col("n_a"), F.col("n_b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = table(_verified(second, sets, percent), "links")
-    found = table(components(same.union(known.select(F.col("node").alias("a"), F.col("component").alias("b"))).union(more)), "components")
+    buckets = table(members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "buckets", thin=True)
+    members = table(members.join(buckets, "band").select("band", "doc", "n"), "crowded", thin=True)
+    sets = table(rows.join(members.select("doc").distinct(), F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(_sets, "doc long, set array<long>"), "sets")
+    known = df.sparkSession.createDataFrame([], "node long, component long")
+    total = 0
+    for number in range(ROUNDS + 1):
+        mixed_up, pairs = _mixed(members, known, number)
+        if number == ROUNDS or pairs <= 2 * mixed_up.count():
+            break
+        shared = mixed_up.where((F.col("c") != F.col("hub.c")) & _alike(F.col("n"), F.col("hub.n"), percent)).groupBy("doc", F.col("hub.doc").alias("b")).count()
+        tries = shared.groupBy(F.col("doc").alias("a")).agg(F.max(F.struct("count", "b"))["b"].alias("b"))
+        links = table(_verified(tries, sets, percent), "links", thin=True)
+        new = links.count()
+        known = table(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "components", thin=True)
+        total += new
+        if new * 20 <= total:
+            mixed_up, _ = _mixed(members, known, number)
+            break
+    more = table(_rest(mixed_up.select("band", "doc", "n", "c"), sets, percent), "links", thin=True)
+    found = table(components(same.union(known.select(F.col("node").alias("a"), F.col("component").alias("b"))).union(more)), "components", thin=True)
     told = signed.join(found, F.col("doc_id") == F.col("node"), "left")
     return told.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -61,6 +61,24 @@ def test_equals_brute_force(spark):
     assert got == sorted(brute_force(data), key=repr)
 
 
+@pytest.mark.parametrize("few,block", [(8, 500_000), (1, 200)])
+def test_a_large_group_of_near_copies(spark, monkeypatch, few, block):
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(120)]
+    data = []
+    for k in range(160):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            copy[rng.randrange(120)] = f"x{rng.randrange(9999)}"
+        data.append((k * 11 % 499, " ".join(copy)))
+    got = rows(near_dedup.near_duplicates(docs(spark, data)), "doc_id", "n_shingles", "component_id", "kept")
+    want = sorted(brute_force(data), key=repr)
+    assert 1 < sum(r[3] for r in want) < 150
+    assert got == want
+
+
 def test_rows_without_ids_and_empty_tables(spark):
     got = rows(near_dedup.near_duplicates(docs(spark, [(None, "a b"), (1, "a b"), (1, "a b"), (0, "a b")])), "doc_id", "component_id", "kept")
     assert got == sorted([(None, None, True), (1, 0, False), (1, 0, False), (0, 0, True)], key=repr)
