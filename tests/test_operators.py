@@ -115,3 +115,26 @@ def test_catalog(spark):
 def test_costs(spark):
     df = spark.createDataFrame([(1000, 200, 50)], "r long, c long, o long")
     assert float(df.select(usage.token_cost(F.col("r"), F.col("c"), F.col("o"), ("2.5", "1.25", "10")).alias("x")).first().x) == pytest.approx(0.00325)
+
+
+@pytest.mark.parametrize("text,want", [("53-67", [(53, 67)]), ("70", [(70, 70)]), ("88 -86", [(86, 88)]), ("1 05", [(105, 105)]), ("8 6", [(86, 86)]), ("19 44", [(19, 19), (44, 44)]), ("12, 30–31 and 2024", [(12, 12), (30, 31)]), ("", [])])
+def test_page_ranges(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(parsing.page_ranges(F.col("t")).alias("x")).first().x
+    assert [(r.low, r.high) for r in got] == want
+
+
+def test_page_marks(spark):
+    blocks = {0: "1", 6: "2", 8: "3", 12: "4", 20: "900", 30: "40", 36: "41", 42: "43", 50: "44", 60: "x", 70: "12"}
+    df = spark.createDataFrame([(1, k, t) for k, t in blocks.items()] + [(2, 0, "7")], "doc_id int, block_no int, text string")
+    got = sorted((r.block_no, r.page) for r in parsing.page_marks(df).where("doc_id = 1").collect())
+    assert got == [(0, 1), (6, 2), (12, 4), (30, 40), (36, 41), (42, 43), (50, 44)]
+    assert parsing.page_marks(df).where("doc_id = 2").count() == 0
+
+
+def test_follow_ups(spark):
+    from lodestone.operators.conversations import follow_ups
+
+    turns = [(1, 1, "user", "AMD revenue in 2023"), (1, 2, "assistant", "5"), (1, 3, "user", "and in 2024?"), (1, 4, "user", "and Intel?"), (1, 5, "user", "hello"), (1, 6, "user", "and 2022?"), (2, 1, "user", None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r["query"] for r in follow_ups(df, ["amd", "intel"], lambda t: "revenue" in t, lambda t: t.startswith("and")).collect()}
+    assert got == {(1, 1): "AMD revenue in 2023", (1, 3): "AMD revenue in — and in 2024?", (1, 4): "revenue in — and in 2024? — and Intel?", (1, 5): "hello", (1, 6): "and 2022?", (2, 1): ""}
