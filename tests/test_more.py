@@ -1,5 +1,4 @@
 import hashlib
-import io
 import json
 import random
 import zipfile
@@ -81,7 +80,6 @@ def test_files(spark, tmp_path):
         files.snapshot(spark.range(3), str(tmp_path / "snap"), "one")
     zipped = spark.createDataFrame([([1, 2], ["a", "b"])], "n array<int>, s array<string>")
     assert [tuple(r) for r in files.flatten(zipped, ["n", "s"]).collect()] == [(1, "a"), (2, "b")]
-    assert io is not None
 
 
 def test_admission_equals_a_loop(spark):
