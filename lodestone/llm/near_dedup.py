@@ -7,20 +7,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_batches, text_of
-from .components import components
+from .common import may_have, slots_of, table, text_batches, text_of
+from .components import components, forest
 
 WIDTH = 5
 #: Registers of a signature in bands of ROWS. At a similarity of 0.75 a pair has no band in common once in 12,000 times, at
 #: 0.8 once in two million; at 0.3, as documents that share a passage have, one pair in thirty has one.
 BANDS, ROWS = 48, 6
-#: Rounds of trying each document with one hub before the rest of the pairs is verified, at most.
-ROUNDS = 5
-#: A component of fewer documents is compared document by document, a larger one in blocks of so many shingles.
-FEW, BLOCK = 8, 500_000
+#: Rounds of trying each document with so many hubs before the rest of the pairs is verified, at most.
+ROUNDS, TRIES = 6, 3
+#: Components of fewer documents are compared document by document, in buckets of up to CROWD such documents by pairs;
+#: all else in blocks of so many shingles.
+FEW, CROWD, BLOCK = 8, 16, 500_000
 #: Words whose hashes a process keeps.
 KEPT = 300_000
 
@@ -159,8 +160,9 @@ def _mixed(members: DataFrame, known: DataFrame, number: int) -> tuple[DataFrame
     return mixed_up, pairs or 0
 
 
-def _one_link(percent: int):
-    """For each document on the left, one document on the right that it is linked with, if there is one.
+def _linked(percent: int, one: bool):
+    """Links between the documents on the left and those on the right, a spanning forest of them; if `one`, for each document
+    on the left just one, which is enough where the right side is one component.
 
     All overlaps are counted exactly: the right side's shingles are sorted once, and each shingle on the left adds one to
     every document on the right that has it.
@@ -173,49 +175,65 @@ def _one_link(percent: int):
         order = np.argsort(flat, kind="stable")
         keys, owner = flat[order], np.repeat(np.arange(len(sizes)), sizes)[order]
         docs = right.column("b").to_numpy()
-        out: list[tuple[int, int]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n_held = 0
         for a, mine in zip(left.column("a").to_pylist(), left.column("mine").combine_chunks(), strict=True):
             x = mine.values.to_numpy()
             low, high = np.searchsorted(keys, x, "left"), np.searchsorted(keys, x, "right")
             n = high - low
             at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
             common = np.bincount(owner[at], minlength=len(sizes))
-            linked = np.flatnonzero(100 * common >= percent * (len(x) + sizes - common))
-            if len(linked):
-                out.append((a, int(docs[linked].min())))
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+            found = docs[100 * common >= percent * (len(x) + sizes - common)]
+            found = found[found != a]
+            if len(found):
+                found = found[:1] if one else found
+                held.append((np.full(len(found), a), found))
+                n_held += len(found)
+            if n_held > BLOCK:
+                held = [forest(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))]
+                n_held = 0
+        a, b = forest(*(np.concatenate([h[k] for h in held]) for k in (0, 1))) if held else (np.zeros(0, np.int64),) * 2
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return link
 
 
+def _dealt(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int, one: bool) -> DataFrame:
+    """Links of left (g, a, n) and right (g, b, n) within each group g, both sides in parts of BLOCK shingles."""
+    parts = lambda side, name: side.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias(name))
+    plan = table(parts(left, "lefts").join(parts(right, "rights"), "g"), "parts", thin=True)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda doc, n: F.pmod(F.xxhash64(doc), F.col(n)).cast("int")
+    mine = left.join(plan, "g").select(F.col("g").alias("ga"), "a", of("a", "lefts").alias("la"), every("rights").alias("ra"))
+    mine = mine.join(sets.select(F.col("doc").alias("d"), F.col("set").alias("mine")), F.col("a") == F.col("d")).select("ga", "la", "ra", "a", "mine")
+    theirs = right.join(plan, "g").select(F.col("g").alias("gb"), "b", of("b", "rights").alias("rb"), every("lefts").alias("lb"))
+    theirs = theirs.join(sets.select(F.col("doc").alias("d"), F.col("set").alias("theirs")), F.col("b") == F.col("d")).select("gb", "lb", "rb", "b", "theirs")
+    return mine.groupBy("ga", "la", "ra").cogroup(theirs.groupBy("gb", "lb", "rb")).applyInArrow(_linked(percent, one), "a long, b long")
+
+
 def _rest(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between documents of different components that share a bucket: of every document and other component
-    there is one link if there are any.
+    """Links (a, b) between documents of different components that share a bucket, enough of them to join all components
+    that are linked.
 
-    placed: (band, doc, n, c) of buckets with several components. A bucket's documents outside its largest component face
-    the bucket's other components. A small component is expanded into its documents; a large one is read in blocks of BLOCK
-    shingles, against which the documents that face it, in blocks too, are counted. So no group makes pairs of rows.
+    placed: (band, doc, n, c) of buckets with several components. Documents face a component of FEW documents or more as a
+    whole. Those of smaller components face one another: in pairs where a bucket has CROWD of them at most, else bucket by
+    bucket. Wholes and buckets are read in parts of BLOCK shingles, so that no group makes pairs of rows.
     """
-    sizes = placed.groupBy("band", "c").count()
-    major = sizes.groupBy("band").agg(F.max(F.struct("count", "c"))["c"].alias("major"))
-    minor = placed.join(major, "band").where("c <> major")
-    others = sizes.select("band", F.col("c").alias("other"))
-    facing = minor.join(others, (minor["band"] == others["band"]) & ((F.col("other") == F.col("major")) | (F.col("other") < F.col("c"))) & (F.col("other") != F.col("c")))
-    facing = table(facing.select(F.col("doc").alias("a"), "n", "other").distinct(), "facing", thin=True)
-    docs = table(placed.select("doc", "n", "c").distinct(), "facing-docs", thin=True)
-    volume = docs.groupBy("c").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
-    asked = facing.groupBy("other").agg(F.sum("n").alias("asked"))
-    deal = lambda volume_: F.ceil(F.col(volume_) / BLOCK).cast("int")
-    plan = table(volume.join(asked, F.col("c") == F.col("other")).select("other", "docs", deal("shingles").alias("blocks"), deal("asked").alias("parts")), "facing-plan", thin=True)
-    few = facing.join(plan.where(F.col("docs") < FEW), "other").join(docs.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("other")), "other")
-    pairs = few.where(_alike(F.col("n"), F.col("n_b"), percent)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = _verified(pairs, sets, percent)
-    many = plan.where(F.col("docs") >= FEW)
-    left = facing.join(many, "other").select("other", "a", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    left = left.join(sets.select(F.col("doc").alias("d"), F.col("set").alias("mine")), F.col("a") == F.col("d")).select(F.col("other").alias("c_a"), F.col("block").alias("block_a"), F.col("part").alias("part_a"), "a", "mine")
-    right = docs.join(many, docs["c"] == many["other"]).select("other", "doc", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    right = right.join(sets.select(F.col("doc").alias("d"), F.col("set").alias("theirs")), F.col("doc") == F.col("d")).select(F.col("other").alias("c_b"), F.col("block").alias("block_b"), F.col("part").alias("part_b"), F.col("doc").alias("b"), "theirs")
-    return links.union(left.groupBy("c_a", "block_a", "part_a").cogroup(right.groupBy("c_b", "block_b", "part_b")).applyInArrow(_one_link(percent), "a long, b long"))
+    docs = placed.select("doc", "n", "c").distinct()
+    large = table(docs.groupBy("c").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= FEW).select(F.col("c").alias("large")), "large", thin=True)
+    told = placed.join(large, F.col("c") == F.col("large"), "left")
+    wholes = told.where("large IS NOT NULL").select("band", F.col("large").alias("g")).distinct()
+    facing = placed.join(wholes, "band").where("c <> g").select("g", F.col("doc").alias("a"), "n").distinct()
+    whole = docs.join(large, F.col("c") == F.col("large")).select(F.col("large").alias("g"), F.col("doc").alias("b"), "n")
+    links = _dealt(table(facing, "facing", thin=True), whole, sets, percent, one=True)
+    small = told.where("large IS NULL").select("band", "doc", "n", "c")
+    crowds = small.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    small = table(small.join(crowds, "band"), "small", thin=True)
+    a, b = (small.where(F.col("crowd") <= CROWD).select("band", F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}")) for x in "ab")
+    pairs = a.join(b, "band").where("a > b AND c_a <> c_b").where(_alike(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
+    crowded = small.where(F.col("crowd") > CROWD)
+    side = lambda x: crowded.select(F.col("band").alias("g"), F.col("doc").alias(x), "n")
+    return links.union(_verified(pairs, sets, percent)).union(_dealt(side("a"), side("b"), sets, percent, one=False))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -226,7 +244,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Equal sets are one class, whose smallest id stands for it. Representatives with a band in common are candidates, but
     buckets are not expanded into all pairs. In each round every bucket names a hub by a hash, and each document is verified
-    with the one hub of another component that it shares most buckets with; union-find joins what is linked. Rounds go on
+    with the TRIES hubs of other components that it shares most buckets with; union-find joins what is linked. Rounds go on
     while they link and buckets still hold many pairs of different components. Then every document is verified against the other
     components that it shares a bucket with, on full sets, so no link between components is lost.
 
@@ -244,7 +262,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = table(firsts.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band")), "members")
     buckets = table(members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "buckets", thin=True)
     members = table(members.join(buckets, "band").select("band", "doc", "n"), "crowded", thin=True)
-    sets = table(rows.join(members.select("doc").distinct(), F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(_sets, "doc long, set array<long>"), "sets")
+    keyed = rows.where("doc_id IS NOT NULL").withColumn("key", F.xxhash64("doc_id"))
+    wanted = may_have(keyed, "key", slots_of(members.select(F.xxhash64("doc").alias("key")), "key", "crowded-slots"))
+    sets = table(wanted.select("doc_id", "text").mapInArrow(_sets, "doc long, set array<long>"), "sets")
     known = df.sparkSession.createDataFrame([], "node long, component long")
     total = 0
     for number in range(ROUNDS + 1):
@@ -252,12 +272,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if number == ROUNDS or pairs <= 2 * mixed_up.count():
             break
         shared = mixed_up.where((F.col("c") != F.col("hub.c")) & _alike(F.col("n"), F.col("hub.n"), percent)).groupBy("doc", F.col("hub.doc").alias("b")).count()
-        tries = shared.groupBy(F.col("doc").alias("a")).agg(F.max(F.struct("count", "b"))["b"].alias("b"))
+        nth = F.row_number().over(Window.partitionBy("doc").orderBy(F.col("count").desc(), "b"))
+        tries = shared.withColumn("nth", nth).where(F.col("nth") <= TRIES).select(F.col("doc").alias("a"), "b")
         links = table(_verified(tries, sets, percent), "links", thin=True)
         new = links.count()
         known = table(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "components", thin=True)
         total += new
-        if new * 20 <= total:
+        if new * 100 <= total:
             mixed_up, _ = _mixed(members, known, number)
             break
     more = table(_rest(mixed_up.select("band", "doc", "n", "c"), sets, percent), "links", thin=True)

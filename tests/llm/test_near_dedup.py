@@ -61,9 +61,10 @@ def test_equals_brute_force(spark):
     assert got == sorted(brute_force(data), key=repr)
 
 
-@pytest.mark.parametrize("few,block", [(8, 500_000), (1, 200)])
-def test_a_large_group_of_near_copies(spark, monkeypatch, few, block):
+@pytest.mark.parametrize("few,crowd,block", [(8, 16, 500_000), (1, 16, 200), (10_000, 2, 900)])
+def test_a_large_group_of_near_copies(spark, monkeypatch, few, crowd, block):
     monkeypatch.setattr(near_dedup, "FEW", few)
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(9)
     base = [f"b{k}" for k in range(120)]
