@@ -19,7 +19,6 @@ import hashlib
 import json
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
