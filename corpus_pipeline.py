@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, line_dedup, mixing, near_dedup, quality
-from lodestone.llm.common import remainder, table
+from lodestone.llm.common import may_have, remainder, slot, slots_of, table
 from lodestone.llm.queries import tokenizer
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -30,8 +30,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id."""
-    gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = table(near_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone-ids", thin=True)
+    slots = slots_of(gone.select(F.xxhash64("gone").alias("key")), "key", "gone-id-slots")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("doc_id").cast("long")).alias("key"))
+    # most texts are told from those that go by a bounded broadcast, and aren't shuffled
+    sure = rows.join(slots, slot(F.col("key")) == F.col("taken"), "left_anti")
+    rest = may_have(rows, "key", slots).join(gone, F.col("id") == F.col("gone"), "left_anti")
+    return sure.unionByName(rest).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
