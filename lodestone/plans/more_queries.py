@@ -49,6 +49,13 @@ def ref_ordered_distinct(spark, d):
     return w.where("size(w) > 0").select("doc_id", F.array_join(F.slice("w", 1, 5), " ").alias("head"))
 
 
+@query("WITH t AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS l FROM documents)), f AS (SELECT doc_id, w, min(i) AS i FROM t GROUP BY ALL), j AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS words, count(*) AS n FROM f GROUP BY doc_id) SELECT doc_id, coalesce(words, '') AS words, coalesce(n, 0) AS n FROM documents LEFT JOIN j USING (doc_id)")
+def ref_ordered_distinct_whole(spark, d):
+    """All words of all texts; ref_ordered_distinct shows the first few of a text's beginning, as its SQL says."""
+    w = views.read(spark, d, "documents").select("doc_id", F.array_distinct(T.tokens(F.coalesce("text", F.lit("")))).alias("w"))
+    return w.select("doc_id", F.array_join("w", " ").alias("words"), F.size("w").cast("long").alias("n"))
+
+
 @query("WITH a AS (SELECT p_partkey AS a_id, p_size * 10 AS a_start, p_size * 10 + p_partkey % 90 AS a_end FROM part WHERE p_partkey % 5 = 0), b AS (SELECT s_suppkey AS b_id, s_suppkey % 500 AS b_start, s_suppkey % 500 + 7 AS b_end FROM supplier) SELECT a_id, b_id FROM a JOIN b ON a_start < b_end AND b_start < a_end AND a_start < a_end")
 def ref_overlap_join(spark, d):
     p, s = views.read(spark, d, "part").where("p_partkey % 5 = 0"), views.read(spark, d, "supplier")
