@@ -63,6 +63,14 @@ def ref_overlap_join(spark, d):
     return parsing.overlapping(a, s.selectExpr("s_suppkey AS b_id", "s_suppkey % 500 AS b_start", "s_suppkey % 500 + 7 AS b_end"))
 
 
+@query("WITH a AS (SELECT p_partkey AS a_id, p_size * 10 AS a_start, p_size * 10 + p_partkey % 90 AS a_end FROM part), b AS (SELECT s_suppkey AS b_id, s_suppkey % 500 AS b_start, s_suppkey % 500 + 7 AS b_end FROM supplier) SELECT a_id, b_id FROM a JOIN b ON a_start < b_end AND b_start < a_end AND a_start < a_end")
+def ref_overlap_join_whole(spark, d):
+    """All parts' ranges; ref_overlap_join joins every fifth part, as its SQL says."""
+    p, s = views.read(spark, d, "part"), views.read(spark, d, "supplier")
+    a = p.selectExpr("p_partkey AS a_id", "p_size * 10 AS a_start", "p_size * 10 + p_partkey % 90 AS a_end")
+    return parsing.overlapping(a, s.selectExpr("s_suppkey AS b_id", "s_suppkey % 500 AS b_start", "s_suppkey % 500 + 7 AS b_end"))
+
+
 @query("SELECT n_name, r_name, count(c_custkey) AS customers, coalesce(sum(c_acctbal), 0)::DECIMAL(18, 2)::DOUBLE AS balance FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
 def ref_dimension_joins(spark, d):
     n, r, c = (views.read(spark, d, t) for t in ("nation", "region", "customer"))
