@@ -117,19 +117,33 @@ def cover_density(questions: DataFrame, positions: DataFrame) -> DataFrame:
     positions: (doc_id, lexeme, place), places from 1. A cover is a shortest stretch that holds every query token; it counts
     one over its excess, the places in it beyond one for each token, plus one. The sum is divided by the covers' mean
     distance and by one plus the log of the document's length. A cover ends at a matched place and begins at the earliest of
-    the tokens' last places; a window over the matched places gives those, without any pairing of places.
+    the tokens' last places; windows over the matched places give those, without any pairing of places.
+
+    A question's documents are looked for among those that have its rarest token, so that common tokens' places are met only
+    for documents that have all tokens.
     """
     terms = questions.select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("lexeme"))
     n = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    hits = positions.join(terms, "lexeme")
-    seen = hits.withColumn("later", F.lead("place").over(Window.partitionBy("query_id", "doc_id", "lexeme").orderBy("place")))
-    # a token's place is its last one for ends in [place, later): a cover begins at the least of those
-    listed = seen.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "later"))).alias("hits"), F.count_distinct("lexeme").alias("held")).join(n, "query_id").where("held = n")
-    ends = listed.select("query_id", "doc_id", "n", "hits", F.posexplode("hits").alias("i", "hit"))
-    live = F.filter(F.slice("hits", 1, F.col("i") + 1), lambda h: h["later"].isNull() | (h["later"] > F.col("hit.place")))
-    spans = ends.select("query_id", "doc_id", "n", F.size(live).alias("alive"), F.array_min(F.transform(live, lambda h: h["place"])).alias("s"), F.col("hit.place").alias("e")).where("alive = n")
+    asked = positions.join(F.broadcast(terms.select("lexeme").distinct()), "lexeme", "left_semi")
+    held = asked.groupBy("doc_id", "lexeme").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    frequency = held.groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"))
+    rarest = terms.join(frequency, "lexeme", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "lexeme"))["lexeme"].alias("lexeme"))
+    maybe = held.select("doc_id", "lexeme").join(rarest, "lexeme").select("query_id", "doc_id")
+    firsts = held.select("doc_id", "lexeme", F.get("places", F.lit(0)).alias("first"))
+    # before all tokens have been seen, nothing is covered
+    full = maybe.join(terms, "query_id").join(firsts, ["doc_id", "lexeme"]).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("held"), F.max("first").alias("seen"))
+    full = full.join(n, "query_id").where("held = n").drop("held")
+    hits = full.join(terms, "query_id").join(held, ["doc_id", "lexeme"]).select("query_id", "doc_id", "n", "seen", "places", F.posexplode("places").alias("i", "place"))
+    hits = hits.withColumn("later", F.get("places", F.col("i") + 1))
+    # a token's place is its last one for ends in [place, later): a cover begins at the least place whose later is beyond its end
+    ends = F.struct(F.col("place").alias("at"), F.col("place").alias("e"), F.lit(None).cast("int").alias("s"))
+    begins = F.struct(F.col("later").alias("at"), F.lit(None).cast("int").alias("e"), F.col("place").alias("s"))
+    events = hits.select("query_id", "doc_id", "n", "seen", F.explode(F.array(ends, begins)).alias("x")).select("query_id", "doc_id", "n", "seen", "x.*")
+    beyond = Window.partitionBy("query_id", "doc_id").orderBy(F.col("at").desc_nulls_first(), F.col("e").desc_nulls_last())
+    spans = events.withColumn("s", F.min("s").over(beyond.rowsBetween(Window.unboundedPreceding, 0))).where("e >= seen")
     ordered = Window.partitionBy("query_id", "doc_id").orderBy("e")
-    covers = spans.withColumn("next_s", F.lead("s").over(ordered)).where("next_s IS NULL OR next_s > s")
+    # of stretches with one begin, the first to end is the shortest
+    covers = spans.withColumn("last_s", F.lag("s").over(ordered)).where("last_s IS NULL OR last_s < s")
     covers = covers.withColumn("gap", (F.col("s") + F.col("e")) / 2 - F.lag((F.col("s") + F.col("e")) / 2).over(ordered))
     summed = covers.groupBy("query_id", "doc_id").agg(F.sum(1.0 / (F.col("e") - F.col("s") + 2 - F.col("n"))).alias("weight"), F.avg(F.when(F.col("gap").isNotNull(), F.greatest("gap", F.lit(1.0)))).alias("distance"))
     lengths = positions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("dl"))

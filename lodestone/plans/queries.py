@@ -116,8 +116,7 @@ def positions(spark, d):
 
 @query()
 def ref_cover_density(spark, d):
-    q = views.questions(spark, d).select("query_id", F.array_join(F.slice(T.tokens(F.col("question")), 1, 2), " ").alias("question"))
-    return ranking.top_k(ranking.cover_density(q, positions(spark, d)), 10, "doc_id")
+    return ranking.top_k(ranking.cover_density(views.questions(spark, d), positions(spark, d)), 10, "doc_id")
 
 
 COSINE = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0),

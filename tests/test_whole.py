@@ -1,5 +1,9 @@
 """Queries over whole inputs: what lies behind a prefix, a filter or a cut must be in the results."""
 
+import itertools
+import math
+import random
+
 from lodestone.plans.more_queries import QUERIES
 
 
@@ -24,3 +28,30 @@ def test_overlap_join_reads_all_parts(spark, tmp_path):
     want = sorted((x, y) for x, s, e in a for y, t, f in b if s < e and s < f and t < e)
     got = sorted((r.a_id, r.b_id) for r in QUERIES["ref_overlap_join_whole"](spark, d).collect())
     assert got == want and {x % 5 for x, _ in got} == set(range(5))
+
+
+def cover_densities(question, docs):
+    """Covers by brute force: stretches that hold every token of the question and no shorter such stretch."""
+    asked, out = set(question.split()), {}
+    for k, t in docs:
+        w = t.split()
+        held = [(s, e) for s in range(1, len(w) + 1) for e in range(s, len(w) + 1) if asked <= set(w[s - 1 : e])]
+        covers = sorted(c for c in held if not any(o != c and c[0] <= o[0] and o[1] <= c[1] for o in held))
+        if covers:
+            mids = [(s + e) / 2 for s, e in covers]
+            gaps = [max(1.0, b - a) for a, b in itertools.pairwise(mids)]
+            out[k] = sum(1 / (e - s + 2 - len(asked)) for s, e in covers) / (sum(gaps) / len(gaps) if gaps else 1) / (1 + math.log(len(w)))
+    return out
+
+
+def test_cover_density_asks_for_whole_questions(spark, tmp_path):
+    rng = random.Random(3)
+    docs = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 40)))) for k in range(60)]
+    asked = [(1, "a b c d"), (2, "h"), (3, "e f"), (4, "a b z"), (5, "a b c d e f g h")]
+    d = written(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=(asked, "item_id long, text string"))
+    want = {}
+    for q, question in asked:
+        best = sorted(((-round(s, 9), k) for k, s in cover_densities(question, docs).items()))[:10]
+        want |= {(q, k): (-s, n) for n, (s, k) in enumerate(best, 1)}
+    got = {(r.query_id, r.doc_id): (round(r.score, 9), r["rank"]) for r in QUERIES["ref_cover_density"](spark, d).collect()}
+    assert got == want and {q for q, _ in got} == {1, 2, 3, 5}
