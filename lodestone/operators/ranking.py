@@ -36,16 +36,18 @@ def bm25(questions: DataFrame, postings: DataFrame, k1: float = 1.2, b: float =
     return hits.groupBy("query_id", "doc_id").agg(F.sum(idf(variant, F.col("n").cast("double"), F.col("df").cast("double")) * weight).alias("score"))
 
 
-def cosine_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def cosine_search(queries: DataFrame, vectors: DataFrame, k: int, places: int | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest vectors of each query by exact cosine, ties by id.
 
-    queries (query_id, embedding) is a stated query set held against all vectors. Each side is normed once.
+    queries (query_id, embedding) is a stated query set held against all vectors. Each side is normed once. Scores are rounded
+    to `places`, if given, before they are ranked, so that what ties then is ranked by id.
     """
     unit = lambda df: df.withColumn("norm", norm(F.col("embedding"))).where("norm > 0")
     q = unit(queries).select("query_id", F.col("embedding").alias("q"), F.col("norm").alias("q_norm"))
     pairs = unit(vectors).join(F.broadcast(q), F.size("embedding") == F.size("q"))
     product = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return top_k(pairs.select("query_id", "vec_id", (product / (F.col("norm") * F.col("q_norm"))).alias("score")), k, "vec_id")
+    score = product / (F.col("norm") * F.col("q_norm"))
+    return top_k(pairs.select("query_id", "vec_id", (score if places is None else F.round(score, places)).alias("score")), k, "vec_id")
 
 
 def top_k(scored: DataFrame, k: int, *ties: str) -> DataFrame:

@@ -128,7 +128,7 @@ nearest AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DE
 def nearest(spark, d, k):
     v = views.read(spark, d, "embeddings")
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return ranking.top_k(ranking.cosine_search(q, v, k + 5).withColumn("score", F.round("score", 9)).drop("rank"), k, "vec_id")
+    return ranking.cosine_search(q, v, k, 9)
 
 
 @query(f"WITH {COSINE} SELECT query_id, vec_id, score, rank FROM nearest WHERE rank <= 10")

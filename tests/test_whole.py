@@ -55,3 +55,12 @@ def test_cover_density_asks_for_whole_questions(spark, tmp_path):
         want |= {(q, k): (-s, n) for n, (s, k) in enumerate(best, 1)}
     got = {(r.query_id, r.doc_id): (round(r.score, 9), r["rank"]) for r in QUERIES["ref_cover_density"](spark, d).collect()}
     assert got == want and {q for q, _ in got} == {1, 2, 3, 5}
+
+
+def test_cosine_search_ranks_all_that_tie_after_rounding(spark, tmp_path):
+    rng = random.Random(7)
+    one = [rng.uniform(-1, 1) for _ in range(24)]
+    scaled = [(k, [x * (1 + (61 - k) * 0.013) * (1 + rng.uniform(-1, 1) * 1e-12) for x in one]) for k in range(61)]
+    d = written(spark, tmp_path, embeddings=(scaled, "vec_id long, embedding array<double>"))
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in QUERIES["ref_cosine_search"](spark, d).collect()}
+    assert got == {(q, n): (n - 1, 1.0) for q in (0, 20, 40, 60) for n in range(1, 11)}
