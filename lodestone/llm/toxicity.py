@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_batches, text_of
+from .common import may_have, slots_of, table, text_batches, text_of
 
-#: Labelled rows to learn from at most, first by hash of their ids. It bounds the models, and so what is broadcast.
+#: Labelled rows to fit the score on at most, first by hash of their ids; with more rows to count, labels are not broadcast.
 MAX_ROWS = 200_000
 #: Prefixes that fewer words begin with are not stored: they back off.
 MIN_COUNT = 8
@@ -212,23 +212,28 @@ def _prefixes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
 def train(docs: DataFrame, labels: DataFrame, learn: Column, tune: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, min_count: int = MIN_COUNT) -> Model:
     """Counts the words of whole labelled texts for which `learn` holds, and fits the score on those of `tune`.
 
-    Both are expressions on the labels' table. All labelled rows are used, up to max_rows; Spark sums their counts, and
-    prefixes that min_count words or more begin with come to the driver. A label of 1 is toxic, any other ordinary; rows
+    Both are expressions on the labels' table. Words of all labelled rows are counted; Spark sums their counts, and
+    prefixes that min_count words or more begin with come to the driver. The score is fitted on max_rows rows at most. A label of 1 is toxic, any other ordinary; rows
     without a label or document are left out.
     """
     text_batches(docs.sparkSession)
     picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) == 1).cast("int").alias("label"), learn.alias("learn"), tune.alias("tune"))
-    picked = table(picked.where("learn OR tune").orderBy(F.xxhash64("id"), "id").limit(max_rows), "toxic-labels")
+    learnt = table(picked.where("learn").select("id", "label"), "toxic-labels")
+    tuned = table(picked.where("tune").select("id", "label").orderBy(F.xxhash64("id"), "id").limit(max_rows), "toxic-tune-labels")
     texts = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text"))
-    rows = texts.join(F.broadcast(picked), F.col("doc") == F.col("id")).select("label", "learn", "tune", "text")
-    counted = rows.where("learn").select("label", "text").mapInArrow(_count, "word binary, ordinary long, toxic long")
+    rows = texts
+    if learnt.count() <= max_rows:
+        learnt = F.broadcast(learnt)
+    elif dict(docs.dtypes)[id_col] == dict(labels.dtypes)[id_col]:  # as ids of other types hash otherwise
+        rows = may_have(texts.withColumn("key", F.xxhash64("doc")), "key", slots_of(learnt.select(F.xxhash64("id").alias("key")), "key", "toxic-slots"))
+    counted = rows.join(learnt, F.col("doc") == F.col("id")).select("label", "text").mapInArrow(_count, "word binary, ordinary long, toxic long")
     tally = table(counted.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "toxic-words")
     total = tally.agg(F.sum("ordinary"), F.sum("toxic")).first()
     ordered = tally.repartition(F.substring("word", 1, 2)).sortWithinPartitions("word")
     got = ordered.mapInArrow(lambda b: _prefixes(b, min_count), "prefix binary, ordinary long, toxic long").groupBy("prefix").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow()
     model = smooth(got.column("prefix").to_pylist(), np.stack([got.column(c).to_numpy() for c in ("ordinary", "toxic")], 1).astype(float).reshape(-1, 2), np.array([total[0] or 0, total[1] or 0], float))
     names = ["mean", "top", "length"]
-    told = _apply(rows.where("tune").select("label", "text"), model, lambda s, head: [head, *(pa.array(s[:, k]) for k in (2, 3, 4))], ["label", *names], "label int, mean double, top double, length double").toArrow()
+    told = _apply(texts.join(F.broadcast(tuned), F.col("doc") == F.col("id")).select("label", "text"), model, lambda s, head: [head, *(pa.array(s[:, k]) for k in (2, 3, 4))], ["label", *names], "label int, mean double, top double, length double").toArrow()
     told = told.sort_by([(c, "ascending") for c in (*names, "label")])
     model.weights = calibrate(np.stack([told.column(c).to_numpy() for c in names], 1), told.column("label").to_numpy().astype(float))
     return model

@@ -190,3 +190,10 @@ def test_round_trip_equals_the_library(spark):
     coded = bpe.encode(docs(spark, data), path)
     assert coded.where("NOT decodes").count() == 0
     assert bpe.decode(coded, path).count() == len(data) and bpe.encode(docs(spark, []), path).count() == 0
+
+
+def test_toxicity_counts_words_of_all_labelled_rows(spark):
+    df = spark.createDataFrame([(k, f"word{k % 7} vile" if k % 2 else f"word{k % 7} kind") for k in range(200)], "doc_id long, text string")
+    labels = df.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic")
+    few, all_ = (toxicity.train(df, labels, F.lit(True), F.lit(True), max_rows=n) for n in (20, 1000))
+    assert few.nodes == all_.nodes and np.array_equal(few.through, all_.through) and len(few.nodes) > 10
