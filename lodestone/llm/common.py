@@ -6,26 +6,62 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch of whole texts; with texts of 120 kB each such a batch holds 30 MB.
-BATCH_ROWS = 256
+#: Rows and bytes in an Arrow batch of whole texts, at most; one text that is longer is a batch by itself.
+BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
 
 SPACE = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. A local master, as in tests, gets a temporary
+    one where that is unset; a cluster must name it."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, path, True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/lodestone-{label}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that new_path named, wherever its file system is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: The folders of the open `scratch` blocks; tables go to the innermost.
+_open: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside go to a folder of their own, which is removed at the end: nothing lazy may still read them then."""
+    _open.append(new_path(spark, "run"))
+    try:
+        yield
+    finally:
+        remove(spark, _open.pop())
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Writes df to a path and reads it again."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(df: DataFrame, label: str, thin: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it again: later stages survive the loss of executors and don't recompute it.
 
@@ -34,14 +70,16 @@ def table(df: DataFrame, label: str, thin: bool = False) -> DataFrame:
     spark = df.sparkSession
     if thin:
         df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-    path = f"{shared_dir(spark)}/lodestone-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, f"{_open[-1]}/{label}-{uuid.uuid4().hex}" if _open else new_path(spark, label))
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Bounds the rows of Arrow batches, so that memory of Python workers follows the longest texts, not the table."""
+    """Bounds the rows and bytes of Arrow batches, so that memory of Python workers follows the longest text, not the table.
+
+    The settings are the session's, and stay: Spark reads them when a lazy result is run, which may be long after.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_of(col: str) -> Column:
@@ -53,19 +91,32 @@ def remainder(col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
 
 
-#: Slots of a table of keys that is broadcast: 2**20 rows of 8 bytes at most, whatever the number of keys.
-SLOTS = 1 << 20
+#: A filter of keys that is broadcast has 2**FILTER_LOG2 bits in words of 64: 2**20 rows of 16 bytes at most, whatever the
+#: number of keys. Keys that share a bit with a wanted one pass in vain, so with very many keys more rows pass, and none is lost.
+FILTER_LOG2 = 26
+
+
+def _bit(key: Column) -> Column:
+    """The bit of a 64-bit key within its word."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+
+
+def _word(key: Column) -> Column:
+    """The word that a key's bit is in."""
+    return F.shiftright(key, 6).bitwiseAND(F.lit((1 << (FILTER_LOG2 - 6)) - 1).cast("long"))
 
 
-def slot(key: Column) -> Column:
-    return key.bitwiseAND(F.lit(SLOTS - 1).cast("long"))
+def filter_of(keys: DataFrame, key: str, label: str) -> DataFrame:
+    """(filter_word, filter_bits): a filter of 64-bit keys, bounded by FILTER_LOG2, so that it may be broadcast."""
+    words = keys.groupBy(_word(F.col(key)).alias("filter_word")).agg(F.bit_or(_bit(F.col(key))).alias("filter_bits"))
+    return F.broadcast(table(words, label, thin=True))
 
 
-def slots_of(keys: DataFrame, key: str, label: str) -> DataFrame:
-    """The slots that the keys (64-bit hashes) fall into; SLOTS rows at most, so that it may be broadcast."""
-    return F.broadcast(table(keys.select(slot(F.col(key)).alias("taken")).distinct(), label))
+def hits(key: Column) -> Column:
+    """The condition under which a row with this key meets a filter's word: the key's bit is set there."""
+    return (_word(key) == F.col("filter_word")) & (F.col("filter_bits").bitwiseAND(_bit(key)) != 0)
 
 
-def may_have(df: DataFrame, key: str, slots: DataFrame) -> DataFrame:
-    """The rows of df whose key shares a slot with a wanted one: all that are wanted, and as few others as slots allow."""
-    return df.join(slots, slot(F.col(key)) == F.col("taken"), "left_semi")
+def may_have(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose key passes a filter: all that are wanted, and as few others as its bits allow."""
+    return df.join(wanted, hits(F.col(key)), "left_semi")

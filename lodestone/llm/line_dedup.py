@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import may_have, slot, slots_of, table, text_of
+from .common import filter_of, hits, may_have, table, text_of
 
 #: A segment that more lines than this have, at one place and line length, needs the lines' characters to agree as well.
 HOT = 16
@@ -158,10 +158,10 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = table(_lines(df, id_col, text_col), "lines")
     again = table(lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first"), "again")
     long = lines.withColumn("length", F.length("line")).where(F.col("length") >= least)
-    # lines that occur again meet first; the others, and most others' slots, need no shuffle
-    marked = long.join(slots_of(again, "h1", "again-slots"), slot(F.col("h1")) == F.col("taken"), "left")
-    repeated = table(marked.where("taken IS NOT NULL").groupBy("h1", "h2").agg(F.min("line").alias("line")), "repeated-lines")
-    cut = marked.where("taken IS NULL").select("h1", "line").union(repeated.select("h1", "line")).withColumn("length", F.length("line"))
+    # lines that occur again meet first; the others need no shuffle, but for a few that share a bit with one of them
+    marked = long.join(filter_of(again, "h1", "again-filter"), hits(F.col("h1")), "left")
+    repeated = table(marked.where("filter_bits IS NOT NULL").groupBy("h1", "h2").agg(F.min("line").alias("line")), "repeated-lines")
+    cut = marked.where("filter_bits IS NULL").select("h1", "line").union(repeated.select("h1", "line")).withColumn("length", F.length("line"))
     cut = cut.withColumn("bytes", F.col("line").cast("binary")).withColumn("plain", F.octet_length("line") == F.col("length"))
     same = Window.partitionBy("key")
     index = keyed(cut, index_specs(edits), edits, least, "b").withColumn("n", F.count(F.lit(1)).over(same)).withColumn("nth", F.row_number().over(same.orderBy("b")))
@@ -176,7 +176,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not asked.isEmpty():
         hot = index.where(F.col("n") > HOT).select("key", "b")
         names = hot.select(F.col("b").alias("h1")).union(asked.select(F.col("a").alias("h1")))
-        counted = table(may_have(long, "h1", slots_of(names, "h1", "hot-slots")).select("h1", *_characters(F.col("line"))).distinct(), "hot-lines")
+        counted = table(may_have(long, "h1", filter_of(names, "h1", "hot-filter")).select("h1", *_characters(F.col("line"))).distinct(), "hot-lines")
         of = lambda s: counted.select(F.col("h1").alias(s), *[F.col(f"g{k}").alias(f"{s}{k}") for k in range(len(GROUPS) + 1)])
         apart = sum((F.abs(F.col(f"a{k}") - F.col(f"b{k}")) for k in range(len(GROUPS) + 1)), F.lit(0))
         looking = asked.join(of("a"), "a").withColumnRenamed("key", "k")
@@ -184,14 +184,14 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         pairs = pairs.union(ordered(close))
     pairs = table(pairs.distinct(), "line-pairs")
     ends = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1")))
-    texts = may_have(long, "h1", slots_of(ends, "h1", "line-slots")).groupBy("h1", "h2").agg(F.min("line").alias("line"), F.min(order).alias("first"))
+    texts = may_have(long, "h1", filter_of(ends, "h1", "line-filter")).groupBy("h1", "h2").agg(F.min("line").alias("line"), F.min(order).alias("first"))
     texts = table(texts, "line-texts")
     side = lambda s: texts.select(F.col("h1").alias(s), F.col("h2").alias(f"h2_{s}"), F.col("line").alias(f"line_{s}"), F.col("first").alias(f"first_{s}"))
     alike = pairs.join(side("a"), "a").join(side("b"), "b").where(similar(F.col("line_a"), F.col("line_b"), edits))
     later = F.when(F.col("first_a") > F.col("first_b"), F.struct(F.col("a").alias("h1"), F.col("h2_a").alias("h2"))).otherwise(F.struct(F.col("b").alias("h1"), F.col("h2_b").alias("h2")))
     near = alike.select(later.alias("line")).select("line.h1", "line.h2").distinct().withColumn("near", F.lit(True))
     going = table(again.join(near, ["h1", "h2"], "full"), "going")
-    gone = may_have(lines.drop("line"), "h1", slots_of(going, "h1", "going-slots")).join(going, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (order != F.col("first")))
+    gone = may_have(lines.drop("line"), "h1", filter_of(going, "h1", "going-filter")).join(going, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (order != F.col("first")))
     return gone.groupBy("doc", "stamp").agg(F.collect_set("place").alias("places"))
 
 
@@ -207,11 +207,10 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ed
     gone = table(repeated_lines(df, id_col, text_col, edits, least).withColumn("key", F.xxhash64("doc", "stamp")), "gone")
     carried = F.struct(*carry) if carry else F.lit(None).cast("string")
     rows = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), carried.alias("carried")).withColumn("key", F.xxhash64(F.col("doc_id"), F.xxhash64("text")))
-    slots = slots_of(gone, "key", "gone-slots")
-    marked = rows.join(slots, slot(F.col("key")) == F.col("taken"), "left")
-    whole = marked.where("taken IS NULL").select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines"), F.lit(0).alias("n_gone"), "carried")
+    marked = rows.join(filter_of(gone, "key", "gone-filter"), hits(F.col("key")), "left")
+    whole = marked.where("filter_bits IS NULL").select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines"), F.lit(0).alias("n_gone"), "carried")
     places = gone.select(F.col("key").alias("k"), F.col("doc").alias("d"), "stamp", "places")
-    found = marked.where("taken IS NOT NULL").join(places, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("stamp")), "left")
+    found = marked.where("filter_bits IS NOT NULL").join(places, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("stamp")), "left")
     split = found.select("doc_id", "carried", F.split("text", "\n").alias("parts"), F.coalesce("places", F.array().cast("array<int>")).alias("places"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("places"))
     cut = split.select("doc_id", F.array_join(F.transform(stay, lambda k: F.get(F.col("parts"), k)), "\n").alias("text"), F.size("parts").alias("n_lines"), F.size("places").alias("n_gone"), "carried")

@@ -9,6 +9,8 @@ from .common import SPACE, table
 
 #: Rows of one source that share a hash prefix, on average at most; only the prefix in which a source's share ends is sorted.
 SLICE_ROWS = 2_000
+#: A plan for so many sources, a row of some 100 bytes each, is broadcast; one for more is joined by source.
+FEW_SOURCES = 50_000
 
 
 def words(col: str) -> Column:
@@ -37,23 +39,22 @@ def targets(sources: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] =
     return levels.select("source", "source_size", "weight", F.when(F.col("stops"), F.col("cap")).otherwise(F.col("final") * F.col("weight")).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """One row for each row of df: doc_id, source, size, source_size, target, repeats, taken.
+def _stamp(id_col: Column, seed: int) -> Column:
+    """The seeded order's key of an id; null ids hash as empty text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary"))
 
-    A document's size is its number of words. A source whose target is e times its size takes every document floor(e)
-    times, and once more those first in a seeded order (md5 of seed and id, then id), up to the one nearest to the
-    remaining share. So a source's taken words differ from its target by half a document at most, and reruns agree.
 
-    The order is cut into slices by hash prefix; sums of slices tell in which slice a source's share ends, and only that
-    slice is sorted, so that no task holds a hot source. Null texts have size 0; null sources are one source; null ids hash
-    as empty text; repeated rows count each. An empty table gives no rows.
+def _planned(sized: DataFrame, max_epochs: int, weights: tuple[int, ...]) -> tuple[DataFrame, int]:
+    """(s, source_size, target, whole, goal, slice, start) of each source, a row each, broadcast if sources are few; and by how
+    many digits of their stamps rows are cut into slices.
+
+    A row is taken `whole` times, and once more if its slice comes before `slice`. There the share ends: of the rows in that
+    one, those are taken whose words, counted from `start` on, come nearest to `goal`.
     """
-    stamp = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = table(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size")).withColumn("stamp", stamp), "sizes")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    largest = sources.agg(F.max("n")).first()[0] or 0
+    sources = table(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sources", thin=True)
+    largest, many = sources.agg(F.max("n"), F.count(F.lit(1))).first()
     digits = 1
-    while 16**digits * SLICE_ROWS < largest:
+    while 16**digits * SLICE_ROWS < (largest or 0):
         digits += 1
     shares = targets(sources.drop("n"), max_epochs, weights)
     shares = shares.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -62,19 +63,59 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     run = Window.partitionBy("source").orderBy("slice")
     slices = slices.withColumn("end", F.sum("words").over(run)).withColumn("start", F.col("end") - F.col("words"))
     ends = slices.join(shares.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).where("end >= goal").groupBy("source").agg(F.min(F.struct("slice", "start")).alias("last"))
-    plan = table(shares.join(ends.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", "goal", F.col("last.slice").alias("slice"), F.col("last.start").alias("start")), "shares")
-    told = sized.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    place = F.substring("stamp", 1, digits)
-    out = lambda rows, more: rows.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")).alias("repeats"))
-    sure = out(told.where(~F.coalesce(place == F.col("slice"), F.lit(False))), place < F.col("slice"))
+    plan = shares.join(ends.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
+    plan = table(plan.select(F.col("source").alias("s"), "source_size", "target", "whole", "goal", F.col("last.slice").alias("slice"), F.col("last.start").alias("start")), "shares")
+    return (F.broadcast(plan) if many <= FEW_SOURCES else plan), digits
+
+
+def _edge(sized: DataFrame, plan: DataFrame, digits: int) -> DataFrame:
+    """The rows of sized in the slice in which their source's share ends, with the plan and `more`: are they taken once more?"""
     within = Window.partitionBy("source").orderBy("stamp", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    cut = told.where(place == F.col("slice")).withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    edge = out(cut, F.col("before") + F.col("size") / 2 <= F.col("goal"))
-    return sure.unionByName(edge).withColumn("taken", F.col("size") * F.col("repeats"))
+    cut = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).where(F.substring("stamp", 1, digits) == F.col("slice"))
+    cut = cut.withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    return cut.withColumn("more", (F.col("size") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("goal")))
 
 
-def repeat(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of df as often as mixed says. Rows that share an id are all repeated as often as the most repeated of them."""
-    times = mixed.where("repeats > 0").groupBy(F.col("doc_id").alias("key")).agg(F.max("repeats").cast("int").alias("times"))
-    packed = df.select(F.col(id_col).alias("id"), F.struct("*").alias("row"))
-    return packed.join(times, F.col("id").eqNullSafe(F.col("key"))).select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")
+def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    return table(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size")).withColumn("stamp", _stamp(F.col("doc_id"), seed)), "sizes")
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """One row for each row of df: doc_id, source, size, source_size, target, repeats, taken.
+
+    A document's size is its number of words. A source whose target is e times its size takes every document floor(e)
+    times, and once more those first in a seeded order (md5 of seed and id, then id), up to the one nearest to the
+    remaining share. So a source's taken words differ from its target by half a document at most, and reruns agree.
+    Documents without words are taken floor(e) times.
+
+    The order is cut into slices by hash prefix; sums of slices tell in which slice a source's share ends, and only that
+    slice is sorted, so that no task holds a hot source. Null texts have size 0; null sources are one source; null ids hash
+    as empty text; repeated rows count each. An empty table gives no rows.
+    """
+    sized = _sized(df, id_col, text_col, source_col, seed)
+    plan, digits = _planned(sized, max_epochs, weights)
+    out = lambda rows, more: rows.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")).alias("repeats"))
+    place = F.substring("stamp", 1, digits)
+    sure = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).where(~F.coalesce(place == F.col("slice"), F.lit(False)))
+    told = out(sure, (place < F.col("slice")) & (F.col("size") > 0)).unionByName(out(_edge(sized, plan, digits), F.col("more")))
+    return told.withColumn("taken", F.col("size") * F.col("repeats"))
+
+
+def repeat(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """The rows of df as often as mix takes them, with all their columns, whatever their names.
+
+    How often follows from a row's source and stamp alone, but in the slice in which its source's share ends; so rows meet
+    the plan by a broadcast, and only that slice's rows are shuffled. Of rows that share id and source, all are repeated as
+    often as the most repeated one. Nulls, empty texts and empty tables are as in mix.
+    """
+    sized = _sized(df, id_col, text_col, source_col, seed)
+    plan, digits = _planned(sized, max_epochs, weights)
+    some = F.coalesce(F.regexp_like(F.col(text_col), F.lit(f"[^{SPACE}]")), F.lit(False))
+    rows = df.select(F.struct("*").alias("row"), F.col(source_col).alias("of"), _stamp(F.col(id_col), seed).alias("stamp"), some.alias("some"))
+    rows = rows.join(plan.select("s", "whole", "slice"), F.col("of").eqNullSafe(F.col("s")))
+    place = F.substring("stamp", 1, digits)
+    edge = F.coalesce(place == F.col("slice"), F.lit(False))
+    sure = rows.where(~edge).select("row", (F.col("whole") + F.coalesce(F.col("some") & (place < F.col("slice")), F.lit(False)).cast("long")).alias("times"))
+    more = _edge(sized, plan, digits).groupBy(F.col("source").alias("at"), F.col("stamp").alias("mark")).agg(F.max("more").alias("more"))
+    last = rows.where(edge).join(more, F.col("of").eqNullSafe(F.col("at")) & (F.col("stamp") == F.col("mark"))).select("row", (F.col("whole") + F.col("more").cast("long")).alias("times"))
+    return sure.unionByName(last).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).select("row.*")

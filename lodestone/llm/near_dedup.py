@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import may_have, slots_of, table, text_batches, text_of
+from .common import filter_of, hits, may_have, table, text_batches, text_of
 from .components import components, forest
 
 WIDTH = 5
@@ -18,7 +18,7 @@ WIDTH = 5
 #: 0.8 once in two million; at 0.3, as documents that share a passage have, one pair in thirty has one.
 BANDS, ROWS = 48, 6
 #: Rounds of trying each document with so many hubs before the rest of the pairs is verified, at most.
-ROUNDS, TRIES = 6, 3
+ROUNDS, TRIES = 6, 2
 #: Components of fewer documents are compared document by document, in buckets of up to CROWD such documents by pairs;
 #: all else in blocks of so many shingles.
 FEW, CROWD, BLOCK = 8, 16, 500_000
@@ -136,9 +136,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. Few sets are asked for as b, so those
+    are told first, and only they are dealt by b."""
+    asked = may_have(sets, "key", filter_of(pairs.select(F.xxhash64("b").alias("key")), "key", "asked-filter"))
     half = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("of_a")), "a")
-    full = half.join(sets.select(F.col("doc").alias("b"), F.col("set").alias("of_b")), "b")
+    full = half.join(asked.select(F.col("doc").alias("b"), F.col("set").alias("of_b")), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
     return full.where(100 * common >= percent * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
@@ -148,16 +150,22 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _mixed(members: DataFrame, known: DataFrame, number: int) -> tuple[DataFrame, int]:
-    """The members of buckets with several components, with their component and their bucket's hub, which a hash of the
-    round's number picks; and how many pairs of different components those buckets hold, counted once in each bucket."""
-    placed = members.join(known, F.col("doc") == F.col("node"), "left").select("band", "doc", "n", F.coalesce("component", "doc").alias("c"))
-    placed = table(placed, "placed", thin=True)
-    hubs = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64("doc", F.lit(number)).alias("by"), "doc", "n", "c")).alias("hub")).where("low < high")
-    mixed_up = table(placed.join(hubs.select("band", "hub"), "band"), "mixed", thin=True)
-    sizes = mixed_up.groupBy("band", "c").count().groupBy("band").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("within"))
-    pairs = sizes.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2)).first()[0]
-    return mixed_up, pairs or 0
+def _mixed(members: DataFrame, known: DataFrame, number: int) -> tuple[DataFrame, int, int]:
+    """The members (doc, n, c, bands) that share a bucket with another component, with those of their buckets that have
+    several components and each such bucket's hub, which a hash of the round's number picks: bands is an array of
+    (band, hub). And how many such members' places there are, and how many pairs of different components those buckets hold,
+    counted once in each bucket.
+
+    A document's component is looked up once, not once in each bucket. Buckets of one component are left out for good, since
+    components only grow together.
+    """
+    placed = members.join(known, F.col("doc") == F.col("node"), "left").select("doc", "n", F.coalesce("component", "doc").alias("c"), F.explode("bands").alias("band"))
+    hub = F.min(F.struct(F.xxhash64("doc", F.lit(number)).alias("by"), "doc", "n", "c")).alias("hub")
+    hubs = table(placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), hub).where("low < high").select("band", "hub"), "hubs", thin=True)
+    found = table(placed.join(hubs, "band"), "mixed", thin=True)
+    sizes = found.groupBy("band", "c").count().groupBy("band").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("within"))
+    places, pairs = sizes.agg(F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("within")) / 2)).first()
+    return found, places or 0, pairs or 0
 
 
 def _linked(percent: int, one: bool):
@@ -219,7 +227,8 @@ def _rest(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     whole. Those of smaller components face one another: in pairs where a bucket has CROWD of them at most, else bucket by
     bucket. Wholes and buckets are read in parts of BLOCK shingles, so that no group makes pairs of rows.
     """
-    docs = placed.select("doc", "n", "c").distinct()
+    docs = table(placed.select("doc", "n", "c").distinct(), "left", thin=True)
+    sets = table(may_have(sets, "key", filter_of(docs.select(F.xxhash64("doc").alias("key")), "key", "left-filter")), "left-sets")
     large = table(docs.groupBy("c").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= FEW).select(F.col("c").alias("large")), "large", thin=True)
     told = placed.join(large, F.col("c") == F.col("large"), "left")
     wholes = told.where("large IS NOT NULL").select("band", F.col("large").alias("g")).distinct()
@@ -236,17 +245,36 @@ def _rest(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return links.union(_verified(pairs, sets, percent)).union(_dealt(side("a"), side("b"), sets, percent, one=False))
 
 
+def _representatives(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One document (doc, n, bands) of each class of equal sets, that with the smallest id; and links (a, b) of the others to it.
+
+    Most rows are told from the others by a bounded broadcast, so their bands aren't shuffled.
+    """
+    digests = named.select("doc_id", "d1", "d2", "n_shingles")
+    classes = table(digests.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "classes", thin=True)
+    others = table(digests.join(classes, ["d1", "d2", "n_shingles"]).where("doc_id <> first").withColumn("key", F.xxhash64("doc_id", "d1", "d2")), "copies", thin=True)
+    rows = named.withColumn("key", F.xxhash64("doc_id", "d1", "d2"))
+    wanted = filter_of(others, "key", "copies-filter")
+    sure = rows.join(wanted, hits(F.col("key")), "left_anti")
+    rest = may_have(rows, "key", wanted).join(others.select("key", "doc_id", "d1", "d2"), ["key", "doc_id", "d1", "d2"], "left_anti")
+    # rows that repeat an id and a set are in a class by themselves, from which one goes on
+    firsts = sure.unionByName(rest).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "bands")
+    return firsts, others.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row for each row of df: doc_id, n_shingles, component_id, kept. doc_id is cast to long.
 
     Documents are linked when 100 * intersection >= percent * union of their word shingles; component_id is the smallest id
     that is reachable, the document itself included, and the row with that id is kept.
 
-    Equal sets are one class, whose smallest id stands for it. Representatives with a band in common are candidates, but
-    buckets are not expanded into all pairs. In each round every bucket names a hub by a hash, and each document is verified
-    with the TRIES hubs of other components that it shares most buckets with; union-find joins what is linked. Rounds go on
-    while they link and buckets still hold many pairs of different components. Then every document is verified against the other
-    components that it shares a bucket with, on full sets, so no link between components is lost.
+    Shingles are told apart by 64-bit hashes, and equal sets by the number and two 64-bit sums of them. Equal sets are one
+    class, whose smallest id stands for it. Representatives with a band in common are candidates; bands that one document
+    only has are dropped first, and buckets are not expanded into all pairs. In each round every bucket names a hub by a
+    hash, and each document is verified with the TRIES hubs of other components that it shares most buckets with; union-find
+    joins what is linked. Rounds go on while they link and buckets still hold many pairs of different components. Then every
+    document is verified against the other components that it shares a bucket with, on full sets, so no link between
+    components is lost.
 
     Null or blank texts have no shingles and are linked with nothing. Rows without an id are linked with nothing and kept.
     Rows that share an id are one node. Other columns are ignored; an empty table gives no rows.
@@ -254,34 +282,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     signed = table(rows.mapInArrow(_signed, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
-    named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = table(named.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("first")), "classes", thin=True)
-    joined = named.select("doc_id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"])
-    same = joined.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    firsts = named.join(classes, ["d1", "d2", "n_shingles"]).where("doc_id = first")
-    members = table(firsts.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band")), "members")
-    buckets = table(members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "buckets", thin=True)
-    members = table(members.join(buckets, "band").select("band", "doc", "n"), "crowded", thin=True)
+    firsts, same = _representatives(signed.where("n_shingles > 0 AND doc_id IS NOT NULL"))
+    placed = firsts.select("doc", "n", F.explode("bands").alias("band"))
+    buckets = table(placed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band"), "buckets", thin=True)
+    crowded = may_have(placed, "band", filter_of(buckets, "band", "buckets-filter")).join(buckets, "band")
+    members = table(crowded.groupBy("doc", "n").agg(F.collect_set("band").alias("bands")), "members", thin=True)
     keyed = rows.where("doc_id IS NOT NULL").withColumn("key", F.xxhash64("doc_id"))
-    wanted = may_have(keyed, "key", slots_of(members.select(F.xxhash64("doc").alias("key")), "key", "crowded-slots"))
-    sets = table(wanted.select("doc_id", "text").mapInArrow(_sets, "doc long, set array<long>"), "sets")
+    wanted = may_have(keyed, "key", filter_of(members.select(F.xxhash64("doc").alias("key")), "key", "crowded-filter"))
+    sets = table(wanted.select("doc_id", "text").mapInArrow(_sets, "doc long, set array<long>"), "sets").withColumn("key", F.xxhash64("doc"))
     known = df.sparkSession.createDataFrame([], "node long, component long")
     total = 0
     for number in range(ROUNDS + 1):
-        mixed_up, pairs = _mixed(members, known, number)
-        if number == ROUNDS or pairs <= 2 * mixed_up.count():
+        mixed_up, places, pairs = _mixed(members, known, number)
+        if number == ROUNDS or pairs <= 2 * places:
             break
+        members = table(mixed_up.groupBy("doc", "n").agg(F.collect_set("band").alias("bands")), "members", thin=True)
+        sets = may_have(sets, "key", filter_of(members.select(F.xxhash64("doc").alias("key")), "key", "members-filter"))
         shared = mixed_up.where((F.col("c") != F.col("hub.c")) & _alike(F.col("n"), F.col("hub.n"), percent)).groupBy("doc", F.col("hub.doc").alias("b")).count()
         nth = F.row_number().over(Window.partitionBy("doc").orderBy(F.col("count").desc(), "b"))
-        tries = shared.withColumn("nth", nth).where(F.col("nth") <= TRIES).select(F.col("doc").alias("a"), "b")
+        tries = table(shared.withColumn("nth", nth).where(F.col("nth") <= TRIES).select(F.col("doc").alias("a"), "b"), "tries", thin=True)
         links = table(_verified(tries, sets, percent), "links", thin=True)
         new = links.count()
         known = table(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "components", thin=True)
         total += new
         if new * 100 <= total:
-            mixed_up, _ = _mixed(members, known, number)
+            mixed_up, _, _ = _mixed(members, known, number)
             break
     more = table(_rest(mixed_up.select("band", "doc", "n", "c"), sets, percent), "links", thin=True)
     found = table(components(same.union(known.select(F.col("node").alias("a"), F.col("component").alias("b"))).union(more)), "components", thin=True)
-    told = signed.join(found, F.col("doc_id") == F.col("node"), "left")
+    told = signed.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
     return told.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import may_have, slots_of, table, text_batches, text_of
+from .common import filter_of, may_have, table, text_batches, text_of
 
 #: Labelled rows to fit the score on at most, first by hash of their ids; with more rows to count, labels are not broadcast.
 MAX_ROWS = 200_000
@@ -225,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, tune: Column, id_co
     if learnt.count() <= max_rows:
         learnt = F.broadcast(learnt)
     elif dict(docs.dtypes)[id_col] == dict(labels.dtypes)[id_col]:  # as ids of other types hash otherwise
-        rows = may_have(texts.withColumn("key", F.xxhash64("doc")), "key", slots_of(learnt.select(F.xxhash64("id").alias("key")), "key", "toxic-slots"))
+        rows = may_have(texts.withColumn("key", F.xxhash64("doc")), "key", filter_of(learnt.select(F.xxhash64("id").alias("key")), "key", "toxic-filter"))
     counted = rows.join(learnt, F.col("doc") == F.col("id")).select("label", "text").mapInArrow(_count, "word binary, ordinary long, toxic long")
     tally = table(counted.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "toxic-words")
     total = tally.agg(F.sum("ordinary"), F.sum("toxic")).first()

@@ -1,6 +1,6 @@
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from cases import docs, rows
@@ -66,11 +66,23 @@ def test_mixing_targets_and_words_taken(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
-def test_repeat_multiplies_rows(spark):
-    data = docs(spark, [(k, "a b c", "x" if k else "y") for k in range(9)])
+@pytest.mark.parametrize("few,slice_rows", [(50_000, 2_000), (1, 2)])
+def test_repeat_takes_what_mix_says(spark, monkeypatch, few, slice_rows):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+    monkeypatch.setattr(mixing, "SLICE_ROWS", slice_rows)
+    data = docs(spark, [(k, "a b c" + " d" * (k % 5), f"s{k % 4}" if k % 9 else None) for k in range(150)] + [(500 + k, t, "s1") for k, t in enumerate([None, "", " "])] + [(None, "no id", "s2")])
     mixed = mixing.mix(data)
-    out = mixing.repeat(data, mixed)
-    assert out.columns == data.columns and out.count() == sum(r.repeats for r in mixed.collect())
+    out = mixing.repeat(data)
+    assert out.columns == data.columns
+    got = Counter(r.doc_id for r in out.collect())
+    assert got == Counter({r.doc_id: r.repeats for r in mixed.collect() if r.repeats})
+    assert mixing.repeat(docs(spark, [])).count() == 0
+
+
+def test_documents_without_words_are_taken_with_whole_epochs_only(spark):
+    data = docs(spark, [(1, "a", "a"), (2, "", "a"), (3, "b " * 50, "b"), (4, "c " * 80, "c")])
+    assert {r.doc_id: r.repeats for r in mixing.mix(data).collect()}[2] <= 3
+    assert sum(r.doc_id == 2 for r in mixing.repeat(data).collect()) <= 3
 
 
 TEXTS = [None, "", " ", "  two  spaces ", "<s> </s> <unk>", "tab\tnew\nline　wide", "naïve ①② 한국어 🙂", "\x00\x1f", "a" * 5000, "ab c" * 4000, "🙂" * 3000, "x y" * 30_000, " " * 9000]
