@@ -5,12 +5,16 @@ with a loop for each byte. The gadget of a merge (u, v) -> uv acts on every stat
 arc v: q is copied without its arc v, p's arc u leads to the copy, and p gets an arc uv to where v led. So
 
 - all arcs of one token lead to one state, target[token]; a merge makes one new state, the copy, and target[uv] is target[v];
-- a state differs from the one it was copied from by one lost arc. States are kept as (parent, time, lost arc), which takes
-  memory in proportion to the merges, where explicit tables of arcs would take its square.
-
-Whether a state has an arc follows from that history (`Automaton.arc`), and answers are kept in a transition table. As the
-automaton is deterministic, each word has one accepted path; encoding searches it from the longest arc downwards. Decoding
-emits the arcs' labels.
+- a state differs from the one it was copied from by one lost arc, and gets the arcs uv of later merges where it has u. States
+  are kept as (parent, time, lost arc), which takes memory in proportion to the merges, where explicit tables of arcs would
+  take its square. `Automaton.arc` reads a state's arcs off them.
+
+Words are bytes, while arcs are tokens: several arcs may begin alike. So the automaton is run over bytes as its subset
+construction: a configuration holds the states at the ends of those tokenized beginnings of the word from which some token's
+bytes are still being read, each with its place in the trie of labels. As each beginning of a word has one tokenization, one
+arc at most ends at each byte, and the transition (configuration, byte) gives the next configuration and that arc. The
+transitions are a table that is filled as words ask for them; encoding a word is one look-up a byte, then the arcs are read
+from the end. Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -30,7 +34,8 @@ from .common import text_batches, text_of
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
 #: Words and transitions that a process keeps at most; beyond, it starts anew, so that memory does not grow with the corpus.
-KEPT_WORDS, KEPT_ARCS = 200_000, 1_000_000
+#: A word's own transitions come on top, one a byte.
+KEPT_WORDS, KEPT_ARCS = 200_000, 500_000
 
 
 def printable_bytes() -> dict[str, int]:
@@ -46,97 +51,88 @@ class Automaton:
     def __init__(self, labels: list[bytes], merges: list[tuple[int, int, int]], special: dict[str, int]):
         self.labels, self.special = labels, special
         n = len(labels)
-        self.made, self.left, self.right = [0] * n, [-1] * n, [-1] * n
+        #: When each token came to be, and the left part of its merge.
+        self.made, self.left = [0] * n, [-1] * n
         #: States: the parent, the time of the copy and the lost arc. State 0 is the first one.
         self.parent, self.time, self.lost = [-1], [0], [-1]
         self.target = [0] * n
-        merged = set(special.values())
+        usable = {t for t, label in enumerate(labels) if len(label) == 1 and t not in special.values()}
         for now, (u, v, uv) in enumerate(merges, 1):
-            arc_v = self.target[v]
+            if not self.arc(self.target[u], v):
+                continue  # no state has u before v, so the gadget finds nothing to act on
             self.parent.append(self.target[u])
             self.time.append(now)
             self.lost.append(v)
-            self.target[u] = len(self.parent) - 1
-            self.target[uv] = arc_v if u != v else self.parent[-1]
-            self.made[uv], self.left[uv], self.right[uv] = now, u, v
-            merged.add(uv)
-        self.trie: dict[int, list] = {}
-        for token, label in enumerate(labels):
-            if label and token not in special.values():
-                node = self.trie
-                for b in label[:-1]:
-                    node = node.setdefault(b, [None, {}])[1]
-                node.setdefault(label[-1], [None, {}])[0] = token
-        self.losses = self._losses()
-        self.table: dict[int, bool] = {}
+            self.target[u], self.target[uv] = len(self.parent) - 1, self.target[v]
+            self.made[uv], self.left[uv] = now, u
+            usable.add(uv)
+        #: The trie of labels: a node's children by byte, and the token that ends there, or -1.
+        self.children: list[dict[int, int]] = [{}]
+        self.ends = [-1]
+        for token in usable:
+            node = 0
+            for b in labels[token]:
+                node = self.children[node].setdefault(b, len(self.children))
+                if node == len(self.children):
+                    self.children.append({})
+                    self.ends.append(-1)
+            self.ends[node] = token
         self.words: dict[str, tuple[int, ...]] = {}
+        self._clear()
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
-    def _losses(self) -> dict[tuple[int, int], int]:
-        """For (token, arc): when the states that the token leads to lost that arc while they were the token's own."""
-        return {(self.left[t], self.right[t]): self.made[t] for t in range(len(self.labels)) if self.left[t] >= 0}
-
-    def arc(self, last: int, token: int) -> bool:
-        """Does target[last] have an arc `token`? The state's history runs down last's right parts: before `last` was made
-        its target was that of its right part. An arc uv was added when the state then had the arc u, so the question runs
-        down the token's left parts too, each up to the time when the next one was made."""
-        key = last << 20 | token
-        if (known := self.table.get(key)) is not None:
-            return known
-        answer, t, until = True, token, 1 << 60
-        while answer and t >= 0:
-            a, before = last, 1 << 60
-            while a >= 0:
-                lost = self.losses.get((a, t))
-                if lost is not None and self.made[a] < lost < before and self.made[t] < lost <= until:
-                    answer = False
-                    break
-                before, a = self.made[a], self.right[a]
-            until, t = self.made[t], self.left[t]
-        if len(self.table) >= KEPT_ARCS:
-            self.table.clear()
-        self.table[key] = answer
-        return answer
-
-    def _arcs_from(self, word: bytes, at: int) -> list[tuple[int, int]]:
-        """(end, token) of all labels that begin here, the shortest first."""
-        out, node = [], self.trie
-        for k in range(at, len(word)):
-            step = node.get(word[k])
-            if step is None:
-                break
-            if step[0] is not None:
-                out.append((k + 1, step[0]))
-            node = step[1]
-        return out
+    def _clear(self) -> None:
+        """Empties the tables of transitions. Configuration 0 is the one before a word."""
+        self.configurations: list[tuple[tuple[int, int], ...]] = [((0, 0),)]
+        self.numbers = {self.configurations[0]: 0}
+        self.table: dict[int, tuple[int, int]] = {}
+
+    def arc(self, state: int, token: int) -> bool:
+        """Has the state an arc `token`? A token that came after the state was added where the state had its left part; one
+        that came before was taken over from the parent, but for the lost one."""
+        parent, time, lost, made, left = self.parent, self.time, self.lost, self.made, self.left
+        while state:
+            if token == lost[state]:
+                return False
+            if made[token] < time[state]:
+                state = parent[state]
+            else:
+                token = left[token]
+        return True
+
+    def _transition(self, at: int, byte: int) -> tuple[int, int]:
+        """The configuration after a byte, and the arc that ends there; computed once and kept in the table."""
+        going, token = [], -1
+        for state, node in self.configurations[at]:
+            node = self.children[node].get(byte, -1)
+            if node >= 0:
+                end = self.ends[node]
+                if end >= 0 and self.arc(state, end):
+                    token = end
+                if self.children[node]:
+                    going.append((state, node))
+        if token < 0:
+            raise ValueError(f"the vocabulary has no token for byte {byte}")
+        after = (*going, (self.target[token], 0))
+        number = self.numbers.setdefault(after, len(self.configurations))
+        if number == len(self.configurations):
+            self.configurations.append(after)
+        self.table[at << 8 | byte] = got = number, token
+        return got
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        """The tokens of the one accepted path; a position that led nowhere is not tried again by the same arc."""
-        n = len(word)
-        path: list[int] = []
-        choices = [self._arcs_from(word, 0)]
-        table, shift = self.table, 20
-        while True:
-            here = choices[-1]
-            while here:
-                end, token = here.pop()
-                if path:
-                    ok = table.get(path[-1] << shift | token)
-                    if ok is None:
-                        ok = self.arc(path[-1], token)
-                else:
-                    ok = True
-                if ok:
-                    path.append(token)
-                    if end == n:
-                        return tuple(path)
-                    choices.append(self._arcs_from(word, end))
-                    break
-            else:
-                choices.pop()
-                if not path:
-                    raise ValueError(f"no path for {word!r}")
-                path.pop()
+        """The tokens of a word, by the table."""
+        if len(self.table) >= KEPT_ARCS:
+            self._clear()
+        table, at, arcs = self.table, 0, []
+        for byte in word:
+            at, token = table.get(at << 8 | byte) or self._transition(at, byte)
+            arcs.append(token)
+        out, end = [], len(word)
+        while end:
+            out.append(arcs[end - 1])
+            end -= len(self.labels[out[-1]])
+        return tuple(reversed(out))
 
     def _piece(self, text: str) -> list[tuple[int, ...]]:
         words, out = self.words, []
@@ -161,14 +157,35 @@ class Automaton:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """The arcs' labels in turn, special ones too; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
+        """The arcs' labels in turn, special ones too; bytes that are no UTF-8 become U+FFFD. Ids that aren't in the vocabulary,
+        and nulls, are left out, as the library does."""
+        n, labels = len(self.labels), self.labels
+        return b"".join([labels[i] for i in ids if i is not None and 0 <= i < n]).decode("utf-8", "replace")
+
+
+#: The settings that this encoder implements; a file with others is refused.
+SETTINGS = {
+    "normalizer": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
+    "decoder": {"type": "ByteLevel"},
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False},
+}
+FLAGS = {"single_word": False, "lstrip": False, "rstrip": False}
+
+
+def _differs(wanted, got) -> bool:
+    """Whether a setting is none of those wanted; what a file leaves out is off, and an empty string counts as none."""
+    if isinstance(wanted, dict):
+        return not isinstance(got, dict) or any(_differs(w, got.get(k)) for k, w in wanted.items())
+    return (wanted or None) != (got or None)
 
 
 def compile_file(path: str) -> Automaton:
-    """The automaton of a byte-level tokenizer's JSON file."""
+    """The automaton of a byte-level tokenizer's JSON file. Raises ValueError if its settings aren't those implemented here."""
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
+    if wrong := [k for k, v in SETTINGS.items() if _differs(v, data.get(k))] + [t["content"] for t in data["added_tokens"] if _differs(FLAGS, t)]:
+        raise ValueError(f"{path}: settings that aren't implemented: {', '.join(wrong)}")
     vocab, to_byte = data["model"]["vocab"], printable_bytes()
     special = {t["content"]: t["id"] for t in data["added_tokens"]}
     labels = [b""] * (max([*vocab.values(), *special.values()]) + 1)
@@ -193,7 +210,8 @@ def automaton(path: str) -> Automaton:
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: doc_id, ids (array of int), n_tokens, and whether decoding gives the text again.
 
-    Null texts count as empty and have no ids. Only text that holds no valid UTF-8 fails to come back.
+    Null texts count as empty and have no ids; a text of any length is one row's list. Null and repeated ids pass through,
+    other columns are ignored, and an empty table gives no rows. Only text that holds no valid UTF-8 fails to come back.
     """
     text_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
@@ -210,7 +228,11 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row for each row of df: doc_id and text. Null ids count as none and give an empty text."""
+    """One row for each row of df: doc_id and text.
+
+    A null list counts as empty and gives an empty text; in a list, nulls and ids outside the vocabulary are left out. Null
+    and repeated doc_ids pass through, other columns are ignored, and an empty table gives no rows.
+    """
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

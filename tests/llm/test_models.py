@@ -1,5 +1,7 @@
 import hashlib
+import json
 import random
+from pathlib import Path
 import zlib
 
 import numpy as np
@@ -165,9 +167,12 @@ def test_automaton_equals_explicit_gadgets(seed):
         word = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 12)))
         ids = merged(word)
         assert tool.encode_word(word) == ids
+        at = 0  # the word runs through the table: one look-up a byte
+        for byte in word:
+            at, _ = tool.table[at << 8 | byte]
         state = 0
         for a, b in zip((None, *ids), ids, strict=False):
-            assert b in states[state] and (a is None or tool.arc(a, b))
+            assert b in states[state] and tool.arc(0 if a is None else tool.target[a], b)
             state = states[state][b]
 
 
@@ -192,6 +197,31 @@ def test_round_trip_equals_the_library(spark):
     assert bpe.decode(coded, path).count() == len(data) and bpe.encode(docs(spark, []), path).count() == 0
 
 
+def test_tables_start_anew_and_foreign_ids_are_left_out(spark, monkeypatch):
+    tool = bpe.compile_file(tokenizer("byte_bpe_50k.json"))
+    text = "The quick brown fox's 12 jumps, été \n\n over " + "a" * 300
+    want = tool.encode(text)
+    monkeypatch.setattr(bpe, "KEPT_ARCS", 5)
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 1)
+    assert tool.encode(text) == want and len(tool.table) < 400
+    assert tool.decode([want[0], -1, None, 10**6]) == "The"
+    df = spark.createDataFrame([(1, [want[0], None, 99_999, -1]), (None, None), (1, [])], "doc_id long, ids array<int>")
+    assert rows(bpe.decode(df, tokenizer("byte_bpe_50k.json")), "doc_id", "text") == sorted([(1, "The"), (None, ""), (1, "")], key=repr)
+
+
+def test_other_settings_are_refused(tmp_path):
+    data = json.loads(Path(tokenizer("byte_bpe_50k.json")).read_text())
+    for path, value in [(("normalizer",), {"type": "NFC"}), (("pre_tokenizer", "add_prefix_space"), True), (("model", "ignore_merges"), True), (("added_tokens", 0, "lstrip"), True)]:
+        changed = json.loads(json.dumps(data))
+        at = changed
+        for k in path[:-1]:
+            at = at[k]
+        at[path[-1]] = value
+        (tmp_path / "t.json").write_text(json.dumps(changed))
+        with pytest.raises(ValueError):
+            bpe.compile_file(str(tmp_path / "t.json"))
+
+
 def test_toxicity_counts_words_of_all_labelled_rows(spark):
     df = spark.createDataFrame([(k, f"word{k % 7} vile" if k % 2 else f"word{k % 7} kind") for k in range(200)], "doc_id long, text string")
     labels = df.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic")
