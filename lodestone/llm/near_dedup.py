@@ -136,13 +136,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. Few sets are asked for as b, so those
-    are told first, and only they are dealt by b."""
-    asked = may_have(sets, "key", filter_of(pairs.select(F.xxhash64("b").alias("key")), "key", "asked-filter"))
-    half = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("of_a")), "a")
-    full = half.join(asked.select(F.col("doc").alias("b"), F.col("set").alias("of_b")), "b")
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    return full.where(100 * common >= percent * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. Only sets that some pair asks for are dealt."""
+    half, full = pairs, F.size(F.array_intersect("of_a", "of_b"))
+    for side in "ab":
+        asked = may_have(sets, "key", filter_of(pairs.select(F.xxhash64(side).alias("key")), "key", "asked-filter"))
+        half = half.join(asked.select(F.col("doc").alias(side), F.col("set").alias(f"of_{side}")), side)
+    return half.where(100 * full >= percent * (F.size("of_a") + F.size("of_b") - full)).select("a", "b")
 
 
 def _alike(n: Column, m: Column, percent: int) -> Column:
@@ -297,7 +296,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if number == ROUNDS or pairs <= 2 * places:
             break
         members = table(mixed_up.groupBy("doc", "n").agg(F.collect_set("band").alias("bands")), "members", thin=True)
-        sets = may_have(sets, "key", filter_of(members.select(F.xxhash64("doc").alias("key")), "key", "members-filter"))
         shared = mixed_up.where((F.col("c") != F.col("hub.c")) & _alike(F.col("n"), F.col("hub.n"), percent)).groupBy("doc", F.col("hub.doc").alias("b")).count()
         nth = F.row_number().over(Window.partitionBy("doc").orderBy(F.col("count").desc(), "b"))
         tries = table(shared.withColumn("nth", nth).where(F.col("nth") <= TRIES).select(F.col("doc").alias("a"), "b"), "tries", thin=True)

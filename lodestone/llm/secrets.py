@@ -40,6 +40,9 @@ MORE = [
 ]
 RULES = BASE + MORE
 
+#: Matches of one text whose places are summed together.
+SPANS_BLOCK = 1_000
+
 #: Slots of the candidates' table that is broadcast: 2**20 rows of 16 bytes at most. Documents that share a slot with a
 #: candidate are verified too, so more candidates cost time and no results.
 SLOTS = 1 << 20
@@ -192,19 +195,37 @@ def candidates(index: DataFrame, queries: dict[int, Query], wanted: list[str]) -
 
 
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
-    """Array of (start, rank, end) of a rule's matches: what lies between them and the matches tell where each begins."""
+    """Array of (start, rank, end) of a rule's matches.
+
+    What lies between matches, and the matches, tell where each begins: their lengths are summed up.
+    """
     hits, between = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)), F.split(text, rule.regex, -1)
     value = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))
-    lengths = F.arrays_zip(F.transform(hits, lambda x: F.length(x)).alias("hit"), F.slice(F.transform(between, lambda x: F.length(x)), 1, F.size(hits)).alias("gap"), F.transform(value, lambda x: F.length(x)).alias("value"))
+    parts = F.arrays_zip(F.transform(hits, lambda x: F.length(x)).alias("hit"), F.slice(F.transform(between, lambda x: F.length(x)), 1, F.size(hits)).alias("gap"), F.transform(value, lambda x: F.length(x)).alias("value"))
+    return _summed(parts, rule.least, rank)
+
+
+def _summed(parts: Column, least: int, rank: int) -> Column:
+    """Spans of (hit, gap, value) lengths, by a running sum. A fold copies the array that it appends to, so spans are gathered
+    in blocks of SPANS_BLOCK, and blocks in an array of blocks: a million matches are a thousand blocks of a thousand."""
+    n = F.size(parts)
+    blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / SPANS_BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    cut = F.transform(blocks, lambda b: F.slice(parts, b * SPANS_BLOCK + 1, F.lit(SPANS_BLOCK)))
     empty = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["hit"]).alias("end"))
-        return F.struct((start + x["hit"]).alias("at"), F.when(x["value"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def inner(at: Column, block: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["hit"]).alias("end"))
+            return F.struct((start + x["hit"]).alias("at"), F.when(x["value"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(block, F.struct(at.alias("at"), empty.alias("out")), step)
+
+    def outer(acc: Column, block: Column) -> Column:
+        return F.get(F.transform(F.array(inner(acc["at"], block)), lambda got: F.struct(got["at"].alias("at"), F.concat(acc["out"], F.array(got["out"])).alias("out"))), F.lit(0))
 
-    return F.aggregate(lengths, begin, step, lambda acc: acc["out"])
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,rank:int,end:int>>>").alias("out"))
+    return F.aggregate(cut, begin, outer, lambda acc: F.flatten(acc["out"]))
 
 
 def _joined(spans: Column, rules: list[Rule]) -> Column:

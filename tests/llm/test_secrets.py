@@ -73,3 +73,10 @@ def test_queries_of_regexes():
     assert secrets.trigram_query("abc|ab") is True
     assert secrets.trigram_query("x(abc|bcd)*") is True
     assert secrets.trigram_query("(foo|bar)+z") == ("and", (("or", ("arz", "ooz")), ("or", ("bar", "foo"))))
+
+
+def test_spans_of_many_matches_are_summed_in_blocks(spark, monkeypatch):
+    data = [(1, " ".join("deadbeef" * 3 + "é" * (k % 3) for k in range(7))), (2, "x"), (3, "token=abcdefgh\n" * 5)]
+    want = rows(secrets.digest(secrets.scan(docs(spark, data))), "doc_id", "n_hex", "n_assign", "spans")
+    monkeypatch.setattr(secrets, "SPANS_BLOCK", 2)
+    assert rows(secrets.digest(secrets.scan(docs(spark, data))), "doc_id", "n_hex", "n_assign", "spans") == want
