@@ -17,6 +17,8 @@ WIDTH = 5
 #: Registers of a signature in bands of ROWS. At a similarity of 0.75 a pair has no band in common once in 12,000 times, at
 #: 0.8 once in two million; at 0.3, as documents that share a passage have, one pair in thirty has one.
 BANDS, ROWS = 48, 6
+#: Bands that are tried before all of them.
+LEAD = 8
 #: Rounds of trying each document with so many hubs before the rest of the pairs is verified, at most.
 ROUNDS, TRIES = 6, 2
 #: Components of fewer documents are compared document by document, in buckets of up to CROWD such documents by pairs;
@@ -261,52 +263,72 @@ def _representatives(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     return firsts, others.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """One row for each row of df: doc_id, n_shingles, component_id, kept. doc_id is cast to long.
+def _edges(known: DataFrame) -> DataFrame:
+    return known.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
-    Documents are linked when 100 * intersection >= percent * union of their word shingles; component_id is the smallest id
-    that is reachable, the document itself included, and the row with that id is kept.
 
-    Shingles are told apart by 64-bit hashes, and equal sets by the number and two 64-bit sums of them. Equal sets are one
-    class, whose smallest id stands for it. Representatives with a band in common are candidates; bands that one document
-    only has are dropped first, and buckets are not expanded into all pairs. In each round every bucket names a hub by a
-    hash, and each document is verified with the TRIES hubs of other components that it shares most buckets with; union-find
-    joins what is linked. Rounds go on while they link and buckets still hold many pairs of different components. Then every
-    document is verified against the other components that it shares a bucket with, on full sets, so no link between
-    components is lost.
+def _sets_of(rows: DataFrame, members: DataFrame, sets: DataFrame | None) -> DataFrame:
+    """(doc, set, key): the shingle sets of the members, besides those that are there."""
+    wanted = members.select(F.xxhash64("doc").alias("key"))
+    if sets is not None:
+        wanted = wanted.join(sets.select("key").distinct(), "key", "left_anti")
+    keyed = may_have(rows.where("doc_id IS NOT NULL").withColumn("key", F.xxhash64("doc_id")), "key", filter_of(wanted, "key", "crowded-filter"))
+    more = table(keyed.select("doc_id", "text").mapInArrow(_sets, "doc long, set array<long>"), "sets").withColumn("key", F.xxhash64("doc"))
+    return more if sets is None else sets.union(more.join(sets.select("key").distinct(), "key", "left_anti").select(*sets.columns))
 
-    Null or blank texts have no shingles and are linked with nothing. Rows without an id are linked with nothing and kept.
-    Rows that share an id are one node. Other columns are ignored; an empty table gives no rows.
-    """
-    text_batches(df.sparkSession)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    signed = table(rows.mapInArrow(_signed, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
-    firsts, same = _representatives(signed.where("n_shingles > 0 AND doc_id IS NOT NULL"))
-    placed = firsts.select("doc", "n", F.explode("bands").alias("band"))
-    buckets = table(placed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band"), "buckets", thin=True)
-    crowded = may_have(placed, "band", filter_of(buckets, "band", "buckets-filter")).join(buckets, "band")
-    members = table(crowded.groupBy("doc", "n").agg(F.collect_set("band").alias("bands")), "members", thin=True)
-    keyed = rows.where("doc_id IS NOT NULL").withColumn("key", F.xxhash64("doc_id"))
-    wanted = may_have(keyed, "key", filter_of(members.select(F.xxhash64("doc").alias("key")), "key", "crowded-filter"))
-    sets = table(wanted.select("doc_id", "text").mapInArrow(_sets, "doc long, set array<long>"), "sets").withColumn("key", F.xxhash64("doc"))
-    known = df.sparkSession.createDataFrame([], "node long, component long")
+
+def _joined_by_hubs(members: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rounds of trying documents with hubs: what is known of components then, and what _mixed tells of the buckets left."""
     total = 0
     for number in range(ROUNDS + 1):
         mixed_up, places, pairs = _mixed(members, known, number)
         if number == ROUNDS or pairs <= 2 * places:
-            break
+            return known, mixed_up
         members = table(mixed_up.groupBy("doc", "n").agg(F.collect_set("band").alias("bands")), "members", thin=True)
         shared = mixed_up.where((F.col("c") != F.col("hub.c")) & _alike(F.col("n"), F.col("hub.n"), percent)).groupBy("doc", F.col("hub.doc").alias("b")).count()
         nth = F.row_number().over(Window.partitionBy("doc").orderBy(F.col("count").desc(), "b"))
         tries = table(shared.withColumn("nth", nth).where(F.col("nth") <= TRIES).select(F.col("doc").alias("a"), "b"), "tries", thin=True)
         links = table(_verified(tries, sets, percent), "links", thin=True)
         new = links.count()
-        known = table(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "components", thin=True)
+        known = table(components(_edges(known).union(links)), "components", thin=True)
         total += new
         if new * 100 <= total:
-            mixed_up, _, _ = _mixed(members, known, number)
             break
+    return known, _mixed(members, known, number)[0]
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """One row for each row of df: doc_id, n_shingles, component_id, kept. doc_id is cast to long.
+
+    Documents are linked when 100 * intersection >= percent * union of their word shingles; component_id is the smallest id
+    that is reachable, the document itself included, and the row with that id is kept.
+
+    Shingles are told apart by 64-bit hashes, and equal sets by the number and two 64-bit sums of them. Equal sets are one
+    class, whose smallest id stands for it. Representatives with a band in common are candidates; buckets are not expanded
+    into all pairs. In each round every bucket names a hub by a hash, and each document is verified with the TRIES hubs of
+    other components that it shares most buckets with; union-find joins what is linked. Rounds go on while they link and
+    buckets still hold many pairs of different components. The first LEAD bands go first: most copies of large groups are
+    then in one component, so that few of the other bands' buckets have several. Of all bands, buckets of one component are
+    dropped before documents meet them. At last every document is verified against the other components that it shares a
+    bucket with, on full sets, so no link between components is lost.
+
+    Null or blank texts have no shingles and are linked with nothing. Rows without an id are linked with nothing and kept.
+    Rows that share an id are one node. Other columns are ignored; an empty table gives no rows.
+    """
+    text_batches(df.sparkSession)
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    signed = table(rows.mapInArrow(_signed, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
+    firsts, same = _representatives(signed.where("n_shingles > 0 AND doc_id IS NOT NULL"))
+    known = df.sparkSession.createDataFrame([], "node long, component long")
+    sets = None
+    for lead in (LEAD, BANDS):
+        placed = firsts.join(known, F.col("doc") == F.col("node"), "left").select("doc", "n", F.coalesce("component", "doc").alias("c"), F.explode(F.slice("bands", 1, lead)).alias("band"))
+        buckets = table(placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band"), "buckets", thin=True)
+        crowded = may_have(placed.select("doc", "n", "band"), "band", filter_of(buckets, "band", "buckets-filter")).join(buckets, "band")
+        members = table(crowded.groupBy("doc", "n").agg(F.collect_set("band").alias("bands")), "members", thin=True)
+        sets = _sets_of(rows, members, sets)
+        known, mixed_up = _joined_by_hubs(members, sets, known, percent)
     more = table(_rest(mixed_up.select("band", "doc", "n", "c"), sets, percent), "links", thin=True)
-    found = table(components(same.union(known.select(F.col("node").alias("a"), F.col("component").alias("b"))).union(more)), "components", thin=True)
+    found = table(components(same.union(_edges(known)).union(more)), "components", thin=True)
     told = signed.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
     return told.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
