@@ -4,10 +4,11 @@ The automaton reads tokens and accepts exactly the sequences that are the tokeni
 with a loop for each byte. The gadget of a merge (u, v) -> uv acts on every state p with an arc u to a state q that has an
 arc v: q is copied without its arc v, p's arc u leads to the copy, and p gets an arc uv to where v led. So
 
-- all arcs of one token lead to one state, target[token]; a merge makes one new state, the copy, and target[uv] is target[v];
-- a state differs from the one it was copied from by one lost arc, and gets the arcs uv of later merges where it has u. States
-  are kept as (parent, time, lost arc), which takes memory in proportion to the merges, where explicit tables of arcs would
-  take its square. `Automaton.arc` reads a state's arcs off them.
+- all arcs of one token lead to one state; so a state is named by the token that leads to it, -1 being the first state. A
+  merge (u, v) -> uv turns u's state into the copy, and the arc uv leads to the state that v had then: uv's state begins as v's.
+- a state is told by its losses: u's state lost the arc v when (u, v) was merged, and before u came to be, its history is that
+  of u's right part. A table of losses takes memory in proportion to the merges, where explicit tables of arcs would take its
+  square. `Automaton.arc` reads a state's arcs off it.
 
 Words are bytes, while arcs are tokens: several arcs may begin alike. So the automaton is run over bytes as its subset
 construction: a configuration holds the states at the ends of those tokenized beginnings of the word from which some token's
@@ -51,20 +52,16 @@ class Automaton:
     def __init__(self, labels: list[bytes], merges: list[tuple[int, int, int]], special: dict[str, int]):
         self.labels, self.special = labels, special
         n = len(labels)
-        #: When each token came to be, and the left part of its merge.
-        self.made, self.left = [0] * n, [-1] * n
-        #: States: the parent, the time of the copy and the lost arc. State 0 is the first one.
-        self.parent, self.time, self.lost = [-1], [0], [-1]
-        self.target = [0] * n
+        #: When each token came to be, and the parts of its merge.
+        self.made, self.left, self.right = [0] * n, [-1] * n, [-1] * n
+        #: When the state of a token lost an arc, by token << 24 | arc.
+        self.losses: dict[int, int] = {}
         usable = {t for t, label in enumerate(labels) if len(label) == 1 and t not in special.values()}
         for now, (u, v, uv) in enumerate(merges, 1):
-            if not self.arc(self.target[u], v):
+            if not self.arc(u, v):
                 continue  # no state has u before v, so the gadget finds nothing to act on
-            self.parent.append(self.target[u])
-            self.time.append(now)
-            self.lost.append(v)
-            self.target[u], self.target[uv] = len(self.parent) - 1, self.target[v]
-            self.made[uv], self.left[uv] = now, u
+            self.losses[u << 24 | v] = now
+            self.made[uv], self.left[uv], self.right[uv] = now, u, v
             usable.add(uv)
         #: The trie of labels: a node's children by byte, and the token that ends there, or -1.
         self.children: list[dict[int, int]] = [{}]
@@ -83,39 +80,45 @@ class Automaton:
 
     def _clear(self) -> None:
         """Empties the tables of transitions. Configuration 0 is the one before a word."""
-        self.configurations: list[tuple[tuple[int, int], ...]] = [((0, 0),)]
+        self.configurations: list[tuple[tuple[int, int], ...]] = [((-1, 0),)]
         self.numbers = {self.configurations[0]: 0}
         self.table: dict[int, tuple[int, int]] = {}
 
     def arc(self, state: int, token: int) -> bool:
-        """Has the state an arc `token`? A token that came after the state was added where the state had its left part; one
-        that came before was taken over from the parent, but for the lost one."""
-        parent, time, lost, made, left = self.parent, self.time, self.lost, self.made, self.left
-        while state:
-            if token == lost[state]:
-                return False
-            if made[token] < time[state]:
-                state = parent[state]
-            else:
-                token = left[token]
+        """Has the state an arc `token`? It has unless the arc was lost, by the state itself or in the part of its history
+        that it shares with its right part's state; and an arc uv was added only where the state then had the arc u, which
+        is asked of the token's left part in turn, as of the time when uv was made."""
+        losses, made, left, right = self.losses, self.made, self.left, self.right
+        until = 1 << 60
+        while token >= 0:
+            at, before, since = state, 1 << 60, made[token]
+            while at >= 0:
+                lost = losses.get(at << 24 | token)
+                if lost is not None and made[at] < lost < before and since < lost <= until:
+                    return False
+                before, at = made[at], right[at]
+            until, token = since, left[token]
         return True
 
     def _transition(self, at: int, byte: int) -> tuple[int, int]:
         """The configuration after a byte, and the arc that ends there; computed once and kept in the table."""
         going, token = [], -1
-        for state, node in self.configurations[at]:
-            node = self.children[node].get(byte, -1)
-            if node >= 0:
-                end = self.ends[node]
-                if end >= 0 and self.arc(state, end):
+        children, ends = self.children, self.ends
+        for pair in self.configurations[at]:
+            node = children[pair[1]].get(byte)
+            if node is not None:
+                end = ends[node]
+                if end >= 0 and token < 0 and self.arc(pair[0], end):
                     token = end
-                if self.children[node]:
-                    going.append((state, node))
+                if children[node]:
+                    going.append((pair[0], node))
         if token < 0:
             raise ValueError(f"the vocabulary has no token for byte {byte}")
-        after = (*going, (self.target[token], 0))
-        number = self.numbers.setdefault(after, len(self.configurations))
-        if number == len(self.configurations):
+        going.append((token, 0))
+        after = tuple(going)
+        number = self.numbers.get(after)
+        if number is None:
+            number = self.numbers[after] = len(self.configurations)
             self.configurations.append(after)
         self.table[at << 8 | byte] = got = number, token
         return got
