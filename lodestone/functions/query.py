@@ -26,15 +26,30 @@ def exclusions(query: str) -> list[str]:
     return [t[1:].strip('"') for t in websearch_tokens(query) if t.startswith("-") and len(t) > 1]
 
 
-def relaxed_matches(query: str, postings: DataFrame) -> DataFrame:
-    """(doc_id) of documents with any positive token and no excluded one; all documents if nothing is positive."""
-    words = lambda texts: [w for t in texts for w in re.findall("[a-z0-9]+", t.lower())]
-    wanted, unwanted = words([positive_text(query)]), words(exclusions(query))
-    hit = postings.where(F.col("lexeme").isin(wanted)) if wanted else postings
-    out = hit.select("doc_id").distinct()
-    if unwanted:
-        out = out.join(postings.where(F.col("lexeme").isin(unwanted)).select("doc_id").distinct(), "doc_id", "left_anti")
-    return out
+def _with_phrase(words: list[str], positions: DataFrame) -> DataFrame:
+    """(doc_id) of documents that have the words in a row."""
+    numbered = positions.sparkSession.createDataFrame(list(enumerate(words)), "nth int, lexeme string")
+    hit = positions.join(F.broadcast(numbered), "lexeme").select("doc_id", (F.col("at") - F.col("nth")).alias("begin"), "nth")
+    return hit.groupBy("doc_id", "begin").agg(F.count_distinct("nth").alias("n")).where(F.col("n") == len(words)).select("doc_id").distinct()
+
+
+def relaxed_matches(query: str, positions: DataFrame) -> DataFrame:
+    """(doc_id) of documents with any positive operand and no excluded one; all documents if nothing is positive.
+
+    positions: (doc_id, lexeme, at). An operand is a word or a quoted phrase; a phrase, and a word that falls into several
+    lexemes, is met where its lexemes stand in a row.
+    """
+    lexemes = lambda texts: [w for w in (re.findall("[a-z0-9]+", t.lower()) for t in texts) if w]
+    wanted, unwanted = lexemes(websearch_tokens(positive_text(query))), lexemes(exclusions(query))
+
+    def having(operands: list[list[str]]) -> DataFrame:
+        out = positions.where(F.col("lexeme").isin([w[0] for w in operands if len(w) == 1])).select("doc_id")
+        for words in (w for w in operands if len(w) > 1):
+            out = out.union(_with_phrase(words, positions))
+        return out.distinct()
+
+    out = having(wanted) if wanted else positions.select("doc_id").distinct()
+    return out.join(having(unwanted), "doc_id", "left_anti") if unwanted else out
 
 
 def languages(text: Column) -> Column:
@@ -63,13 +78,15 @@ def alias_conflicts(aliases: DataFrame) -> DataFrame:
 
 
 def find_aliases(text: str, aliases: list[str]) -> list[tuple[int, int, str]]:
-    """Longest aliases first, none overlapping, none inside a run of ASCII letters or digits: (start, end, alias)."""
-    found: list[tuple[int, int, str]] = []
-    for alias in sorted(set(aliases), key=lambda a: (-len(a), a)):
-        edge = lambda c: rf"(?<![a-z0-9])(?:{c})(?![a-z0-9])" if alias.isascii() else c  # noqa: B023, E731
-        for m in re.finditer(edge(re.escape(alias)), text):
-            if all(m.end() <= s or e <= m.start() for s, e, _ in found):
-                found.append((m.start(), m.end(), alias))
+    """Longest aliases first, none overlapping: (start, end, alias). One of ASCII letters, digits and blanks only must not
+    stand inside a run of letters or digits; others, as those with marks, may."""
+    alone = lambda a: rf"(?<![a-z0-9]){re.escape(a)}(?![a-z0-9])" if a.isascii() and a.replace(" ", "").isalnum() else re.escape(a)
+    spans = {(m.start(), m.end()): a for a in set(aliases) for m in re.finditer(alone(a), text)}
+    free, found = [True] * len(text), []
+    for start, end in sorted(spans, key=lambda x: (x[0] - x[1], x[0])):
+        if all(free[start:end]):
+            free[start:end] = [False] * (end - start)
+            found.append((start, end, spans[start, end]))
     return sorted(found)
 
 

@@ -2,44 +2,48 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-from lodestone.functions.query import alias_text, find_aliases
+#: A year in a question, and one that a later year replaces, with the Korean word for year.
+YEAR, YEAR_NAME = r"(?:19|20)\d{2}", r"(?:19|20)\d{2}년?"
 
 
-def combine(topic: str, question: str, aliases: list[str]) -> str:
-    """The topic before the question, without the names and years that the question replaces."""
-    import re
+def alias_pattern(aliases: list[str]) -> str:
+    """A pattern of all aliases in any case, longer ones first; one of ASCII letters, digits and blanks only stands by itself."""
+    if not aliases:
+        return r"(?!)"
+    one = lambda a: re.escape(a).replace("\\ ", r"\s+")
+    alone = lambda a: rf"(?<![0-9A-Za-z]){one(a)}(?![0-9A-Za-z])" if re.fullmatch(r"[0-9A-Za-z\s]+", a) else one(a)
+    return "(?iu)(?:" + "|".join(alone(a) for a in sorted(set(aliases), key=lambda a: (-len(a), a))) + ")"
 
-    if find_aliases(alias_text(question), aliases):
-        for alias in aliases:
-            topic = re.sub(re.escape(alias), "", topic, flags=re.IGNORECASE)
-    if re.search(r"(?:19|20)\d{2}", question):
-        topic = re.sub(r"(?:19|20)\d{2}년?", "", topic)
-    return f"{' '.join(topic.split())} — {question}"
 
-
-def follow_ups(turns: DataFrame, aliases: list[str], opens: Callable[[str], bool], follows: Callable[[str], bool]) -> DataFrame:
+def follow_ups(turns: DataFrame, aliases: list[str], opens: Callable[[Column], Column], follows: Callable[[Column], Column]) -> DataFrame:
     """(conv_id, turn, query): each user turn as it is to be searched.
 
-    A turn that opens a topic stands for itself; one that follows carries the topic on; any other ends it. Turns are walked
-    in order, a conversation at a time.
-    """
+    A conversation falls into stretches: each turn that doesn't follow begins one, and only those that a topic opens are
+    carried on. A following turn in such a stretch is searched as all the stretch up to it, joined by dashes. What a later
+    turn of the stretch replaces is left out of the earlier ones: names if it names an alias, years if it has one. The last
+    turn up to here that does either tells which parts that concerns, so windows are enough. Parts are trimmed. Null texts are
+    empty and neither open nor follow; turns of equal number are ordered by text; other roles' turns are left out.
 
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        topic, out = None, []
-        for turn, text in frame.sort_values("turn")[["turn", "text"]].itertuples(index=False):
-            text = text or ""
-            if opens(text):
-                topic = text
-            elif topic is not None and follows(text):
-                topic = combine(topic, text, aliases)
-            else:
-                topic = None
-            out.append((turn, topic or text))
-        return pd.DataFrame({"conv_id": frame["conv_id"].iloc[0], "turn": [t for t, _ in out], "query": [q for _, q in out]})
-
-    return turns.where("role = 'user'").select("conv_id", "turn", "text").groupBy("conv_id").applyInPandas(walk, "conv_id long, turn long, query string")
+    opens, follows: conditions on a turn's text. aliases: as they may be written, full-width forms excepted.
+    """
+    named = alias_pattern(aliases)
+    user = turns.where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "text")
+    told = user.withColumn("at", F.row_number().over(order)).withColumn("follows", F.coalesce(follows(F.col("text")), F.lit(False)) & ~F.coalesce(opens(F.col("text")), F.lit(False)))
+    told = told.withColumn("stretch", F.sum((~F.col("follows")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    so_far = Window.partitionBy("conv_id", "stretch").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda pattern: F.coalesce(F.max(F.when(F.regexp_like("text", F.lit(pattern)), F.col("at"))).over(so_far), F.lit(0))
+    told = told.withColumn("live", F.coalesce(F.first(opens(F.col("text"))).over(so_far), F.lit(False)) & F.col("follows"))
+    told = told.withColumn("named", last(named)).withColumn("dated", last(YEAR)).withColumn("parts", F.collect_list(F.struct("at", "text")).over(so_far))
+
+    def part(p: Column) -> Column:
+        unnamed = F.when(p["at"] < F.col("named"), F.regexp_replace(p["text"], F.lit(named), F.lit(" "))).otherwise(p["text"])
+        return F.trim(F.when(p["at"] < F.col("dated"), F.regexp_replace(unnamed, F.lit(YEAR_NAME), F.lit(""))).otherwise(unnamed))
+
+    return told.select("conv_id", "turn", F.when(F.col("live"), F.array_join(F.transform("parts", part), " — ")).otherwise(F.col("text")).alias("query"))

@@ -29,16 +29,20 @@ def column_years(cells: DataFrame, headers: DataFrame, captions: DataFrame) -> D
 def check_figures(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """(answer_id, figure, verdict, found_years): each figure of an answer against the evidence's figures.
 
-    answers: (answer_id, answer, requested: array of years). evidence: (answer_id, value, years). A figure is verified by an
-    equal magnitude of a requested period, or of any if none is requested. An equal one of other periods only is a mismatch;
-    one without a period proves nothing about a requested one.
+    answers: (answer_id, answer, requested: array of years). evidence: (answer_id, value, years), and label, if there is such
+    a column: a label is a figure of a header or title. A figure is verified by an equal magnitude of a requested period, or
+    of any if none is requested. If all equal ones have periods, but others, it is a mismatch; if some have none, it is
+    unverified, as it is where nothing is equal. Labels count only where no other figure is equal; they verify in any case.
     """
-    asked = answers.select("answer_id", "requested", F.explode(F.array_distinct(figures(F.col("answer")))).alias("figure")).withColumn("m", magnitude(F.col("figure")))
-    held = evidence.select("answer_id", magnitude(F.col("value")).alias("m"), "years").where("m IS NOT NULL")
+    label = F.coalesce(F.col("label"), F.lit(False)) if "label" in evidence.columns else F.lit(False)
+    asked = answers.select("answer_id", F.coalesce("requested", F.array().cast("array<int>")).alias("requested"), F.explode(F.array_distinct(figures(F.col("answer")))).alias("figure")).withColumn("m", magnitude(F.col("figure")))
+    held = evidence.select("answer_id", magnitude(F.col("value")).alias("m"), F.coalesce("years", F.array().cast(dict(evidence.dtypes)["years"])).alias("years"), label.alias("label")).where("m IS NOT NULL")
     met = asked.join(held, ["answer_id", "m"], "left")
-    fits = F.col("years").isNotNull() & ((F.size("requested") == 0) | F.arrays_overlap("years", "requested"))
-    told = met.groupBy("answer_id", "figure").agg(F.coalesce(F.max(fits), F.lit(False)).alias("ok"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("years")))).alias("found_years"))
-    verdict = F.when(F.col("ok"), "verified").when(F.size("found_years") > 0, "period_mismatch").otherwise("unverified")
+    cell = F.coalesce(~F.col("label"), F.lit(False))
+    fits = cell & ((F.size("requested") == 0) | F.arrays_overlap("years", "requested"))
+    years = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(cell, F.col("years"))))))
+    told = met.groupBy("answer_id", "figure").agg(F.max(fits).alias("ok"), F.max(cell).alias("cells"), F.min(F.when(cell, F.size("years") > 0)).alias("dated"), F.max(F.coalesce("label", F.lit(False))).alias("labelled"), years.alias("found_years"))
+    verdict = F.when(F.coalesce("ok", F.lit(False)), "verified").when(F.col("cells") & F.col("dated"), "period_mismatch").when(~F.col("cells") & F.col("labelled"), "verified").otherwise("unverified")
     return told.select("answer_id", "figure", verdict.alias("verdict"), "found_years")
 
 

@@ -59,8 +59,13 @@ def top_k(scored: DataFrame, k: int, *ties: str) -> DataFrame:
 def fuse(lanes: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of (query_id, lane, doc_id, rank): (query_id, doc_id, score, rank).
 
-    A document counts once in a lane, by its first rank.
+    A document counts once in a lane, by its first rank. If lanes have a column identity, one document with two of them raises
+    an error.
     """
+    if "identity" in lanes.columns:
+        clash = F.raise_error(F.concat(F.lit("one document, two identities: "), F.col("doc_id").cast("string"))).cast("boolean")
+        two = lanes.groupBy("doc_id").agg(F.min("identity").alias("low"), F.max("identity").alias("high")).where(F.when(F.col("low") != F.col("high"), clash).otherwise(F.lit(True)))
+        lanes = lanes.join(two.select("doc_id"), "doc_id")
     first = lanes.groupBy("query_id", "lane", "doc_id").agg(F.min("rank").alias("rank"))
     fused = first.groupBy("query_id", "doc_id").agg(F.sum(F.lit(1.0) / (rrf_k + F.col("rank"))).alias("score"))
     return top_k(fused, k, "doc_id")
@@ -77,10 +82,12 @@ def first_of(hits: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 
 def text_owner(hits: DataFrame) -> DataFrame:
-    """Adds owner: the best-ranked hit of the query whose text is the same but for white space."""
+    """Adds owner: the best-ranked hit of the query whose text, its header included if there is one, is the same but for white
+    space."""
     from lodestone.functions.text import collapse
 
-    same = Window.partitionBy("query_id", collapse(F.col("body"))).orderBy("rank")
+    text = F.concat_ws("\n\n", "header", "body") if "header" in hits.columns else F.col("body")
+    same = Window.partitionBy("query_id", collapse(text)).orderBy("rank")
     return hits.withColumn("owner", F.first("doc_id").over(same))
 
 
@@ -106,10 +113,15 @@ def fill(hits: DataFrame, k: int, budget: int) -> DataFrame:
     return listed.select("query_id", F.aggregate("hits", zero, step, lambda acc: acc["taken"]).alias("taken"))
 
 
-def transitions(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(query_id, doc_id, change, delta) of two rankings; a missing rank is a miss."""
+def transitions(before: DataFrame, after: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, change, delta) of two rankings; a missing rank is a miss.
+
+    asked: (query_id, doc_id) pairs that are told of besides; those that neither ranking has are stable misses.
+    """
     both = before.select("query_id", "doc_id", F.col("rank").alias("was")).join(after.select("query_id", "doc_id", F.col("rank").alias("now")), ["query_id", "doc_id"], "full")
-    change = F.when(F.col("was").isNull(), "miss_to_hit").when(F.col("now").isNull(), "hit_to_miss").otherwise("stable_hit")
+    if asked is not None:
+        both = both.join(asked.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "full")
+    change = F.when(F.col("was").isNull() & F.col("now").isNull(), "stable_miss").when(F.col("was").isNull(), "miss_to_hit").when(F.col("now").isNull(), "hit_to_miss").otherwise("stable_hit")
     return both.select("query_id", "doc_id", change.alias("change"), (F.col("was") - F.col("now")).alias("delta"))
 
 

@@ -18,10 +18,15 @@ def test_web_search_syntax(spark):
     postings = spark.createDataFrame([(1, "a"), (1, "c"), (2, "b"), (3, "d")], "doc_id int, lexeme string")
     ids = lambda q: sorted(r.doc_id for r in Q.relaxed_matches(q, postings).collect())
     assert ids("a b") == [1, 2] and ids("a b -c") == [2] and ids("-c") == [2, 3]
+    texts = {1: "cash flow rose", 2: "flow of cash", 3: "cash cash flow", 4: "debt cash flow", 5: "net"}
+    postings = spark.createDataFrame([(d, w, k) for d, t in texts.items() for k, w in enumerate(t.split())], "doc_id int, lexeme string, at int")
+    assert ids('"cash flow"') == [1, 3, 4] and ids('net "cash flow" -debt') == [1, 3, 5] and ids('cash -"cash flow"') == [2]
+    assert ids('"cash cash flow" or "of cash"') == [2, 3] and ids("cash-flow") == [1, 3, 4]
 
 
 def test_aliases(spark):
     assert Q.find_aliases("amd and amd inc", ["amd", "amd inc"]) == [(0, 3, "amd"), (8, 15, "amd inc")]
+    assert Q.find_aliases("sat&t rose", ["at&t"]) == [(1, 5, "at&t")] and Q.find_aliases("ab b c", ["ab b", "b c"]) == [(0, 4, "ab b")]
     assert Q.find_aliases("samd", ["amd"]) == [] and Q.find_aliases("삼성전자의", ["삼성전자"]) == [(0, 4, "삼성전자")]
     got = Q.alias_matches(spark.createDataFrame([(1, "ＡＭＤ  Inc vs Intel"), (2, None)], "query_id int, question string"), ["AMD inc", "intel"])
     assert {r.query_id: r.aliases for r in got.collect()} == {1: ["amd inc", "intel"], 2: []}

@@ -97,7 +97,7 @@ def test_ranges_and_packing(spark):
     ranges = spark.createDataFrame([("wide", 0, 200), ("near", 60, 130), ("tie", 60, 130)], "name string, low long, high long")
     assert {r.page: r["name"] for r in parsing.narrowest(pages, ranges).collect()} == {5: "wide", 70: "near"}
     df = spark.createDataFrame([(["aa", "bb", "cccccc", "d"],)], "s array<string>")
-    assert df.select(parsing.pack(F.col("s"), 5).alias("x")).first().x == ["aa bb", "cccccc", "d"]
+    assert df.select(parsing.pack(F.col("s"), 6).alias("x")).first().x == ["aa bb", "cccccc", "d"]
 
 
 def test_catalog(spark):
@@ -123,18 +123,68 @@ def test_page_ranges(spark, text, want):
     assert [(r.low, r.high) for r in got] == want
 
 
-def test_page_marks(spark):
-    blocks = {0: "1", 6: "2", 8: "3", 12: "4", 20: "900", 30: "40", 36: "41", 42: "43", 50: "44", 60: "x", 70: "12"}
+@pytest.mark.parametrize(
+    "blocks,want",
+    [
+        ({0: "1", 6: "2", 12: " 3\n"}, [(0, 1), (6, 2), (12, 3)]),  # a chain from the start
+        ({0: "1", 3: "2", 9: "5"}, [(0, 1)]),  # too near, then a step too far
+        ({0: "1", 6: "50", 12: "2"}, [(0, 1), (12, 2)]),  # a figure between footers
+        ({0: "71", 5: "72", 10: "74", 15: "75"}, [(0, 71), (5, 72), (10, 74), (15, 75)]),  # three in a row begin a chain
+        ({0: "71", 5: "72"}, []),
+        ({0: "1", 6: "30", 12: "31", 18: "1", 24: "32", 30: "33", 36: "34"}, [(0, 1), (24, 32), (30, 33), (36, 34)]),  # a smaller number ends a run
+        ({0: "1", 6: "30", 12: "31", 18: "2", 24: "32"}, [(0, 1), (18, 2)]),  # a number that follows comes before a run's end
+        ({0: "9999", 6: "x", 12: None}, []),
+        ({}, []),
+    ],
+)
+def test_page_marks(spark, blocks, want):
     df = spark.createDataFrame([(1, k, t) for k, t in blocks.items()] + [(2, 0, "7")], "doc_id int, block_no int, text string")
-    got = sorted((r.block_no, r.page) for r in parsing.page_marks(df).where("doc_id = 1").collect())
-    assert got == [(0, 1), (6, 2), (12, 4), (30, 40), (36, 41), (42, 43), (50, 44)]
-    assert parsing.page_marks(df).where("doc_id = 2").count() == 0
+    assert sorted((r.block_no, r.page) for r in parsing.page_marks(df).where("doc_id = 1").collect()) == want
 
 
 def test_follow_ups(spark):
     from lodestone.operators.conversations import follow_ups
 
-    turns = [(1, 1, "user", "AMD revenue in 2023"), (1, 2, "assistant", "5"), (1, 3, "user", "and in 2024?"), (1, 4, "user", "and Intel?"), (1, 5, "user", "hello"), (1, 6, "user", "and 2022?"), (2, 1, "user", None)]
+    said = {
+        1: ["Amdahl and AMD revenue 2023", "and AMD margins in 2024", "and in 2022년?", "so Intel", "hello", "so what"],
+        2: ["so first", None, "Tell me AT&T costs", "so 2019", "and sat&t"],
+        3: ["Tell me Intel", "Tell me more of Intel in 2020", "and cash"],
+    }
+    turns = [(c, 2 * k, "user", t) for c, texts in said.items() for k, t in enumerate(texts)] + [(1, 1, "assistant", "Tell me Intel 2001")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    got = {(r.conv_id, r.turn): r["query"] for r in follow_ups(df, ["amd", "intel"], lambda t: "revenue" in t, lambda t: t.startswith("and")).collect()}
-    assert got == {(1, 1): "AMD revenue in 2023", (1, 3): "AMD revenue in — and in 2024?", (1, 4): "revenue in — and in 2024? — and Intel?", (1, 5): "hello", (1, 6): "and 2022?", (2, 1): ""}
+    got = {(r.conv_id, r.turn): r["query"] for r in follow_ups(df, ["amd", "Intel", "at&t"], lambda t: t.rlike("revenue|Tell"), lambda t: t.rlike("^(and|so) ")).collect()}
+    assert [got[1, 2 * k] for k in range(6)] == [
+        "Amdahl and AMD revenue 2023",
+        "Amdahl and   revenue — and AMD margins in 2024",
+        "Amdahl and   revenue — and AMD margins in — and in 2022년?",
+        "Amdahl and   revenue — and   margins in — and in 2022년? — so Intel",
+        "hello",
+        "so what",
+    ]
+    assert [got[2, 2 * k] for k in range(5)] == ["so first", "", "Tell me AT&T costs", "Tell me AT&T costs — so 2019", "Tell me   costs — so 2019 — and sat&t"]
+    assert [got[3, 2 * k] for k in range(3)] == ["Tell me Intel", "Tell me more of Intel in 2020", "Tell me more of Intel in 2020 — and cash"]
+    assert follow_ups(df.limit(0), [], lambda t: t == "", lambda t: t == "").count() == 0
+
+
+def test_verdicts_of_mixed_periods_and_labels(spark):
+    from lodestone.operators.figures import check_figures
+
+    answers = spark.createDataFrame([(1, "It was 14 and 20 and 31 and 7.", [2024])], "answer_id int, answer string, requested array<int>")
+    rows = [(1, "14", [2023], False), (1, "14", [], False), (1, "20", [2023], False), (1, "31", None, True), (1, "7", [2024], None)]
+    evidence = spark.createDataFrame(rows, "answer_id int, value string, years array<int>, label boolean")
+    got = {r.figure: (r.verdict, r.found_years) for r in check_figures(answers, evidence).collect()}
+    assert got == {"14": ("unverified", [2023]), "20": ("period_mismatch", [2023]), "31": ("verified", []), "7": ("verified", [2024])}
+
+
+def test_conflicts_headers_and_stable_misses(spark):
+    lanes = spark.createDataFrame([(1, "a", 7, 1, "x"), (1, "b", 7, 2, "y")], "query_id int, lane string, doc_id int, rank int, identity string")
+    with pytest.raises(Exception, match="two identities"):
+        ranking.fuse(lanes, 5).collect()
+    assert ranking.fuse(lanes.where("lane = 'a'"), 5).count() == 1
+    hits = spark.createDataFrame([(1, 5, 1, "h1", "b"), (1, 6, 2, "h2", "b"), (1, 7, 3, "h1", " b ")], "query_id int, doc_id int, rank int, header string, body string")
+    assert {r.doc_id: r.owner for r in ranking.text_owner(hits).collect()} == {5: 5, 6: 6, 7: 5}
+    before, after = (spark.createDataFrame(x, "query_id int, doc_id int, rank int") for x in ([(1, 1, 1), (1, 2, 2)], [(1, 1, 3), (1, 3, 1)]))
+    asked = spark.createDataFrame([(1, 9), (1, 1)], "query_id int, doc_id int")
+    assert {r.doc_id: r.change for r in ranking.transitions(before, after, asked).collect()} == {1: "stable_hit", 2: "hit_to_miss", 3: "miss_to_hit", 9: "stable_miss"}
+    with pytest.raises(Exception, match="longer than 5"):
+        spark.createDataFrame([(["aa", "cccccc"],)], "s array<string>").select(parsing.pack(F.col("s"), 5)).collect()
