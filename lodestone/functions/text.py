@@ -18,8 +18,8 @@ SECRETS = [
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of a-z and 0-9, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
+    """Lower-case runs of letters, their marks and digits of any script, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))
 
 
 def korean_tokens(text: Column) -> Column:

@@ -18,7 +18,12 @@ def document_frequency(postings: DataFrame) -> DataFrame:
 
 def corpus_statistics(postings: DataFrame) -> DataFrame:
     """(language, n, avgdl) over documents with a token."""
-    return lengths(postings).groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return statistics(lengths(postings))
+
+
+def statistics(lengths: DataFrame) -> DataFrame:
+    """(language, n, avgdl) of documents' lengths."""
+    return lengths.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def receipt(postings: DataFrame) -> DataFrame:

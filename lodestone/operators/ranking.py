@@ -22,16 +22,19 @@ def check_bm25(k1: float, b: float, variant: str) -> None:
         raise ValueError(f"k1 {k1}, b {b}, idf {variant}")
 
 
-def bm25(questions: DataFrame, postings: DataFrame, k1: float = 1.2, b: float = 0.75, variant: str = "lucene") -> DataFrame:
+def bm25(questions: DataFrame, postings: DataFrame, k1: float = 1.2, b: float = 0.75, variant: str = "lucene", lengths: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score) of documents that have a token of the question, by their own language's statistics.
 
-    questions: (query_id, question). Query tokens count once each. Postings are joined on the lexeme, so only those of the
-    questions' tokens move; statistics per language are a few rows.
+    questions: (query_id, question). Query tokens count once each. Only postings of the questions' tokens are counted and
+    moved: the semi-join goes below the postings' own grouping. lengths: (doc_id, language, dl) of documents with a token; if
+    they aren't given they are summed over all postings. Statistics per language are a few rows.
     """
     check_bm25(k1, b, variant)
     asked = questions.select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("lexeme"))
-    hits = postings.join(asked, "lexeme")
-    hits = hits.join(indexing.document_frequency(postings), ["language", "lexeme"]).join(indexing.lengths(postings), ["doc_id", "language"]).join(indexing.corpus_statistics(postings), "language")
+    lengths = indexing.lengths(postings) if lengths is None else lengths
+    met = postings.join(asked.select("lexeme").distinct(), "lexeme", "left_semi")
+    hits = met.join(asked, "lexeme").join(indexing.document_frequency(met), ["language", "lexeme"])
+    hits = hits.join(lengths, ["doc_id", "language"]).join(indexing.statistics(lengths), "language")
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(idf(variant, F.col("n").cast("double"), F.col("df").cast("double")) * weight).alias("score"))
 

@@ -43,7 +43,7 @@ def ref_subset_test(spark, d):
     return got.select("l_orderkey", (F.size(F.array_except("flags", F.slice("flags", 1, 1))) == 0).alias("same"))
 
 
-@query("WITH t AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS l FROM documents)), f AS (SELECT doc_id, w, min(i) AS i FROM t GROUP BY ALL), j AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS words, count(*) AS n FROM f GROUP BY doc_id) SELECT doc_id, coalesce(words, '') AS words, coalesce(n, 0) AS n FROM documents LEFT JOIN j USING (doc_id)")
+@query(r"WITH t AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS l FROM documents)), f AS (SELECT doc_id, w, min(i) AS i FROM t GROUP BY ALL), j AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS words, count(*) AS n FROM f GROUP BY doc_id) SELECT doc_id, coalesce(words, '') AS words, coalesce(n, 0) AS n FROM documents LEFT JOIN j USING (doc_id)")
 def ref_ordered_distinct(spark, d):
     w = views.read(spark, d, "documents").select("doc_id", F.array_distinct(T.tokens(F.coalesce("text", F.lit("")))).alias("w"))
     return w.select("doc_id", F.array_join("w", " ").alias("words"), F.size("w").cast("long").alias("n"))
@@ -80,8 +80,8 @@ def ref_rows_digest(spark, d):
     return identity.rows_digest(views.read(spark, d, "documents"), "text")
 
 
-@query("""
-    WITH w AS (SELECT conv_id * 100 + turn AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations),
+@query(r"""
+    WITH w AS (SELECT conv_id * 100 + turn AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS w FROM conversations),
     h AS (SELECT id, (('0x' || sha256(w)[1:16])::UBIGINT % 64)::INT AS place, CASE WHEN ('0x' || sha256(w)[17:18])::INT % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM w),
     v AS (SELECT id, place, sum(s)::DOUBLE AS v FROM h GROUP BY ALL)
     SELECT id, place, round(v / sqrt(sum(v * v) OVER (PARTITION BY id)), 9) AS value FROM v QUALIFY v <> 0""")

@@ -27,17 +27,17 @@ CHUNK = """chunk AS (
         SELECT *, coalesce(sum(length(body) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_char
         FROM (SELECT doc_id, lang AS language, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents))
     WHERE trim(body) <> '')"""
-POSTING = """token AS (SELECT doc_id, lang AS language, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS lexeme FROM documents),
+POSTING = r"""token AS (SELECT doc_id, lang AS language, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS lexeme FROM documents),
 posting AS (SELECT doc_id, language, lexeme, count(*) AS tf FROM token GROUP BY ALL)"""
 GOLD = """gold AS (
     SELECT item_id AS query_id, doc_id, instr(d.text, b.text) - 1 AS start_char, instr(d.text, b.text) - 1 + length(b.text) AS end_char,
            row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS gold_no
     FROM documents d JOIN benchmark b ON contains(d.text, b.text))"""
-BM25 = POSTING + """,
+BM25 = POSTING.replace("{", "{{").replace("}", "}}") + r""",
 len AS (SELECT doc_id, language, sum(tf) AS dl FROM posting GROUP BY ALL),
 freq AS (SELECT language, lexeme, count(*) AS df FROM posting GROUP BY ALL),
 stat AS (SELECT language, count(*) AS n, avg(dl) AS avgdl FROM len GROUP BY ALL),
-asked AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS lexeme FROM benchmark),
+asked AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+')) AS lexeme FROM benchmark),
 scored AS (
     SELECT query_id, doc_id, round(sum({idf} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
     FROM posting JOIN asked USING (lexeme) JOIN freq USING (language, lexeme) JOIN len USING (doc_id, language) JOIN stat USING (language) GROUP BY ALL),
@@ -64,7 +64,7 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_hits(spark: SparkSession, d: str, k: int, variant: str = "lucene") -> DataFrame:
-    scored = ranking.bm25(views.questions(spark, d), views.postings(spark, d), variant=variant).withColumn("score", F.round("score", 6))
+    scored = ranking.bm25(views.questions(spark, d), views.postings(spark, d), variant=variant, lengths=views.lengths(spark, d)).withColumn("score", F.round("score", 6))
     return ranking.top_k(scored, k, "doc_id")
 
 
@@ -168,7 +168,7 @@ def ref_component_ranks(spark, d):
 
 @query(f"WITH {BM25.format(idf=LUCENE, k=10)} SELECT query_id, fiscal_year, doc_id, rank FROM (SELECT query_id, (2019 + doc_id % 6)::INT AS fiscal_year, doc_id, row_number() OVER (PARTITION BY query_id, doc_id % 6 ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 3")
 def ref_compare_years(spark, d):
-    scored = ranking.bm25(views.questions(spark, d), views.postings(spark, d)).withColumn("score", F.round("score", 6)).withColumn("fiscal_year", (2019 + F.col("doc_id") % 6).cast("int"))
+    scored = ranking.bm25(views.questions(spark, d), views.postings(spark, d), lengths=views.lengths(spark, d)).withColumn("score", F.round("score", 6)).withColumn("fiscal_year", (2019 + F.col("doc_id") % 6).cast("int"))
     order = Window.partitionBy("query_id", "fiscal_year").orderBy(F.col("score").desc(), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("query_id", "fiscal_year", "doc_id", "rank")
 
@@ -271,7 +271,7 @@ def ref_latest_row(spark, d):
 
 @query(f"WITH {BM25.format(idf=LUCENE, k=10)} SELECT count(*) AS cases, count(*) FILTER (n IS NULL) AS empty, (count(*) FILTER (n IS NULL))::DOUBLE / count(*) AS empty_rate, avg(coalesce(n, 0)) AS mean_candidates FROM benchmark LEFT JOIN (SELECT query_id, count(*) AS n FROM scored GROUP BY ALL) ON item_id = query_id")
 def ref_candidate_coverage(spark, d):
-    return evaluation.candidate_coverage(views.questions(spark, d), ranking.bm25(views.questions(spark, d), views.postings(spark, d)))
+    return evaluation.candidate_coverage(views.questions(spark, d), ranking.bm25(views.questions(spark, d), views.postings(spark, d), lengths=views.lengths(spark, d)))
 
 
 # --- catalog -----------------------------------------------------------------------------------------------------

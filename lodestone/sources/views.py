@@ -51,6 +51,12 @@ def postings(spark: SparkSession, path: str) -> DataFrame:
     return t.groupBy("doc_id", "language", "lexeme").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def lengths(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, language, dl) of documents with a token, without a shuffle of their tokens."""
+    d = read(spark, path, "documents").select("doc_id", F.col("lang").alias("language"), F.size(tokens(F.col("text"))).cast("long").alias("dl"))
+    return d.where("dl > 0").groupBy("doc_id", "language").agg(F.sum("dl").alias("dl"))
+
+
 def gold(spark: SparkSession, path: str) -> DataFrame:
     """(item_id, doc_id, start_char, end_char): where a document holds a benchmark passage word for word.
 

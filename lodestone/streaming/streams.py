@@ -29,18 +29,33 @@ def job_state(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count(F.lit(1)).alias("n"))
 
 
-def distinct_requests(stream: DataFrame, keys: tuple[str, ...] = ("user_id", "event_type")) -> DataFrame:
-    """The first request of each key; the state of keys is kept as long as the log is."""
-    return stream.dropDuplicates(list(keys))
+def distinct_requests(stream: DataFrame, keys: tuple[str, ...] = ("user_id", "event_type"), within: str | None = None) -> DataFrame:
+    """The first request of each key. Keys are remembered for as long as `within` says, or for good if it is not given."""
+    if within is None:
+        return stream.dropDuplicates(list(keys))
+    return stream.withWatermark("ts", within).dropDuplicatesWithinWatermark(list(keys))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share; a local session without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    return folder or tempfile.mkdtemp(prefix="lodestone-")
 
 
 def run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Drains what the source holds now, and returns the sink's rows. Progress is kept in the shared folder."""
-    name = f"stream_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    """Drains what the source holds now, and returns the sink's rows. Rows and progress are written to the shared folder, a
+    repeated batch over its first try; in complete mode the last batch holds all rows, else every batch adds its own."""
+    folder = f"{shared_folder(spark)}/stream_{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/{'all' if mode == 'complete' else number}")
+
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows/none")
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows/*")
 
 
 #: Where a job may go from each state.

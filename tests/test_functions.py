@@ -63,3 +63,7 @@ def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
     assert [r.x for r in df.select(vectors.cosine(F.col("a"), F.col("b")).alias("x")).collect()] == [pytest.approx(0.96), None]
     assert [r.x for r in df.select(vectors.valid(F.col("a"), 2).alias("x")).collect()] == [True, False]
+
+
+def test_tokens_of_any_script(spark):
+    assert one(spark, T.tokens(F.col("t")), t="Données für Straße, 12 ЦЕНА café-x") == ["données", "für", "straße", "12", "цена", "café", "x"]

@@ -30,3 +30,13 @@ def test_newest_only_and_backfill(spark, tmp_path):
 def test_stage_times(spark, tmp_path):
     stream = source(spark, tmp_path / "in", [[(1, "parse", 5), (1, "parse", 9), (1, "index", 9)]], "run long, stage string, ts long")
     assert sorted(tuple(r) for r in streams.run(spark, streams.stage_times(stream), "complete").collect()) == [(1, "index", 9, 9), (1, "parse", 5, 9)]
+
+
+def test_distinct_within_and_an_empty_source(spark, tmp_path):
+    schema = "user_id long, event_type string, ts timestamp"
+    rows = spark.sql("SELECT 1L AS user_id, 'a' AS event_type, TIMESTAMP '2024-01-01 00:00:00' AS ts UNION ALL SELECT 1L, 'a', TIMESTAMP '2024-01-01 00:05:00'")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    assert streams.run(spark, streams.distinct_requests(stream, within="1 hour"), "append").count() == 1
+    (tmp_path / "none").mkdir()
+    assert streams.run(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "none")), "append").count() == 0
