@@ -108,7 +108,15 @@ def ref_having(spark, d):
     return p.groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query()
+@query("""
+    WITH RECURSIVE l AS (SELECT user_id, epoch(date_trunc('second', ts))::BIGINT AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (
+        SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS "at", NULL::BOOLEAN AS admitted, []::BIGINT[] AS live FROM l
+        UNION ALL
+        SELECT user_id, n, "at", admitted, CASE WHEN admitted THEN list_append(live, "at") ELSE live END FROM (
+            SELECT l.user_id, l.n, l."at", r.live, len(list_filter(r.live, lambda x: x > l."at" - 3600)) < 2 AND len(list_filter(r.live, lambda x: x > l."at" - 86400)) < 5 AS admitted
+            FROM r JOIN l ON l.user_id = r.user_id AND l.n = r.n + 1))
+    SELECT user_id, "at", admitted FROM r WHERE n > 0""")
 def ref_admission(spark, d):
     log = ledger(spark, d).select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
     return guards.admitted(log, "user_id", "at", {3_600: 2, 86_400: 5})

@@ -114,9 +114,23 @@ def positions(spark, d):
     return t.withColumn("place", F.col("place") + 1)
 
 
-@query()
+@query(r"""
+    WITH p AS (SELECT doc_id, unnest(l) AS lexeme, generate_subscripts(l, 1) AS place FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS l FROM documents)),
+    asked AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS lexeme FROM benchmark),
+    n AS (SELECT query_id, count(*) AS n FROM asked GROUP BY ALL),
+    met AS (SELECT query_id, doc_id, count(DISTINCT lexeme) AS k FROM p JOIN asked USING (lexeme) GROUP BY ALL),
+    h AS (SELECT query_id, doc_id, n, lexeme, place FROM met JOIN n USING (query_id) JOIN asked USING (query_id) JOIN p USING (doc_id, lexeme) WHERE k = n),
+    last AS (SELECT e.query_id, e.doc_id, e.n, e.place AS e, b.lexeme, max(b.place) AS s FROM h e JOIN h b ON e.query_id = b.query_id AND e.doc_id = b.doc_id AND b.place <= e.place GROUP BY ALL),
+    full_ AS (SELECT query_id, doc_id, n, e, min(s) AS s FROM last GROUP BY query_id, doc_id, n, e HAVING count(*) = n),
+    cover AS (SELECT query_id, doc_id, n, s, min(e) AS e FROM full_ GROUP BY ALL),
+    gap AS (SELECT *, (s + e) / 2 - lag((s + e) / 2) OVER (PARTITION BY query_id, doc_id ORDER BY e) AS gap FROM cover),
+    summed AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (e - s + 2 - n)) AS w, avg(CASE WHEN gap IS NOT NULL THEN greatest(gap, 1) END) AS dist FROM gap GROUP BY ALL),
+    dl AS (SELECT doc_id, count(*) AS dl FROM p GROUP BY ALL),
+    scored AS (SELECT query_id, doc_id, round(w / coalesce(dist, 1) / (1 + ln(dl)), 9) AS score FROM summed JOIN dl USING (doc_id))
+    SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 10""")
 def ref_cover_density(spark, d):
-    return ranking.top_k(ranking.cover_density(views.questions(spark, d), positions(spark, d)), 10, "doc_id")
+    scored = ranking.cover_density(views.questions(spark, d), positions(spark, d)).withColumn("score", F.round("score", 9))
+    return ranking.top_k(scored, 10, "doc_id").select("query_id", "doc_id", "score", "rank")
 
 
 COSINE = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0),
@@ -185,10 +199,24 @@ def ref_text_owners(spark, d):
     return ranking.text_owner(bm25_hits(spark, d, 20).join(texts, "doc_id")).select("query_id", "doc_id", "owner")
 
 
-@query()
+# DuckDB's form of filling slots in order, for hits h(query_id, pos, id, cost)
+FILLED = """{name} AS (
+    SELECT query_id, 0::BIGINT AS pos, {budget}::BIGINT AS room, []::BIGINT[] AS taken, []::BIGINT[] AS dropped FROM (SELECT DISTINCT query_id FROM {h})
+    UNION ALL
+    SELECT f.query_id, h.pos, CASE WHEN len(taken) < {k} AND cost <= room THEN room - cost ELSE room END,
+        CASE WHEN len(taken) < {k} AND cost <= room THEN list_append(taken, id) ELSE taken END, CASE WHEN len(taken) < {k} AND cost > room THEN list_append(dropped, id) ELSE dropped END
+    FROM {name} f JOIN {h} h ON h.query_id = f.query_id AND h.pos = f.pos + 1)"""
+
+
+@query(f"WITH RECURSIVE {BM25.format(idf=LUCENE, k=20)}, h AS (SELECT query_id, rank AS pos, doc_id AS id, length(text) AS cost FROM bm JOIN documents USING (doc_id)), {FILLED.format(name='f', h='h', k=5, budget=12_000)} SELECT query_id, coalesce(array_to_string(arg_max(taken, pos), ','), '') AS taken FROM f GROUP BY ALL")
 def ref_budgeted_fill(spark, d):
     cost = views.read(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("cost"))
-    return ranking.fill(bm25_hits(spark, d, 20).join(cost, "doc_id"), 5, 12_000)
+    return ranking.fill(bm25_hits(spark, d, 20).join(cost, "doc_id"), 5, 12_000).select("query_id", listed("taken"))
+
+
+def listed(ids: str):
+    """An array of ids as a text."""
+    return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias(ids)
 
 
 @query(f"WITH {BM25.format(idf=LUCENE, k=10)}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(sum({ROBERTSON} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM posting JOIN asked USING (lexeme) JOIN freq USING (language, lexeme) JOIN len USING (doc_id, language) JOIN stat USING (language) GROUP BY ALL)) SELECT query_id, doc_id, CASE WHEN b.rank IS NULL THEN 'miss_to_hit' WHEN a.rank IS NULL THEN 'hit_to_miss' ELSE 'stable_hit' END AS change, b.rank - a.rank AS delta FROM bm b FULL JOIN (SELECT * FROM r WHERE rank <= 10) a USING (query_id, doc_id)")

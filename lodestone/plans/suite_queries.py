@@ -8,7 +8,7 @@ from lodestone.operators import admin, evidence, snapshots, suites
 from lodestone.sources import views
 
 from .more_queries import ORACLE, QUERIES
-from .queries import BM25, CHUNK, LUCENE, bm25_hits, query
+from .queries import BM25, CHUNK, FILLED, LUCENE, bm25_hits, listed, query
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -164,11 +164,19 @@ def ref_fragments(spark, d):
 # --- evidence ------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {BM25.format(idf=LUCENE, k=30)},
+    h AS (SELECT query_id, rank AS pos, doc_id AS id, length(text) AS cost FROM bm JOIN documents USING (doc_id)),
+    nth AS (SELECT *, row_number() OVER (PARTITION BY query_id, id % 7 ORDER BY pos) > 2 AS later FROM h),
+    g AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY later, pos) AS pos, id, cost FROM nth),
+    {FILLED.format(name="a", h="h", k=8, budget=15_998)}, {FILLED.format(name="b", h="g", k=8, budget=15_998)},
+    x AS (SELECT query_id, arg_max(taken, pos) AS ranked FROM a GROUP BY ALL), y AS (SELECT query_id, arg_max(taken, pos) AS taken, arg_max(dropped, pos) AS dropped FROM b GROUP BY ALL)
+    SELECT query_id, coalesce(array_to_string(taken, ','), '') AS selected, coalesce(array_to_string(list_filter(ranked, lambda i: NOT list_contains(taken, i)), ','), '') AS over_quota, coalesce(array_to_string(dropped, ','), '') AS over_budget
+    FROM x JOIN y USING (query_id)""")
 def ref_evidence_selection(spark, d):
     cost = views.read(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("cost"))
     hits = bm25_hits(spark, d, 30).join(cost, "doc_id").select("query_id", F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 7).alias("doc_id"), "rank", "cost")
-    return evidence.selected(hits, 8, 2, 16_000)
+    return evidence.selected(hits, 8, 2, 16_000).select("query_id", listed("selected"), listed("over_quota"), listed("over_budget"))
 
 
 @query(f"""
@@ -184,8 +192,7 @@ def ref_grades(spark, d):
     ids = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("ids"))
     strange = F.col("doc_id") + F.when(F.col("doc_id") % 3 == 0, 1_000_000).otherwise(0)
     grades = hits.where("doc_id % 5 > 0").select("query_id", strange.alias("chunk_id"), (F.col("doc_id") % 2 == 0).alias("relevant"))
-    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
-    return evidence.graded(ids, grades).select("query_id", joined("relevant"), joined("unknown"), joined("missing"))
+    return evidence.graded(ids, grades).select("query_id", listed("relevant"), listed("unknown"), listed("missing"))
 
 
 @query("SELECT o_orderkey, CASE WHEN coalesce(n, 0) = 0 THEN 'nothing was found' WHEN big = 0 THEN 'nothing fitted' WHEN f = 0 THEN 'nothing was relevant' WHEN r = 0 THEN 'nothing was cited' END AS reason FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_quantity > 10) AS big, count(*) FILTER (l_quantity > 10 AND l_linestatus = 'F') AS f, count(*) FILTER (l_quantity > 10 AND l_linestatus = 'F' AND l_returnflag = 'R') AS r FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey")
