@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import admin, evidence, snapshots, suites
+from lodestone.operators import admin, chunking, evidence, snapshots, suites
 from lodestone.sources import views
 
 from .more_queries import ORACLE, QUERIES
-from .queries import BM25, CHUNK, FILLED, LUCENE, bm25_hits, listed, query
+from .queries import BM25, CHUNK, DOCUMENT, FILLED, LUCENE, bm25_hits, listed, query
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -267,3 +267,35 @@ def ref_allowance(spark, d):
     runs = views.read(spark, d, "orders").groupBy("o_custkey").agg((40 * F.count(F.lit(1))).alias("used_tokens"))
     runs = runs.withColumn("own", 1000 + F.col("o_custkey")).withColumn("server", F.lit(5000))
     return admin.allowance(runs, {"tokens": ["own", "server"]}).select("o_custkey", "left_tokens")
+
+
+# --- chunks --------------------------------------------------------------------------------------------------------
+
+
+@query()
+def ref_pieces(spark, d):
+    sections = views.documents(spark, d).select("doc_id", F.lit(0).alias("section"), F.concat("issuer", F.lit(" FY"), "fiscal_year").alias("header"), "text")
+    out = chunking.pieces(sections, chunking.Budget(200, 1_000_000, 10_000_000))
+    return out.select("doc_id", "piece", F.length("body").cast("long").alias("n_chars"), F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"))
+
+
+@query(f"WITH {CHUNK} SELECT doc_id, line_no // 4 AS part, min(start_char)::BIGINT AS start_char, max(end_char)::BIGINT AS end_char FROM chunk GROUP BY ALL")
+def ref_enclosing_spans(spark, d):
+    blocks = views.chunks(spark, d).withColumn("part", F.floor(F.col("line_no") / 4).cast("int")).withColumn("source_group", F.col("part"))
+    return chunking.enclosing(blocks, ["doc_id", "part"], "line_no")
+
+
+@query(f"""
+    WITH {DOCUMENT}, c AS (SELECT doc_id, issuer || ' FY' || fiscal_year || ' · ' || CASE WHEN doc_id % 4 = 0 THEN 'Unnumbered section' ELSE form END AS c, form, language, doc_id % 5 AS k FROM document)
+    SELECT doc_id, c || CASE WHEN doc_id % 4 = 0 THEN ' · ' || form ELSE '' END || CASE WHEN k = 0 THEN '' WHEN k = 1 THEN '' ELSE ' · ' || language END AS header FROM c""")
+def ref_context_headers(spark, d):
+    v = views.documents(spark, d)
+    label = F.when(F.col("doc_id") % 4 > 0, F.col("form"))
+    heading = F.when(F.col("doc_id") % 5 == 1, F.col("form")).when(F.col("doc_id") % 5 > 1, F.col("language"))
+    return v.select("doc_id", chunking.context_header(chunking.citation(F.col("issuer"), F.col("fiscal_year"), label), F.col("form"), heading).alias("header"))
+
+
+@query(f"WITH {CHUNK} SELECT doc_id, line_no, sha256('[' || doc_id || ',' || start_char || ',' || end_char || ',' || to_json(body)::VARCHAR || ',' || coalesce(to_json(nullif(language, 'de'))::VARCHAR, 'null') || ']') AS stable_key FROM chunk")
+def ref_stable_keys(spark, d):
+    c = views.chunks(spark, d).withColumn("section", F.nullif("language", F.lit("de")))
+    return c.select("doc_id", "line_no", chunking.stable_key(["doc_id", "start_char", "end_char"], ["body", "section"]).alias("stable_key"))
