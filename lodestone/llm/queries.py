@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, near_dedup, quality, secrets, token_counts, toxicity, vector_dedup
+from . import bpe, line_dedup, mixing, near_dedup, packing, quality, secrets, token_counts, toxicity, vector_dedup
 from . import exact_dedup as exact
 from .common import remainder
 
@@ -76,7 +76,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_mixing, op4_secrets, op5_near_dedup, op6_vector_dedup, op7_exact_dedup, op8_quality, op9_line_dedup, op10_bpe)}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_mixing, op4_secrets, op5_near_dedup, op6_vector_dedup, op7_exact_dedup, op8_quality, op9_line_dedup, op10_bpe, op11_packing)}
 
 ORACLE: dict[str, str] = {
     "op3_mixing": r"""
