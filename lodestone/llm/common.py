@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes in an Arrow batch of whole texts, at most; one text that is longer is a batch by itself.
@@ -120,3 +120,27 @@ def hits(key: Column) -> Column:
 def may_have(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows of df whose key passes a filter: all that are wanted, and as few others as its bits allow."""
     return df.join(wanted, hits(F.col(key)), "left_semi")
+
+
+def numbered(df: DataFrame, order: list[Column], group: str | None = None, label: str = "numbered") -> DataFrame:
+    """df with `rank`, each row's place from 0 on in its group by `order`, and `size`, the group's rows. Nulls are a group.
+
+    Rows are dealt by ranges of (group, order), so that a hot group lies in many partitions; a row's place is its place in
+    its partition and what its group has in the partitions before, of which there is one count for each partition and group.
+    The rows are written, since a recomputed range partition need not hold the same rows.
+    """
+    spark = df.sparkSession
+    keys = ([F.col(group).asc_nulls_first()] if group else []) + order
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("row_at", F.monotonically_increasing_id())
+    rows = table(dealt, label).withColumn("part_at", F.shiftright("row_at", 33))
+    by = [F.col(group).alias("part_group")] if group else []
+    counts = rows.groupBy(F.col("part_at").alias("part"), *by).agg(F.count(F.lit(1)).alias("n"), F.min("row_at").alias("first_at"))
+    whole = Window.partitionBy(*(["part_group"] if group else []))
+    told = counts.withColumn("before", F.sum("n").over(whole.orderBy("part")) - F.col("n")).withColumn("size", F.sum("n").over(whole)).drop("n")
+    told = table(told, f"{label}-counts", thin=True)
+    on = F.col("part_at") == F.col("part")
+    if group:
+        on &= F.col(group).eqNullSafe(F.col("part_group"))
+    out = rows.join(told, on).withColumn("rank", F.col("row_at") - F.col("first_at") + F.col("before"))
+    return out.drop("row_at", "part_at", "part", "first_at", "before", *(["part_group"] if group else []))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, near_dedup, packing, quality, secrets, token_counts, toxicity, vector_dedup
+from . import bpe, line_dedup, manifest, mixing, near_dedup, packing, quality, secrets, token_counts, toxicity, vector_dedup
 from . import exact_dedup as exact
 from .common import remainder
 
@@ -80,7 +81,25 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_mixing, op4_secrets, op5_near_dedup, op6_vector_dedup, op7_exact_dedup, op8_quality, op9_line_dedup, op10_bpe, op11_packing)}
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = manifest.leaf([*own, F.translate("text", ascii_uppercase, ascii_lowercase)])
+    claim = F.when(remainder("doc_id", 5) == 0, tampered).otherwise(manifest.leaf([*own, F.col("text")]))
+    return manifest.digest(manifest.manifest(read(spark, sf_dir, "documents"), claim=claim))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_mixing, op4_secrets, op5_near_dedup, op6_vector_dedup, op7_exact_dedup, op8_quality, op9_line_dedup, op10_bpe, op11_packing, op12_manifest)}
+
+#: crc32 in DuckDB's SQL: its table of 256 entries from the polynomial, and a fold over the bytes of a text.
+CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n::BIGINT], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t"
+
+
+def crc_sql(text: str, t: str = "t") -> str:
+    """The unsigned crc32 of a text's UTF-8 bytes, with CRC_TABLE's list in a column t."""
+    digit = lambda at: f"(strpos('0123456789ABCDEF', substr(hex({text}), {at}, 1)) - 1)"
+    codes = f"list_transform(range(1, 2 * strlen({text}), 2), lambda i: 16 * {digit('i')} + {digit('i + 1')})"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, x: xor({t}[(xor(c, x) & 255) + 1], c >> 8)))"
+
 
 ORACLE: dict[str, str] = {
     "op3_mixing": r"""
@@ -132,4 +151,35 @@ ORACLE: dict[str, str] = {
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
+    "op12_manifest": f"""
+        WITH RECURSIVE crc AS ({CRC_TABLE}),
+        typed AS (SELECT doc_id, source, lang, n_chars, text, translate(text, '{ascii_uppercase}', '{ascii_lowercase}') AS low, {crc_sql("coalesce(doc_id::VARCHAR, '')")} % 5 = 0 AS changed FROM documents, crc),
+        hashed AS (
+            SELECT doc_id, source, changed, sha256(concat({", ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "text"))})) AS leaf,
+                   sha256(concat({", ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "low"))})) AS low_leaf FROM typed),
+        leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed),
+        tree AS (
+            SELECT 0 AS level, source, pos, leaf AS node FROM leaves
+            UNION ALL
+            SELECT any_value(level) + 1, source, pos // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM (SELECT *, max(pos) OVER (PARTITION BY source) AS last FROM tree) WHERE last > 0 GROUP BY source, pos // 16),
+        subroots AS (SELECT source, arg_max(node, level) AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM tree GROUP BY source),
+        top AS (
+            SELECT 0 AS level, place AS pos, subroot AS node FROM subroots
+            UNION ALL
+            SELECT any_value(level) + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM (SELECT *, max(pos) OVER () AS last FROM top) WHERE last > 0 GROUP BY pos // 16),
+        runs AS (SELECT level, source, pos // 16 AS up, string_agg(node, '' ORDER BY pos) AS run FROM (SELECT *, max(pos) OVER (PARTITION BY level, source) AS last FROM tree) WHERE last > 0 GROUP BY level, source, up),
+        top_runs AS (SELECT level, pos // 16 AS up, string_agg(node, '' ORDER BY pos) AS run FROM (SELECT *, max(pos) OVER (PARTITION BY level) AS last FROM top) WHERE last > 0 GROUP BY level, up),
+        steps AS (
+            SELECT l.source, l.pos, r.level, r.run, (l.pos // (16 ** r.level)::BIGINT) % 16 AS own FROM leaves l JOIN runs r ON l.source IS NOT DISTINCT FROM r.source AND r.up = l.pos // (16 ** (r.level + 1))::BIGINT
+            UNION ALL
+            SELECT l.source, l.pos, 100 + r.level, r.run, (s.place // (16 ** r.level)::BIGINT) % 16 FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source JOIN top_runs r ON r.up = s.place // (16 ** (r.level + 1))::BIGINT),
+        proofs AS (
+            SELECT source, pos, list(run[:64 * own] || '|' || run[64 * own + 65:] ORDER BY level) AS sides FROM steps GROUP BY source, pos),
+        folded AS (
+            SELECT l.doc_id, l.leaf, s.subroot, (SELECT arg_max(node, level) FROM top) AS root, coalesce(p.sides, []) AS sides, CASE WHEN l.changed THEN l.low_leaf ELSE l.leaf END AS claim
+            FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source LEFT JOIN proofs p ON l.source IS NOT DISTINCT FROM p.source AND l.pos = p.pos)
+        SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(sides, ''), '|', '')) AS proof_sha256,
+               list_reduce(list_concat([claim], sides), lambda f, x: sha256(split_part(x, '|', 1) || f || split_part(x, '|', 2))) AS folded_root,
+               folded_root = root AS verified
+        FROM folded""",
 }
