@@ -8,7 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, manifest, mixing, near_dedup, packing, quality, secrets, token_counts, toxicity, vector_dedup
+from . import bpe, line_dedup, manifest, mixing, near_dedup, packing, quality, resampling, secrets, token_counts, toxicity, vector_dedup
 from . import exact_dedup as exact
 from .common import remainder
 
@@ -88,7 +88,11 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.digest(manifest.manifest(read(spark, sf_dir, "documents"), claim=claim))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_mixing, op4_secrets, op5_near_dedup, op6_vector_dedup, op7_exact_dedup, op8_quality, op9_line_dedup, op10_bpe, op11_packing, op12_manifest)}
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_mixing, op4_secrets, op5_near_dedup, op6_vector_dedup, op7_exact_dedup, op8_quality, op9_line_dedup, op10_bpe, op11_packing, op12_manifest, op13_resampling)}
 
 #: crc32 in DuckDB's SQL: its table of 256 entries from the polynomial, and a fold over the bytes of a text.
 CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n::BIGINT], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t"
@@ -182,4 +186,27 @@ ORACLE: dict[str, str] = {
                list_reduce(list_concat([claim], sides), lambda f, x: sha256(split_part(x, '|', 1) || f || split_part(x, '|', 2))) AS folded_root,
                folded_root = root AS verified
         FROM folded""",
+    "op13_resampling": rf"""
+        WITH crc AS ({CRC_TABLE}),
+        texts AS (SELECT doc_id, text, false AS target FROM documents UNION ALL SELECT item_id, text, true FROM benchmark),
+        w AS (SELECT doc_id, target, coalesce(regexp_extract_all(translate(text, '{ascii_uppercase}', '{ascii_lowercase}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM texts),
+        f AS (
+            SELECT doc_id, target, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+        n AS (SELECT doc_id, target, f, count(*) AS n FROM f GROUP BY ALL),
+        dictionary AS (SELECT f, {crc_sql("f")} % 10000 AS bucket, s, t FROM (SELECT f, coalesce(sum(n) FILTER (NOT target), 0) AS s, coalesce(sum(n) FILTER (target), 0) AS t FROM n GROUP BY f), crc),
+        totals AS (SELECT coalesce(sum(s), 0)::DOUBLE AS all_s, coalesce(sum(t), 0)::DOUBLE AS all_t FROM dictionary),
+        buckets AS (SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM dictionary GROUP BY bucket),
+        gains AS (SELECT bucket, floor(1000 * ln(((t + 1) * (all_s + 10000)) / ((s + 1) * (all_t + 10000))))::BIGINT AS gain FROM buckets, totals),
+        sums AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total FROM n JOIN dictionary USING (f) JOIN gains USING (bucket) WHERE NOT target GROUP BY doc_id),
+        scored AS (
+            SELECT w.doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features,
+                   coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+                   ('0x' || sha256('7:' || w.doc_id)[:8])::BIGINT AS h
+            FROM w LEFT JOIN sums USING (doc_id) WHERE NOT target),
+        ranked AS (
+            SELECT doc_id, n_words, n_features, weight, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM scored),
+        placed AS (
+            SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS place,
+                   count(*) FILTER (n_words >= 20) OVER () AS eligible FROM ranked)
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * eligible // 100 THEN place END AS rank FROM placed""",
 }
