@@ -193,7 +193,7 @@ ORACLE: dict[str, str] = {
         f AS (
             SELECT doc_id, target, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
         n AS (SELECT doc_id, target, f, count(*) AS n FROM f GROUP BY ALL),
-        dictionary AS (SELECT f, {crc_sql("f")} % 10000 AS bucket, s, t FROM (SELECT f, coalesce(sum(n) FILTER (NOT target), 0) AS s, coalesce(sum(n) FILTER (target), 0) AS t FROM n GROUP BY f), crc),
+        dictionary AS (SELECT f, {crc_sql("f", "crc.t")} % 10000 AS bucket, s, counts.t AS t FROM (SELECT f, coalesce(sum(n) FILTER (NOT target), 0) AS s, coalesce(sum(n) FILTER (target), 0) AS t FROM n GROUP BY f) counts, crc),
         totals AS (SELECT coalesce(sum(s), 0)::DOUBLE AS all_s, coalesce(sum(t), 0)::DOUBLE AS all_t FROM dictionary),
         buckets AS (SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM dictionary GROUP BY bucket),
         gains AS (SELECT bucket, floor(1000 * ln(((t + 1) * (all_s + 10000)) / ((s + 1) * (all_t + 10000))))::BIGINT AS gain FROM buckets, totals),
