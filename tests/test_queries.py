@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from lodestone.plans.suite_queries import ORACLE, QUERIES
+from lodestone.plans.filing_queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
