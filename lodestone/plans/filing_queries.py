@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import chunking, units
+from lodestone.operators import chunking, tables, units
 from lodestone.sources import views
 
 from .queries import CHUNK, DOCUMENT, query
@@ -69,3 +69,110 @@ def filing_blocks(spark, d):
 def ref_units(spark, d):
     out = units.units(filing_blocks(spark, d), ["doc_id"], chunking.Budget(120, 1_000_000, 900))
     return out.select("doc_id", F.col("unit_no").cast("int").alias("unit_no"), "kind", F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"), "heading", F.size("captions").alias("n_captions"), "start_char", "end_char", "n_blocks")
+
+
+# --- tables --------------------------------------------------------------------------------------------------------
+
+#: Each document as a table: a line is a row of its first word, its rest, its length and its words; some figures lack a span.
+#: Atoms are what is packed: rows that fit, else cells that fit beside the row's label, else sentences.
+ATOMS = rf"""{CHUNK}, {DOCUMENT},
+    line AS (SELECT doc_id, line_no, start_char, end_char, body, CASE WHEN instr(body, ' ') > 1 THEN instr(body, ' ') ELSE length(body) + 1 END AS gap FROM chunk),
+    cell AS (
+        SELECT doc_id, line_no, 0 AS col, body[:gap - 1] AS text, start_char AS s, start_char + gap - 1 AS e FROM line
+        UNION ALL SELECT doc_id, line_no, 1, body[gap + 1:], start_char + least(gap, length(body)), end_char FROM line
+        UNION ALL SELECT doc_id, line_no, 2, length(body)::VARCHAR, start_char, end_char FROM line
+        UNION ALL SELECT doc_id, line_no, 3, CASE WHEN length(body) % 2 = 0 THEN 'even' ELSE '' END, CASE WHEN doc_id % 7 <> 3 THEN start_char END, end_char FROM line),
+    note AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN repeat('context ', 57) ELSE issuer END AS context, CASE WHEN doc_id % 3 = 0 THEN ['(단위 : 원)'] ELSE [] END AS captions FROM document),
+    base AS (SELECT doc_id, len(regexp_extract_all(lower(context), '[\p{{L}}\p{{M}}\p{{N}}]+')) + 2 * len(captions) AS base, captions FROM note),
+    sized AS (SELECT *, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+')) AS n FROM cell),
+    grp AS (SELECT doc_id, base, captions, unnest(CASE WHEN base + 4 > 60 THEN [[0, 1], [0, 2], [0, 3]] ELSE [[0, 1, 2, 3]] END) AS cols FROM base),
+    rows AS (
+        SELECT doc_id, cols, captions, 60 - base - len(cols) AS room, line_no, sum(n) FILTER (list_contains(cols, col)) AS n, max(n) FILTER (col = 0) AS label
+        FROM sized JOIN grp USING (doc_id) GROUP BY ALL),
+    atom AS (
+        SELECT doc_id, cols, line_no, -1 AS col, 0 AS nth, room, n::BIGINT AS n, 'row' AS kind, '' AS text FROM rows WHERE n <= room
+        UNION ALL
+        SELECT doc_id, cols, line_no, col, 0, room, s.n, 'cell', text FROM rows r JOIN sized s USING (doc_id, line_no)
+        WHERE r.n > room AND list_contains(cols, col) AND text <> '' AND s.n + CASE WHEN col > 0 THEN label ELSE 0 END <= room
+        UNION ALL
+        SELECT doc_id, cols, line_no, col, unnest(range(len(parts))), room, len(regexp_extract_all(lower(unnest(parts)), '[\p{{L}}\p{{M}}\p{{N}}]+')), 'sentence', unnest(parts)
+        FROM (
+            SELECT doc_id, cols, line_no, col, room, list_filter(string_split(regexp_replace(text, '([.!?。！？])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda p: p <> '') AS parts
+            FROM rows r JOIN sized s USING (doc_id, line_no)
+            WHERE r.n > room AND list_contains(cols, col) AND text <> '' AND s.n + CASE WHEN col > 0 THEN label ELSE 0 END > room)),
+    ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cols, line_no, col, nth) AS k FROM atom),
+    pass AS (
+        SELECT doc_id, 0::BIGINT AS k, -1::BIGINT AS piece, NULL::INT[] AS cols, 0::BIGINT AS line_no, 0 AS col, ''::VARCHAR AS kind, ''::VARCHAR AS text, 0::BIGINT AS held, 0::BIGINT AS begun FROM document
+        UNION ALL
+        SELECT doc_id, k, piece + (NOT joins)::INT, cols, line_no, col, kind, text, n + CASE WHEN joins THEN held ELSE 0 END,
+               CASE WHEN kind = 'sentence' AND goes_on THEN begun + before ELSE 0 END FROM (
+            SELECT p.doc_id, o.k, p.piece, o.cols, o.line_no, o.col, o.kind, o.text, o.n, p.held, p.begun, length(p.text) AS before,
+                   p.kind = o.kind AND p.cols = o.cols AND p.line_no = o.line_no AND p.col = o.col AS goes_on,
+                   p.kind = o.kind AND p.cols = o.cols AND p.held + o.n <= o.room AND (o.kind = 'row' OR (o.kind = 'sentence' AND goes_on)) AS joins
+            FROM pass p JOIN ordered o ON o.doc_id = p.doc_id AND o.k = p.k + 1)),
+    told AS (SELECT doc_id, piece, kind, any_value(cols) AS cols, line_no, any_value(col) AS col, string_agg(text, '' ORDER BY k) AS part, min(begun) AS begun FROM pass WHERE k > 0 GROUP BY doc_id, piece, kind, line_no),
+    member AS (
+        SELECT t.doc_id, t.piece, t.line_no, c.col, t.kind, t.col AS own, c.s, c.e,
+               CASE WHEN t.kind = 'row' OR (t.kind = 'cell' AND c.col IN (0, t.col)) THEN c.text WHEN t.kind = 'sentence' AND c.col = t.col THEN t.part ELSE '' END AS text,
+               CASE WHEN t.kind = 'sentence' THEN t.begun ELSE 0 END AS first, t.kind <> 'sentence' OR c.col = t.col AS tells
+        FROM told t JOIN cell c ON c.doc_id = t.doc_id AND c.line_no = t.line_no AND list_contains(t.cols, c.col))"""
+SHOWN = "'| ' || array_to_string({}, ' | ') || ' |'"
+
+
+def document_tables(spark, d):
+    """(cells, notes) of the stand-in for tables."""
+    gap = F.when(F.instr("body", " ") > 1, F.instr("body", " ")).otherwise(F.length("body") + 1)
+    lines = views.chunks(spark, d).withColumn("gap", gap)
+    span = lambda a, b: F.struct(a.cast("long").alias("start_char"), b.cast("long").alias("end_char"))
+    cell = lambda col, text, source: F.struct(F.lit(col).alias("col"), text.alias("text"), F.array(source).alias("sources"))
+    start, end, body = F.col("start_char"), F.col("end_char"), F.col("body")
+    of_line = F.array(
+        cell(0, F.substring(body, F.lit(1), F.col("gap") - 1), span(start, start + F.col("gap") - 1)),
+        cell(1, F.substring(body, F.col("gap") + 1, F.length(body)), span(start + F.least("gap", F.length(body)), end)),
+        cell(2, F.length(body).cast("string"), span(start, end)),
+        cell(3, F.when(F.length(body) % 2 == 0, "even").otherwise(""), span(F.when(F.col("doc_id") % 7 != 3, start), end)),
+    )
+    cells = lines.select("doc_id", F.col("line_no").alias("row_no"), F.lit(False).alias("header"), F.explode(of_line).alias("c"))
+    docs = views.documents(spark, d)
+    names = F.explode(F.array(*(cell(k, F.lit(n), span(F.lit(0), F.lit(1))) for k, n in enumerate(("Label", "Text", "Length", "Even")))))
+    heads = docs.select("doc_id", F.lit(-1).alias("row_no"), F.lit(True).alias("header"), names.alias("c"))
+    captions = F.when(F.col("doc_id") % 3 == 0, F.array(F.struct(F.lit("(단위 : 원)").alias("text"), F.lit(0).cast("long").alias("start_char"), F.lit(2).cast("long").alias("end_char"))))
+    notes = docs.select("doc_id", F.when(F.col("doc_id") % 11 == 0, F.repeat(F.lit("context "), F.lit(57))).otherwise(F.col("issuer")).alias("context"), captions.alias("captions"))
+    return cells.unionByName(heads).select("doc_id", "row_no", "header", "c.col", "c.text", "c.sources"), notes
+
+
+TABLE_BUDGET = chunking.Budget(60, 1_000_000, 1_000_000_000)
+
+
+@query(rf"""
+    WITH RECURSIVE {ATOMS},
+    shown AS (SELECT doc_id, piece, line_no, {SHOWN.format(r"list(trim(regexp_replace(replace(replace(text, '\', '\\'), '|', '\|'), '\s+', ' ', 'g')) ORDER BY col)")} AS line FROM member GROUP BY doc_id, piece, line_no),
+    whole AS (SELECT doc_id, piece, string_agg(line, chr(10) ORDER BY line_no) AS lines, count(*)::INT AS n_rows FROM shown GROUP BY doc_id, piece),
+    counted AS (SELECT doc_id, piece, count(*) FILTER (tells)::INT AS n_cells, sum(CASE WHEN tells THEN (line_no + 1) * (col + 1) * (first + length(text) + 1) ELSE 0 END)::BIGINT AS places FROM member GROUP BY doc_id, piece),
+    head AS (SELECT DISTINCT doc_id, piece, cols FROM told)
+    SELECT doc_id, piece::INT AS piece, n_rows, n_cells, places,
+           sha256(CASE WHEN len(captions) > 0 THEN captions[1] || chr(10) ELSE '' END || {SHOWN.format("list_transform(cols, lambda c: ['Label', 'Text', 'Length', 'Even'][c + 1])")} || chr(10) || {SHOWN.format("list_transform(cols, lambda c: '---')")} || chr(10) || lines) AS body_sha256
+    FROM whole JOIN counted USING (doc_id, piece) JOIN head USING (doc_id, piece) JOIN base USING (doc_id)""")
+def ref_table_pieces(spark, d):
+    cells, notes = document_tables(spark, d)
+    members = tables.pack(cells, ["doc_id"], notes, TABLE_BUDGET)
+    own = F.col("role") == "cell"
+    place = (F.col("row_no") + 1) * (F.col("col") + 1) * (F.col("text_end") + 1)
+    counts = members.where("role <> 'header' AND row_no IS NOT NULL").groupBy("doc_id", "piece").agg(F.count_distinct("row_no").cast("int").alias("n_rows"), F.count_if(own).cast("int").alias("n_cells"), F.sum(F.when(own, place).otherwise(0)).alias("places"))
+    bodies = tables.markdown(members, ["doc_id"], notes).select("doc_id", "piece", F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"))
+    return counts.join(bodies, ["doc_id", "piece"])
+
+
+@query(rf"""
+    WITH RECURSIVE {ATOMS},
+    spans AS (
+        SELECT doc_id, piece, s, e FROM member WHERE tells
+        UNION SELECT doc_id, piece, 0, 1 FROM told
+        UNION SELECT doc_id, piece, 0, 2 FROM told JOIN base USING (doc_id) WHERE len(captions) > 0)
+    SELECT doc_id, piece::INT AS piece, CASE WHEN count(*) = count(s) THEN count(*) END::INT AS n_spans, CASE WHEN count(*) = count(s) THEN sha256(string_agg(s || '-' || e, ',' ORDER BY s, e)) END AS spans_sha256
+    FROM spans GROUP BY doc_id, piece""")
+def ref_cell_spans(spark, d):
+    cells, notes = document_tables(spark, d)
+    spans = tables.cell_spans(tables.pack(cells, ["doc_id"], notes, TABLE_BUDGET), ["doc_id"], notes)
+    told = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start_char"].cast("string"), s["end_char"].cast("string"))), ",")
+    return spans.select("doc_id", "piece", F.when(F.col("spans").isNotNull(), F.size("spans")).alias("n_spans"), F.sha2(told.cast("binary"), 256).alias("spans_sha256"))
