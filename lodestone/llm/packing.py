@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,7 +20,7 @@ from .common import text_batches, text_of
 END = 1
 #: Pieces that a task chooses from, at most; it refills the pool once half of them are placed.
 POOL = 4096
-#: Runs of non-blank characters whose ids a process keeps.
+#: Runs of non-blank characters, and pieces of them, whose ids a process keeps.
 KEPT = 400_000
 #: Bytes of ids in a batch of results; a sequence is never split over batches.
 OUT_BYTES = 8 << 20
@@ -34,29 +36,64 @@ class Limits(NamedTuple):
     loss: int = 2048
 
 
+#: Runs of printable ASCII and Latin-1 letters have one normal form, and split as SPLIT says; these values are the vocabulary's.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*").fullmatch
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+
+
 class Encoder(dict):
     """Ids of texts as the tokenizers library gives them, in little-endian unsigned 32-bit numbers.
 
     The vocabulary's pre-tokenizer lets no piece cross white space, and no normal form joins characters across a space or a
-    line feed, so a text's ids are those of its runs between these two, each of which the library encodes once.
+    line feed, so a text's ids are those of its runs between these two. A plain run is split further, so that a word is
+    merged once, by the library's model, whatever marks stand beside it. Any other run goes to the library whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        runs = [t.replace("\n", " ").split(" ") for t in texts]
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)").search
+        self.merged = self.library.model.tokenize
+        # how the vocabulary writes a character's bytes
+        self.written = {ord(c): ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0] for c in map(chr, range(256)) if _PLAIN(c)}
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, run: str) -> bytes:
+        return np.array(self.library.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _asked(self, piece: str) -> bytes:
+        tokens = self.merged(piece if piece.isascii() else piece.translate(self.written))
+        found = self.pieces[piece] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return found
+
+    def __missing__(self, run: str) -> bytes:
+        if not _PLAIN(run) or self.special(run):
+            return self._whole(run)
+        known = self.pieces
+        found = self[run] = b"".join([known.get(p) or self._asked(p) for p in _SPLIT(run.lower())])
+        return found
+
+    def __call__(self, text: str) -> bytes:
         if len(self) > KEPT:
             self.clear()
-        new = list(set().union(*runs).difference(self)) if runs else []
-        for run, found in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self[run] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, r)) for r in runs]
+        if len(self.pieces) > KEPT:
+            self.pieces.clear()
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+_loaded: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder at path, made once in a process, so that tasks share what it keeps."""
+    if path not in _loaded:
+        _loaded[path] = Encoder(path)
+    return _loaded[path]
 
 
 class Example(NamedTuple):
@@ -157,7 +194,7 @@ class Packer:
 
 def _packed(path: str, limits: Limits, fill: bool, slack: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = Encoder(path), Packer(limits, fill, slack)
+        encode, packer = encoder(path), Packer(limits, fill, slack)
         number, end = TaskContext.get().partitionId() << 32, np.array([END], "<u4").tobytes()
         rows: list[tuple] = []
         held = 0
@@ -186,8 +223,9 @@ def _packed(path: str, limits: Limits, fill: bool, slack: int):
         for batch in batches:
             keys, texts, prompts = (batch.column(k).to_pylist() for k in range(3))
             fresh = []
-            for key, before, after in zip(keys, encode(prompts), encode(texts), strict=True):
-                ids = before + after + end
+            for key, prompt, text in zip(keys, prompts, texts, strict=True):
+                before = encode(prompt) if prompt else b""
+                ids = before + encode(text) + end
                 fresh.append(Example(key, ids, len(ids) // 4, len(before) // 4))
             yield from take(packer.add(fresh))
             if len(packer.pool) > POOL:

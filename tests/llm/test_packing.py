@@ -47,11 +47,11 @@ def keeps(seqs, limits):
 
 def test_encoder_equals_library(library):
     chance = random.Random(5)
-    parts = ["Straße", "ΟΔΟΣ", "İstanbul", "é", "́x", " ", "\n", "\t", " ", " ", "\x1c", "don't", "I'LL", "12ab", "<|endoftext|>", "<|startoftext|>x", "日本語", "매출", "😀", "Å", "ﬁ", "--", "a_b", "ͅ", "\r\n", ".", "\x00", "Ⅷ"]
+    parts = ["Straße", "ΟΔΟΣ", "İstanbul", "é", "́x", " ", "\n", "\t", " ", " ", "\x1c", "don't", "I'LL", "12ab", "<|endoftext|>", "<|startoftext|>x", "日本語", "매출", "😀", "Å", "ﬁ", "--", "a_b", "ͅ", "ÀÉ", "naïve,", "'tis", "--'s", "ÿ", "×", "'D", "\r\n", ".", "\x00", "Ⅷ"]
     texts = ["", " ", "\n\n", *("".join(chance.choice(parts) for _ in range(chance.randrange(1, 30))) for _ in range(3000))]
     encode = packing.Encoder(PATH)
-    for text, found in zip(texts, encode(texts), strict=True):
-        assert np.frombuffer(found, "<u4").tolist() == ids_of(library, text), text
+    for text in texts:
+        assert np.frombuffer(encode(text), "<u4").tolist() == ids_of(library, text), text
 
 
 def test_whole_documents_in_pieces(spark, library):
