@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.stemming import lexeme_counts
+from lodestone.streaming.streams import shared_folder
+
 
 def lengths(postings: DataFrame) -> DataFrame:
     """(doc_id, language, dl): a document's length in tokens."""
@@ -45,3 +50,23 @@ def missing(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 def merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """An upsert: new rows, and old ones whose key no new row has."""
     return new.unionByName(old.join(new.select(keys).distinct(), keys, "left_anti"))
+
+
+def forward(chunks: DataFrame, keys: list[str], text: str = "body", path: str | None = None) -> DataFrame:
+    """An index written once: (keys, language, dl, terms), a row for each chunk, terms being its lexemes with their counts.
+
+    A text is read once, by its language's plan, and nothing is shuffled; postings, lengths, frequencies and statistics all
+    come from the table, which is written to `path`, or to a folder of its own in the shared folder. Chunks without a lexeme
+    have none and a length of 0. Null texts have no lexemes; null languages are read as English and count as a language.
+    """
+    spark = chunks.sparkSession
+    told = chunks.select(*keys, "language", lexeme_counts(F.col(text), F.col("language")).alias("terms"))
+    path = path or f"{shared_folder(spark)}/index_{uuid.uuid4().hex}"
+    told.write.parquet(path)
+    dl = F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + t["tf"])
+    return spark.read.schema(told.schema).parquet(path).select(*keys, "language", dl.alias("dl"), "terms")
+
+
+def postings_of(index: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, language, dl, lexeme, tf) of a written index."""
+    return index.select(*keys, "language", "dl", F.explode("terms").alias("t")).select(*keys, "language", "dl", "t.lexeme", "t.tf")

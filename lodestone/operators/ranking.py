@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.stemming import lexeme_counts
 from lodestone.functions.text import tokens
 from lodestone.functions.vectors import norm
 
@@ -39,6 +40,33 @@ def bm25(questions: DataFrame, postings: DataFrame, k1: float = 1.2, b: float =
     return hits.groupBy("query_id", "doc_id").agg(F.sum(idf(variant, F.col("n").cast("double"), F.col("df").cast("double")) * weight).alias("score"))
 
 
+def asked_lexemes(questions: DataFrame) -> DataFrame:
+    """(query_id, korean, lexeme): each question's distinct lexemes by either plan, for documents of either kind."""
+    both = questions.select("query_id", *(lexeme_counts(F.col("question"), F.lit(c)).alias(c) for c in ("en", "ko")))
+    named = lambda c: F.transform(c, lambda t: F.struct(F.lit(c == "ko").alias("korean"), t["lexeme"].alias("lexeme")))
+    # an inner explode would put a filter below the functions, which would then run twice
+    told = both.select("query_id", F.explode_outer(F.concat(named("en"), named("ko"))).alias("t")).where("t IS NOT NULL")
+    return told.select("query_id", "t.korean", "t.lexeme")
+
+
+def bm25_index(questions: DataFrame, index: DataFrame, keys: list[str], k1: float = 1.2, b: float = 0.75, variant: str = "lucene") -> DataFrame:
+    """(query_id, keys, score) of the chunks of a written index that have a lexeme of the question, by their language's statistics.
+
+    A question is read by the plan of each chunk's language, and its lexemes count once each. Only asked postings are counted
+    and moved; a chunk's length travels with its postings, so no lengths are joined. Chunks without a lexeme count in no
+    statistic.
+    """
+    check_bm25(k1, b, variant)
+    asked = asked_lexemes(questions)
+    rows = indexing.postings_of(index, keys).withColumn("korean", F.col("language").eqNullSafe("ko"))
+    met = rows.join(asked.select("korean", "lexeme").distinct(), ["korean", "lexeme"], "left_semi")
+    df = met.groupBy(F.col("language").alias("of"), F.col("lexeme").alias("word")).agg(F.count(F.lit(1)).alias("df"))
+    stats = indexing.statistics(index.where("dl > 0")).withColumnRenamed("language", "in")
+    hits = met.join(df, F.col("language").eqNullSafe(F.col("of")) & (F.col("lexeme") == F.col("word"))).join(stats, F.col("language").eqNullSafe(F.col("in"))).join(asked, ["korean", "lexeme"])
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return hits.groupBy("query_id", *keys).agg(F.sum(idf(variant, F.col("n").cast("double"), F.col("df").cast("double")) * weight).alias("score"))
+
+
 def cosine_search(queries: DataFrame, vectors: DataFrame, k: int, places: int | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest vectors of each query by exact cosine, ties by id.
 

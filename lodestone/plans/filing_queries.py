@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import chunking, tables, units
+from lodestone.functions import stemming as S
+from lodestone.operators import chunking, indexing, ranking, tables, units
 from lodestone.sources import views
 
 from .queries import CHUNK, DOCUMENT, query
@@ -176,3 +177,73 @@ def ref_cell_spans(spark, d):
     spans = tables.cell_spans(tables.pack(cells, ["doc_id"], notes, TABLE_BUDGET), ["doc_id"], notes)
     told = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start_char"].cast("string"), s["end_char"].cast("string"))), ",")
     return spans.select("doc_id", "piece", F.when(F.col("spans").isNotNull(), F.size("spans")).alias("n_spans"), F.sha2(told.cast("binary"), 256).alias("spans_sha256"))
+
+
+# --- lexemes -------------------------------------------------------------------------------------------------------
+
+
+def _stem_sql() -> str:
+    """stemmed(word, lexeme): the distinct tokens of all texts, step by step; a step's suffix is the longest that matches."""
+    end = lambda w, suffixes: f"regexp_extract({w}, '({'|'.join(sorted(suffixes, key=len, reverse=True))})$')"
+    both = lambda suffixes: f"{end('w', suffixes)} AS e, w[:length(w) - length({end('w', suffixes)})] AS h"
+    put = lambda table: "CASE e " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in table.items()) + " END"
+    one_of = lambda words: ", ".join(f"'{w}'" for w in words)
+    short = "regexp_matches({0}, '([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$')"
+    region = "coalesce(nullif(length(regexp_extract({0}, '^.*?[aeiouy][^aeiouy]')), 0), length({0}))"
+    own = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in S.OWN.items())
+    return rf"""
+    vocabulary AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+')) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark)),
+    kept AS (SELECT word, regexp_replace(word, '(^|[aeiouy])y', '\1Y', 'g') AS w FROM vocabulary WHERE word NOT IN ({one_of(S.STOP)})),
+    r AS (SELECT *, CASE WHEN regexp_matches(w, '^({S.BEGIN})') THEN length(regexp_extract(w, '^({S.BEGIN})')) ELSE {region.format("w")} END AS r1 FROM kept),
+    rr AS (SELECT *, r1 + {region.format("w[r1 + 1:]")} AS r2 FROM r),
+    a0 AS (SELECT *, {end("w", ["sses", "ied", "ies", "us", "ss", "s"])} AS e FROM rr),
+    a1 AS (SELECT * REPLACE (CASE WHEN e = 'sses' THEN w[:-3] WHEN e IN ('ied', 'ies') THEN CASE WHEN length(w) > 4 THEN w[:-3] ELSE w[:-2] END
+        WHEN e = 's' AND regexp_matches(w[:-2], '[aeiouy].') THEN w[:-2] ELSE w END AS w) FROM a0),
+    b0 AS (SELECT * EXCLUDE (e), {both(["eed", "eedly", "ed", "edly", "ing", "ingly"])} FROM a1),
+    b1 AS (SELECT *, e NOT IN ('', 'eed', 'eedly') AND regexp_matches(h, '[aeiouy]') AS cut FROM b0),
+    b2 AS (SELECT * REPLACE (CASE WHEN e IN ('eed', 'eedly') THEN CASE WHEN length(h) >= r1 THEN h || 'ee' ELSE w END
+        WHEN NOT cut THEN w WHEN regexp_matches(h, '(at|bl|iz)$') THEN h || 'e' WHEN regexp_matches(h, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN h[:-2]
+        WHEN length(h) <= r1 AND {short.format("h")} THEN h || 'e' ELSE h END AS w) FROM b1),
+    c1 AS (SELECT * REPLACE (regexp_replace(w, '(.[^aeiouy])[yY]$', '\1i') AS w) FROM b2),
+    d0 AS (SELECT * EXCLUDE (e, h), {both(S.STEP_2)} FROM c1),
+    d1 AS (SELECT * REPLACE (CASE WHEN e = '' OR length(h) < r1 OR (e = 'ogi' AND h[-1] <> 'l') OR (e = 'li' AND NOT regexp_matches(h, '[cdeghkmnrt]$')) THEN w ELSE h || {put(S.STEP_2)} END AS w) FROM d0),
+    e0 AS (SELECT * EXCLUDE (e, h), {both(S.STEP_3)} FROM d1),
+    e1 AS (SELECT * REPLACE (CASE WHEN e = '' OR length(h) < CASE WHEN e = 'ative' THEN r2 ELSE r1 END THEN w ELSE h || {put(S.STEP_3)} END AS w) FROM e0),
+    f0 AS (SELECT * EXCLUDE (e, h), {both(S.STEP_4)} FROM e1),
+    f1 AS (SELECT * REPLACE (CASE WHEN e = '' OR length(h) < r2 OR (e = 'ion' AND NOT regexp_matches(h, '[st]$')) THEN w ELSE h END AS w) FROM f0),
+    g1 AS (SELECT * REPLACE (CASE WHEN (w[-1] = 'e' AND (length(w) > r2 OR (length(w) > r1 AND NOT {short.format("w[:-2]")}))) OR (w[-2:] = 'll' AND length(w) > r2) THEN w[:-2] ELSE w END AS w) FROM f1),
+    stemmed AS MATERIALIZED (
+        SELECT g1.word, CASE WHEN length(g1.word) < 3 OR g1.word IN ({one_of(S.STAY)}) THEN g1.word ELSE CASE g1.word {own} ELSE
+            CASE WHEN a1.w IN ({one_of(S.STAY_THEN)}) THEN a1.w ELSE replace(g1.w, 'Y', 'y') END END END AS lexeme FROM g1 JOIN a1 USING (word))"""
+
+
+#: The terms of each line, as the index holds them.
+TERM = rf"""{_stem_sql()}, {CHUNK},
+    term AS (SELECT doc_id, line_no, language, lexeme, count(*) AS tf
+        FROM (SELECT doc_id, line_no, language, unnest(regexp_extract_all(lower(body), '[\p{{L}}\p{{M}}\p{{N}}]+')) AS word FROM chunk) JOIN stemmed USING (word) GROUP BY ALL)"""
+
+
+@query(rf"""
+    WITH {TERM}
+    SELECT c.doc_id, c.line_no, coalesce(sum(tf), 0)::BIGINT AS dl, sha256(coalesce(string_agg(lexeme || ':' || tf, ',' ORDER BY lexeme), '')) AS terms_sha256
+    FROM chunk c LEFT JOIN term t ON c.doc_id = t.doc_id AND c.line_no = t.line_no GROUP BY c.doc_id, c.line_no""")
+def ref_lexemes(spark, d):
+    index = indexing.forward(views.chunks(spark, d), ["doc_id", "line_no"])
+    told = F.array_join(F.transform(F.array_sort("terms"), lambda t: F.concat_ws(":", t["lexeme"], t["tf"].cast("string"))), ",")
+    return index.select("doc_id", "line_no", "dl", F.sha2(told.cast("binary"), 256).alias("terms_sha256"))
+
+
+@query(rf"""
+    WITH {TERM},
+    len AS (SELECT doc_id, line_no, language, sum(tf) AS dl FROM term GROUP BY ALL),
+    freq AS (SELECT language, lexeme, count(*) AS df FROM term GROUP BY ALL),
+    stat AS (SELECT language, count(*) AS n, avg(dl) AS avgdl FROM len GROUP BY ALL),
+    asked AS (SELECT DISTINCT item_id AS query_id, lexeme FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+')) AS word FROM benchmark) JOIN stemmed USING (word)),
+    scored AS (
+        SELECT query_id, doc_id, line_no, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+        FROM term JOIN asked USING (lexeme) JOIN freq USING (language, lexeme) JOIN len USING (doc_id, line_no, language) JOIN stat USING (language) GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, line_no)::INT AS rank FROM scored QUALIFY rank <= 10""")
+def ref_bm25_lexemes(spark, d):
+    index = indexing.forward(views.chunks(spark, d), ["doc_id", "line_no"])
+    scored = ranking.bm25_index(views.questions(spark, d), index, ["doc_id", "line_no"]).withColumn("score", F.round("score", 6))
+    return ranking.top_k(scored, 10, "doc_id", "line_no")
