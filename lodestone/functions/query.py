@@ -26,6 +26,11 @@ def exclusions(query: str) -> list[str]:
     return [t[1:].strip('"') for t in websearch_tokens(query) if t.startswith("-") and len(t) > 1]
 
 
+def words(text: str) -> list[str]:
+    """The tokens of a text, as `text.tokens` tells them of a column: lower-case runs of letters, marks and digits of any script."""
+    return "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in text.lower()).split()
+
+
 def _with_phrase(words: list[str], positions: DataFrame) -> DataFrame:
     """(doc_id) of documents that have the words in a row."""
     numbered = positions.sparkSession.createDataFrame(list(enumerate(words)), "nth int, lexeme string")
@@ -34,13 +39,17 @@ def _with_phrase(words: list[str], positions: DataFrame) -> DataFrame:
 
 
 def relaxed_matches(query: str, positions: DataFrame) -> DataFrame:
-    """(doc_id) of documents with any positive operand and no excluded one; all documents if nothing is positive.
+    """(doc_id) of documents with any positive operand and no excluded one; all other documents if no operand is positive, and
+    none if those that are have no lexeme.
 
-    positions: (doc_id, lexeme, at). An operand is a word or a quoted phrase; a phrase, and a word that falls into several
-    lexemes, is met where its lexemes stand in a row.
+    positions: (doc_id, lexeme, at), lexemes being tokens of any script as `text.tokens` tells them. An operand is a word or a
+    quoted phrase; a phrase, and a word that falls into several lexemes, is met where its lexemes stand in a row.
     """
-    lexemes = lambda texts: [w for w in (re.findall("[a-z0-9]+", t.lower()) for t in texts) if w]
-    wanted, unwanted = lexemes(websearch_tokens(positive_text(query))), lexemes(exclusions(query))
+    lexemes = lambda texts: [w for w in map(words, texts) if w]
+    operands = websearch_tokens(positive_text(query))
+    wanted, unwanted = lexemes(operands), lexemes(exclusions(query))
+    if operands and not wanted:
+        return positions.select("doc_id").limit(0)
 
     def having(operands: list[list[str]]) -> DataFrame:
         out = positions.where(F.col("lexeme").isin([w[0] for w in operands if len(w) == 1])).select("doc_id")

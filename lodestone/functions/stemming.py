@@ -116,8 +116,8 @@ def _korean(run: str) -> list[str]:
     return [run[k : k + 2] for k in range(max(1, len(run) - 1))]
 
 
-def _lexemes(lists: pa.Array, english: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The lexemes of all lists' runs, and how many each list has; each distinct run of a batch is read once."""
+def _lexemes(lists: pa.Array, english: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The lexemes of all lists' runs, how many each list has, and how many each run; a batch's distinct runs are read once."""
     sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
     known = coded.dictionary.to_pylist()
@@ -128,20 +128,20 @@ def _lexemes(lists: pa.Array, english: pa.Array) -> tuple[pa.Array, np.ndarray]:
     n = lengths[at]
     place = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    return pa.array([x for t in told for x in t], pa.string()).take(pa.array(place, pa.int64())), np.bincount(owner, n, len(sizes)).astype(np.int64)
+    return pa.array([x for t in told for x in t], pa.string()).take(pa.array(place, pa.int64())), np.bincount(owner, n, len(sizes)).astype(np.int64), n
 
 
 @F.arrow_udf(ArrayType(StringType()))
 def stems(lists: pa.Array, english: pa.Array) -> pa.Array:
     """Each list's lexemes in order."""
-    told, sizes = _lexemes(lists, english)
+    told, sizes, _ = _lexemes(lists, english)
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), told)
 
 
 @F.arrow_udf(ArrayType(StructType([StructField("lexeme", StringType()), StructField("tf", LongType())])))
 def terms(lists: pa.Array, english: pa.Array) -> pa.Array:
     """Each list's distinct lexemes with their counts."""
-    told, sizes = _lexemes(lists, english)
+    told, sizes, _ = _lexemes(lists, english)
     coded = told.dictionary_encode()
     n = max(1, len(coded.dictionary))
     pair, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + coded.indices.to_numpy(), return_counts=True)
@@ -150,6 +150,18 @@ def terms(lists: pa.Array, english: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), both)
 
 
+@F.arrow_udf(ArrayType(StructType([StructField("lexeme", StringType()), StructField("at", LongType())])))
+def spots(lists: pa.Array, english: pa.Array) -> pa.Array:
+    """Each list's lexemes with their places: words that are left out keep theirs, and each Korean pair has one of its own."""
+    told, sizes, n = _lexemes(lists, english)
+    given = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = np.arange(given.sum()) - np.repeat(np.cumsum(given) - given, given)
+    pair = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.where(np.repeat(english.to_numpy(zero_copy_only=False), sizes), np.repeat(run, n), pair)
+    both = pa.StructArray.from_arrays([told, pa.array(at, pa.int64())], names=["lexeme", "at"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), both)
+
+
 def lexemes(text: Column, language: Column) -> Column:
     """A text's lexemes in order, by the plan of its language: pairs of Hangul for ko, which nothing rewrites, English stems of
     words that are no stop words for all else. A null text has none."""
@@ -159,3 +171,8 @@ def lexemes(text: Column, language: Column) -> Column:
 def lexeme_counts(text: Column, language: Column) -> Column:
     """A text's distinct lexemes with their counts, by the same plans."""
     return terms(runs(text, language), ~language.eqNullSafe("ko"))
+
+
+def lexeme_spots(text: Column, language: Column) -> Column:
+    """A text's lexemes with their places, by the same plans."""
+    return spots(runs(text, language), ~language.eqNullSafe("ko"))

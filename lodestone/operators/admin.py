@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import redact
 
-#: Names of this machine, and addresses that no other network reaches.
+#: Names of this machine, and addresses that no public network routes: this network, private use, this machine,
+#: link-local, protocol assignments, documentation, benchmarks, the former class E; of the long form also mapped addresses.
 LOCAL = ["localhost", "host.docker.internal", "ollama", "host.containers.internal"]
-PRIVATE = r"^(127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.|\[?::1\]?$|\[?f[cd][0-9a-f]{2}:|\[?fe80:)"
+PRIVATE = (
+    r"^(?=\d{1,3}(?:\.\d{1,3}){3}$)(?:0|10|127|169\.254|172\.(?:1[6-9]|2\d|3[01])|192\.0\.[02]|192\.168|198\.1[89]|198\.51\.100|203\.0\.113|24\d|25[0-5])\."
+    r"|^\[?(?:::1?\]?$|::ffff:|64:ff9b:1:|100::|2001:db8:|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:)"
+)
 
 
 def holds(needle: str, *columns: str) -> Column:

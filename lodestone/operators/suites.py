@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import collapse
+from lodestone.functions.text import HANGUL, collapse
 
 from .evaluation import suite
 
@@ -17,16 +17,20 @@ RANKERS = ["ts_rank_cd", "bm25"]
 def twins(first: DataFrame, second: DataFrame, invariant: list[str], key: str = "case_id") -> DataFrame:
     """(key, problem) of the cases of two suites that must say the same in two languages; problem is null where all is well.
 
-    A case that one suite lacks or repeats, a column of `invariant` that differs, and a question that both suites share but
-    for case and white space are problems; the first of them is named.
+    A case that one suite lacks or repeats, a column of `invariant` that differs, a question that both suites share but for case
+    and white space, Hangul in a question of the first suite, and none in one of the second are problems; the first of them is
+    named. A suite without cases is a problem too, told in a row without a key.
     """
+    empty = [df.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(None).cast(dict(df.dtypes)[key]).alias(key), F.lit(f"{x} suite is empty").alias("problem")) for df, x in ((first, "first"), (second, "second"))]
     folded = F.lower(collapse(F.col("question")))
     side = lambda df, x: df.withColumn("folded", folded).groupBy(key).agg(F.count(F.lit(1)).alias(f"n_{x}"), *[F.min(c).alias(f"{c}_{x}") for c in [*invariant, "folded"]])
     both = side(first, "a").join(side(second, "b"), key, "full")
     problem = F.when(F.col("n_a").isNull(), "first suite lacks it").when(F.col("n_b").isNull(), "second suite lacks it").when((F.col("n_a") > 1) | (F.col("n_b") > 1), "repeated")
     for c in invariant:
         problem = problem.when(~F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b")), c)
-    return both.select(key, problem.when(F.col("folded_a").eqNullSafe(F.col("folded_b")), "one question").alias("problem"))
+    problem = problem.when(F.col("folded_a").eqNullSafe(F.col("folded_b")), "one question")
+    problem = problem.when(F.col("folded_a").rlike(HANGUL), "Hangul in the first suite").when(~F.coalesce(F.col("folded_b").rlike(HANGUL), F.lit(False)), "no Hangul in the second suite")
+    return both.select(key, problem.alias("problem")).union(empty[0]).union(empty[1])
 
 
 def bound(needed: DataFrame, documents: DataFrame, identity: list[str]) -> DataFrame:

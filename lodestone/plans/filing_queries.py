@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import stemming as S
-from lodestone.operators import chunking, indexing, ranking, tables, units
+from lodestone.operators import chunking, indexing, matching, ranking, tables, units
 from lodestone.sources import views
 
 from .queries import CHUNK, DOCUMENT, query
@@ -219,7 +219,7 @@ def _stem_sql() -> str:
 
 #: The terms of each line, as the index holds them.
 TERM = rf"""{_stem_sql()}, {CHUNK},
-    term AS (SELECT doc_id, line_no, language, lexeme, count(*) AS tf
+    term AS MATERIALIZED (SELECT doc_id, line_no, language, lexeme, count(*) AS tf
         FROM (SELECT doc_id, line_no, language, unnest(regexp_extract_all(lower(body), '[\p{{L}}\p{{M}}\p{{N}}]+')) AS word FROM chunk) JOIN stemmed USING (word) GROUP BY ALL)"""
 
 
@@ -247,3 +247,27 @@ def ref_bm25_lexemes(spark, d):
     index = indexing.forward(views.chunks(spark, d), ["doc_id", "line_no"])
     scored = ranking.bm25_index(views.questions(spark, d), index, ["doc_id", "line_no"]).withColumn("score", F.round("score", 6))
     return ranking.top_k(scored, 10, "doc_id", "line_no")
+
+
+# --- web searches --------------------------------------------------------------------------------------------------
+
+
+@query(rf"""
+    WITH {_stem_sql()},
+    word AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS spot FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+') AS w FROM documents)),
+    place AS (SELECT doc_id, spot, lexeme FROM word JOIN stemmed USING (word)),
+    q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+') AS w FROM benchmark),
+    part AS (
+        SELECT query_id, 0 AS operand, false AS excluded, 0 AS pos, w[1] AS word FROM q
+        UNION ALL SELECT query_id, 1, false, 0, w[2] FROM q UNION ALL SELECT query_id, 1, false, 1, w[3] FROM q UNION ALL SELECT query_id, 1, false, 2, w[4] FROM q
+        UNION ALL SELECT query_id, 2, false, 0, w[9] FROM q
+        UNION ALL SELECT query_id, 3, true, 0, w[6] FROM q),
+    wanted AS (SELECT query_id, operand, excluded, lexeme, pos - min(pos) OVER (PARTITION BY query_id, operand) AS nth, count(*) OVER (PARTITION BY query_id, operand) AS n FROM part JOIN stemmed USING (word)),
+    met AS (SELECT query_id, operand, excluded, doc_id FROM wanted JOIN place USING (lexeme) GROUP BY query_id, operand, excluded, doc_id, spot - nth, n HAVING count(*) = n)
+    SELECT query_id, doc_id FROM met GROUP BY query_id, doc_id HAVING NOT bool_or(excluded)""")
+def ref_web_search(spark, d):
+    w = F.regexp_extract_all(F.lower("question"), F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))
+    asked = views.questions(spark, d).select("query_id", w.alias("w"))
+    at = lambda k: F.coalesce(F.get("w", F.lit(k)), F.lit(""))
+    queries = asked.select("query_id", F.concat(at(0), F.lit(' "'), at(1), F.lit(" "), at(2), F.lit(" "), at(3), F.lit('" OR '), at(8), F.lit(" -"), at(5)).alias("query"))
+    return matching.relaxed(queries, views.documents(spark, d), ["doc_id"])

@@ -23,14 +23,16 @@ def sides(spark, d):
 
 
 @query("""
-    WITH a AS (SELECT s_suppkey AS case_id, s_nationkey AS nation, s_name AS question FROM supplier),
-    b AS (SELECT p_partkey AS case_id, p_size AS nation, p_name AS question FROM part)
+    WITH a AS (SELECT s_suppkey AS case_id, s_nationkey AS nation, CASE WHEN s_suppkey % 3 = 0 THEN '왜 ' || s_name WHEN s_suppkey % 7 = 0 THEN s_suppkey::VARCHAR ELSE s_name END AS question FROM supplier),
+    b AS (SELECT p_partkey AS case_id, p_partkey % 25 AS nation, CASE WHEN p_partkey % 7 = 0 THEN ' ' || p_partkey WHEN p_partkey % 2 = 0 THEN '매출 ' || p_name ELSE p_name END AS question FROM part)
     SELECT coalesce(a.case_id, b.case_id) AS case_id, CASE WHEN a.case_id IS NULL THEN 'first suite lacks it' WHEN b.case_id IS NULL THEN 'second suite lacks it'
-        WHEN a.nation IS DISTINCT FROM b.nation THEN 'nation' WHEN lower(trim(a.question)) = lower(trim(b.question)) THEN 'one question' END AS problem
+        WHEN a.nation IS DISTINCT FROM b.nation THEN 'nation' WHEN lower(trim(a.question)) = lower(trim(b.question)) THEN 'one question'
+        WHEN regexp_matches(a.question, '[가-힣]') THEN 'Hangul in the first suite' WHEN NOT regexp_matches(b.question, '[가-힣]') THEN 'no Hangul in the second suite' END AS problem
     FROM a FULL JOIN b USING (case_id)""")
 def ref_twins(spark, d):
-    a = views.read(spark, d, "supplier").selectExpr("s_suppkey AS case_id", "s_nationkey AS nation", "s_name AS question")
-    b = views.read(spark, d, "part").selectExpr("p_partkey AS case_id", "p_size AS nation", "p_name AS question")
+    key, part = F.col("s_suppkey"), F.col("p_partkey")
+    a = views.read(spark, d, "supplier").select(key.alias("case_id"), F.col("s_nationkey").alias("nation"), F.when(key % 3 == 0, F.concat(F.lit("왜 "), "s_name")).when(key % 7 == 0, key.cast("string")).otherwise(F.col("s_name")).alias("question"))
+    b = views.read(spark, d, "part").select(part.alias("case_id"), (part % 25).alias("nation"), F.when(part % 7 == 0, F.concat(F.lit(" "), part.cast("string"))).when(part % 2 == 0, F.concat(F.lit("매출 "), "p_name")).otherwise(F.col("p_name")).alias("question"))
     return suites.twins(a, b, ["nation"])
 
 

@@ -16,6 +16,12 @@ def test_twins(spark):
     b = spark.createDataFrame([("a", "x", "얼마?"), ("b", None, "왜?"), ("c", "x", " who? "), ("d", "x", "?"), ("e", "x", "2")], schema)
     want = [("a", None), ("b", "kind"), ("c", "one question"), ("d", "first suite lacks it"), ("e", "repeated")]
     assert rows(suites.twins(a, b, ["kind"]), "case_id", "problem") == want
+    # languages the wrong way round, and none of them right
+    swapped = [("a", "Hangul in the first suite"), ("b", "kind"), ("c", "one question"), ("d", "second suite lacks it"), ("e", "repeated")]
+    assert rows(suites.twins(b, a, ["kind"]), "case_id", "problem") == swapped
+    other = a.where("case_id = 'a'").withColumn("question", F.lit("Combien ?"))
+    assert rows(suites.twins(a.where("case_id = 'a'"), other, ["kind"]), "problem") == [("no Hangul in the second suite",)]
+    assert rows(suites.twins(a.where("case_id = 'a'"), b.limit(0), ["kind"]), "case_id", "problem") == [("a", "second suite lacks it"), (None, "second suite is empty")]
 
 
 def test_spans_are_verified_in_code_points(spark):
@@ -140,5 +146,5 @@ def test_empty_tables(spark):
     hits = empty("query_id long, doc_id long, chunk_id long, rank int, cost long")
     assert evidence.selected(hits, 3, 1, 10).count() == 0
     assert suites.bound(empty("golden_id long, k long"), empty("doc_id long, k long"), ["k"]).count() == 0
-    assert suites.twins(empty("case_id long, question string"), empty("case_id long, question string"), []).count() == 0
+    assert rows(suites.twins(empty("case_id long, question string"), empty("case_id long, question string"), []), "problem") == [("first suite is empty",), ("second suite is empty",)]
     assert admin.source_states(empty("doc_id long"), empty("doc_id long, role string, sha256 string, archive_sha256 string")).count() == 0
