@@ -235,13 +235,12 @@ def ref_lexemes(spark, d):
 
 @query(rf"""
     WITH {TERM},
-    len AS (SELECT doc_id, line_no, language, sum(tf) AS dl FROM term GROUP BY ALL),
-    freq AS (SELECT language, lexeme, count(*) AS df FROM term GROUP BY ALL),
-    stat AS (SELECT language, count(*) AS n, avg(dl) AS avgdl FROM len GROUP BY ALL),
-    asked AS (SELECT DISTINCT item_id AS query_id, lexeme FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+')) AS word FROM benchmark) JOIN stemmed USING (word)),
+    weighed AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY language, lexeme) AS df, sum(tf) OVER (PARTITION BY doc_id, line_no) AS dl FROM term),
+    stat AS (SELECT language, count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT doc_id, line_no, language, dl FROM weighed) GROUP BY language),
+    asked AS MATERIALIZED (SELECT DISTINCT item_id AS query_id, lexeme FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+')) AS word FROM benchmark) JOIN stemmed USING (word)),
     scored AS (
         SELECT query_id, doc_id, line_no, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
-        FROM term JOIN asked USING (lexeme) JOIN freq USING (language, lexeme) JOIN len USING (doc_id, line_no, language) JOIN stat USING (language) GROUP BY ALL)
+        FROM weighed JOIN asked USING (lexeme) JOIN stat USING (language) GROUP BY ALL)
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, line_no)::INT AS rank FROM scored QUALIFY rank <= 10""")
 def ref_bm25_lexemes(spark, d):
     index = indexing.forward(views.chunks(spark, d), ["doc_id", "line_no"])
