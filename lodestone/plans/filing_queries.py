@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import stemming as S
-from lodestone.operators import chunking, indexing, matching, ranking, tables, units
+from lodestone.operators import chunking, crossrefs, headings, indexing, matching, ranking, tables, units
 from lodestone.sources import views
 
 from .queries import CHUNK, DOCUMENT, query
@@ -156,12 +156,13 @@ TABLE_BUDGET = chunking.Budget(60, 1_000_000, 1_000_000_000)
     FROM whole JOIN counted USING (doc_id, piece) JOIN head USING (doc_id, piece) JOIN base USING (doc_id)""")
 def ref_table_pieces(spark, d):
     cells, notes = document_tables(spark, d)
-    members = tables.pack(cells, ["doc_id"], notes, TABLE_BUDGET)
-    own = F.col("role") == "cell"
-    place = (F.col("row_no") + 1) * (F.col("col") + 1) * (F.col("text_end") + 1)
-    counts = members.where("role <> 'header' AND row_no IS NOT NULL").groupBy("doc_id", "piece").agg(F.count_distinct("row_no").cast("int").alias("n_rows"), F.count_if(own).cast("int").alias("n_cells"), F.sum(F.when(own, place).otherwise(0)).alias("places"))
-    bodies = tables.markdown(members, ["doc_id"], notes).select("doc_id", "piece", F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"))
-    return counts.join(bodies, ["doc_id", "piece"])
+    pieces = tables.pack(cells, ["doc_id"], notes, TABLE_BUDGET)
+    places = F.aggregate("rows", F.lit(0).cast("long"), lambda n, r: n + F.aggregate(F.transform(r["cells"], lambda c, i: F.when(c["told"], (r["row_no"] + 1) * (F.get("cols", i) + 1) * (c["text_end"] + 1)).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x))
+    # with four columns they are all; a group of two is the label and the column whose heading it has
+    cols = F.transform("heads", lambda h: F.array_position(F.array(*map(F.lit, ("Label", "Text", "Length", "Even"))), h[0]["text"]).cast("int") - 1)
+    told = pieces.withColumn("cols", cols)
+    n_cells = F.size(F.filter(F.flatten(F.col("rows.cells")), lambda c: c["told"]))
+    return told.select("doc_id", F.col("piece"), F.size("rows").alias("n_rows"), n_cells.alias("n_cells"), places.alias("places"), F.sha2(tables.markdown().cast("binary"), 256).alias("body_sha256"))
 
 
 @query(rf"""
@@ -174,7 +175,7 @@ def ref_table_pieces(spark, d):
     FROM spans GROUP BY doc_id, piece""")
 def ref_cell_spans(spark, d):
     cells, notes = document_tables(spark, d)
-    spans = tables.cell_spans(tables.pack(cells, ["doc_id"], notes, TABLE_BUDGET), ["doc_id"], notes)
+    spans = tables.pack(cells, ["doc_id"], notes, TABLE_BUDGET).select("doc_id", "piece", tables.cell_spans().alias("spans"))
     told = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start_char"].cast("string"), s["end_char"].cast("string"))), ",")
     return spans.select("doc_id", "piece", F.when(F.col("spans").isNotNull(), F.size("spans")).alias("n_spans"), F.sha2(told.cast("binary"), 256).alias("spans_sha256"))
 
@@ -270,3 +271,137 @@ def ref_web_search(spark, d):
     at = lambda k: F.coalesce(F.get("w", F.lit(k)), F.lit(""))
     queries = asked.select("query_id", F.concat(at(0), F.lit(' "'), at(1), F.lit(" "), at(2), F.lit(" "), at(3), F.lit('" OR '), at(8), F.lit(" -"), at(5)).alias("query"))
     return matching.relaxed(queries, views.documents(spark, d), ["doc_id"])
+
+
+# --- cross-references ----------------------------------------------------------------------------------------------
+
+#: The plain text of a title, and its words that say something.
+PLAIN = "trim(regexp_replace(lower({0}), '[^a-z0-9 ]', '', 'g'))"
+SAID = "list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array({0}, ' +'), lambda w: length(w) > 2 AND w NOT IN (" + ", ".join(f"'{w}'" for w in crossrefs.SILENT) + ")), lambda w: regexp_replace(w, 's+$', ''))))"
+
+
+@query(rf"""
+    WITH RECURSIVE {CHUNK},
+    title AS (
+        SELECT doc_id, (line_no * 7) % 11 * 1000000 + line_no AS row_no, line_no AS page,
+               CASE WHEN line_no % 2 = 0 THEN '* ' || body || '!' ELSE array_to_string(list_reverse(string_split(body, ' ')), ' ') END AS title
+        FROM chunk WHERE line_no % 3 = 1),
+    plain AS (SELECT doc_id, row_no, page, {PLAIN.format("title")} AS p, {SAID.format(PLAIN.format("title"))} AS w, row_number() OVER (PARTITION BY doc_id ORDER BY row_no) AS k FROM title),
+    body AS (SELECT doc_id, line_no, {PLAIN.format("body")} AS p, {SAID.format(PLAIN.format("body"))} AS w FROM chunk WHERE line_no % 6 <> 5 AND length({PLAIN.format("body")}) < 120),
+    exact AS (SELECT t.doc_id, k, list(line_no ORDER BY line_no) AS places FROM plain t JOIN body b ON t.doc_id = b.doc_id AND t.p = b.p AND t.p <> '' GROUP BY ALL),
+    same AS (SELECT t.doc_id, k, list(line_no ORDER BY line_no) AS places FROM plain t JOIN body b ON t.doc_id = b.doc_id AND t.w = b.w AND len(t.w) > 0 GROUP BY ALL),
+    pair AS MATERIALIZED (SELECT p.doc_id, p.k, p.row_no, p.page, coalesce(e.places, []) AS e, coalesce(s.places, []) AS s FROM plain p LEFT JOIN exact e USING (doc_id, k) LEFT JOIN same s USING (doc_id, k)),
+    walk AS (
+        SELECT DISTINCT doc_id, 0::BIGINT AS k, 0 AS cursor, NULL::INT AS hit FROM plain
+        UNION ALL
+        SELECT b.doc_id, b.k, coalesce(h + 1, cursor), h FROM (
+            SELECT b.doc_id, b.k, w.cursor, coalesce(list_min(list_filter(b.e, lambda x: x >= w.cursor)), list_min(list_filter(b.s, lambda x: x >= w.cursor))) AS h
+            FROM walk w JOIN pair b ON b.doc_id = w.doc_id AND b.k = w.k + 1) b)
+    SELECT doc_id, row_no::INT AS row_no, page::BIGINT AS page, hit AS block_no FROM walk JOIN pair USING (doc_id, k) WHERE hit IS NOT NULL""")
+def ref_located_titles(spark, d):
+    lines = views.chunks(spark, d)
+    turned = F.when(F.col("line_no") % 2 == 0, F.concat(F.lit("* "), "body", F.lit("!"))).otherwise(F.array_join(F.reverse(F.split("body", " ")), " "))
+    titles = lines.where(F.col("line_no") % 3 == 1).select("doc_id", ((F.col("line_no") * 7) % 11 * 1000000 + F.col("line_no")).alias("row_no"), turned.alias("title"), F.col("line_no").cast("bigint").alias("page"))
+    blocks = lines.select("doc_id", F.col("line_no").alias("block_no"), F.col("body").alias("text"), (F.col("line_no") % 6 == 5).alias("skip"))
+    return crossrefs.located(titles, blocks).select("doc_id", "row_no", "page", "block_no")
+
+
+@query(rf"""
+    WITH RECURSIVE {CHUNK},
+    rows AS (
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k, n, length(body) AS l,
+               line_no // 5 % 16 + 1 AS item, trim(rtrim(body[:20], ':')) AS title, n = 0 AS is_item, n = 0 AND l % 4 = 3 AS open_row,
+               CASE WHEN n = 0 THEN ['Not applicable', '(a)', (l % 300) || '-' || ((l + 7) % 300), ''][l % 4 + 1] WHEN n = 1 THEN 'Page ' || l % 200 WHEN n = 2 THEN ['none', '(b)', ''][l % 3 + 1] ELSE '' END AS value
+        FROM (SELECT *, line_no % 5 AS n FROM chunk)),
+    pass AS (
+        SELECT DISTINCT doc_id, 0::BIGINT AS k, 0 AS entry, true AS closed, false AS taken, ''::VARCHAR AS value FROM rows
+        UNION ALL
+        SELECT r.doc_id, r.k, p.entry + r.is_item::INT, CASE WHEN r.is_item THEN NOT r.open_row ELSE p.closed OR r.value = 'none' END,
+               r.is_item OR (p.entry > 0 AND NOT p.closed AND r.value <> ''), r.value
+        FROM pass p JOIN rows r ON r.doc_id = p.doc_id AND r.k = p.k + 1),
+    note AS (SELECT p.doc_id, CASE n WHEN 3 THEN 'a' ELSE 'b' END AS letter, arg_max(CASE n WHEN 3 THEN 'Incorporated ' ELSE 'By reference ' END || repeat('x', l % 7 + 1), k) AS note FROM pass p JOIN rows r USING (doc_id, k) WHERE n IN (3, 4) GROUP BY ALL),
+    told AS (
+        SELECT doc_id, entry, max(item) FILTER (is_item) AS item, max(title) FILTER (is_item) AS title,
+               string_agg(CASE WHEN n = 0 THEN least(l % 300, (l + 7) % 300) || '-' || greatest(l % 300, (l + 7) % 300) ELSE (l % 200) || '-' || (l % 200) END, ',' ORDER BY k) FILTER (regexp_matches(p.value, '[0-9]')) AS spans,
+               arg_max(p.value, k) FILTER (p.value IN ('Not applicable', 'none', '(a)', '(b)')) AS last, arg_max(p.value[2:2], k) FILTER (p.value IN ('(a)', '(b)')) AS letter
+        FROM pass p JOIN rows r USING (doc_id, k) WHERE taken GROUP BY ALL)
+    SELECT doc_id, entry, item::VARCHAR AS item, title, coalesce(spans, '') AS spans,
+           CASE WHEN spans IS NOT NULL THEN 'parsed' WHEN last IN ('(a)', '(b)') AND NOT regexp_matches(title, '(?i)^\s*(not applicable|none|n/?a|\[?reserved\]?)\.?\s*$') THEN 'incorporated_by_reference' ELSE 'empty_disclosure' END AS status,
+           coalesce(note, letter) AS reference
+    FROM told LEFT JOIN note USING (doc_id, letter)""")
+def ref_index_entries(spark, d):
+    n, l = F.col("line_no") % 5, F.length("body")
+    item = F.concat(F.lit("Item "), (F.floor(F.col("line_no") / 5) % 16 + 1).cast("string"), F.lit("."))
+    title, text = F.substring("body", 1, 20), lambda c: c.cast("string")
+    value = F.when(l % 4 == 0, "Not applicable").when(l % 4 == 1, "(a)").when(l % 4 == 2, F.concat(text(l % 300), F.lit("-"), text((l + 7) % 300)))
+    cells = (
+        F.when(n == 0, F.array_compact(F.array(item, title, value)))
+        .when(n == 1, F.array(F.lit("Statements"), F.concat(F.lit("Page "), text(l % 200))))
+        .when(n == 2, F.array(F.when(l % 3 == 0, "none").when(l % 3 == 1, "(b)").otherwise("see there")))
+        .when(n == 3, F.array(F.concat(F.lit("(a) Incorporated "), F.repeat(F.lit("x"), l % 7 + 1))))
+        .otherwise(F.array(F.concat(F.lit("(b) By reference "), F.repeat(F.lit("x"), l % 7 + 1))))
+    )
+    out = crossrefs.entries(views.chunks(spark, d).select("doc_id", F.col("line_no").alias("row_no"), cells.alias("cells")))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["low"].cast("string"), s["high"].cast("string"))), ",")
+    return out.select("doc_id", F.col("entry").cast("int").alias("entry"), "item", "title", spans.alias("spans"), "status", "reference")
+
+
+@query(rf"""
+    WITH {CHUNK},
+    line AS (SELECT doc_id, line_no, {SAID.format(PLAIN.format("body"))} AS w, body FROM chunk),
+    rng AS (
+        SELECT doc_id, line_no AS entry, (line_no % 16 + 1) || CASE WHEN line_no % 3 = 0 THEN 'A' ELSE '' END AS item, w, unnest([line_no * 2 % 90, line_no % 40 + 50]) AS low, unnest([line_no * 2 % 90 + 10, line_no % 40 + 53]) AS high
+        FROM line WHERE line_no % 4 = 0 AND line_no % 12 <> 8),
+    hit AS (
+        SELECT l.doc_id, l.line_no, r.item, row_number() OVER (PARTITION BY l.doc_id, l.line_no ORDER BY len(list_intersect(l.w, r.w)) DESC, high - low, length(item), entry) AS nth
+        FROM line l JOIN rng r ON l.doc_id = r.doc_id AND l.line_no * 3 % 97 BETWEEN low AND high)
+    SELECT doc_id, line_no, item FROM hit WHERE nth = 1""")
+def ref_page_items(spark, d):
+    lines = views.chunks(spark, d)
+    at = F.col("line_no")
+    spans = F.array(*(F.struct(low.cast("int").alias("low"), (low + n).cast("int").alias("high")) for low, n in ((at * 2 % 90, 10), (at % 40 + 50, 3))))
+    code = F.concat((at % 16 + 1).cast("string"), F.when(at % 3 == 0, "A").otherwise(""))
+    index = lines.where((at % 4 == 0)).select("doc_id", at.alias("entry"), code.alias("item"), F.col("body").alias("title"), spans.alias("spans"), F.when(at % 12 == 8, "empty_disclosure").otherwise("parsed").alias("status"))
+    points = lines.select("doc_id", "line_no", (at * 3 % 97).cast("bigint").alias("page"), F.col("body").alias("title"))
+    return crossrefs.items_of_pages(points, index).select("doc_id", "line_no", "item")
+
+
+# --- headings ------------------------------------------------------------------------------------------------------
+
+
+@query(rf"""
+    WITH {CHUNK},
+    block AS (
+        SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k, CASE WHEN length(body) % 3 < 2 THEN 'Item ' || (line_no % 18 + 1) || ['A', '', '.', ' -'][length(body) % 4 + 1] || ' ' || body ELSE body END AS text,
+               [400, 700, 800][length(body) % 5 % 3 + 1] AS weight, 8 + length(body) % 4 * 0.5::DOUBLE AS size, length(body) % 10 > 5 + doc_id % 4 AS in_table
+        FROM chunk),
+    named AS (SELECT *, upper(regexp_extract(text, '(?i)^\s*item\s+(1[0-6]|[1-9])([A-C])?\s*[.\-–—:]?\s*.*$', 1) || regexp_extract(text, '(?i)^\s*item\s+(1[0-6]|[1-9])([A-C])?\s*[.\-–—:]?\s*.*$', 2)) AS item FROM block),
+    cand AS (SELECT *, item <> '' AND length(text) <= 300 AS is_named, is_named AND weight >= 700 AS bold FROM named),
+    doc AS (
+        SELECT doc_id, count(*) AS n, count(*) FILTER (bold AND NOT in_table) AS n_out, count(*) FILTER (bold) AS n_bold, count(*) FILTER (is_named) AS n_named, max(k) FILTER (is_named) - min(k) FILTER (is_named) AS spread,
+               min(weight) FILTER (bold AND NOT in_table) AS w_out, min(size) FILTER (bold AND NOT in_table) AS s_out, min(weight) FILTER (bold) AS w_all, min(size) FILTER (bold) AS s_all
+        FROM cand GROUP BY doc_id),
+    rule AS (
+        SELECT doc_id, n_out < 15 AS tables, CASE WHEN n_out >= 15 THEN w_out ELSE w_all END AS w, CASE WHEN n_out >= 15 THEN s_out ELSE s_all END AS s
+        FROM doc WHERE n_out >= 15 OR (n_bold >= 5 AND NOT (n_named >= 10 AND spread < n * 0.15)))
+    SELECT doc_id, line_no AS block_no, item FROM cand JOIN rule USING (doc_id) WHERE item <> '' AND weight >= w AND size >= s AND (tables OR NOT in_table)""")
+def ref_headings(spark, d):
+    l = F.length("body")  # noqa: E741
+    pick = lambda of, n: F.element_at(F.array(*map(F.lit, of)), (n + 1).cast("int"))
+    text = F.when(l % 3 < 2, F.concat(F.lit("Item "), (F.col("line_no") % 18 + 1).cast("string"), pick(("A", "", ".", " -"), l % 4), F.lit(" "), "body")).otherwise(F.col("body"))
+    blocks = views.chunks(spark, d).select("doc_id", F.col("line_no").alias("block_no"), text.alias("text"), pick((400, 700, 800), l % 5 % 3).alias("font_weight"), (8 + l % 4 * 0.5).alias("font_size"), (l % 10 > 5 + F.col("doc_id") % 4).alias("in_table"))
+    items = blocks.select("doc_id", "block_no", headings.item_number(F.col("text")).alias("item")).where("item IS NOT NULL")
+    return headings.headings(blocks, items, headings.number_rules(blocks))
+
+
+@query(rf"""
+    WITH {CHUNK},
+    title AS (SELECT doc_id AS item, trim(regexp_replace(lower(body[:24]), '[^a-z ]', '', 'g')) AS c FROM chunk WHERE line_no = 0 AND doc_id % 4 = 0),
+    text AS (SELECT doc_id, line_no, trim(regexp_replace(lower(body[:8 + length(body) % 20]), '[^a-z ]', '', 'g')) AS t FROM chunk),
+    path AS (SELECT c AS path, item FROM title WHERE length(c) BETWEEN 1 AND 13 UNION ALL SELECT c[:n], item FROM title, range(8, 15) r(n) WHERE length(c) >= 14)
+    SELECT doc_id, line_no, min(item) AS item FROM text JOIN path ON length(t) >= 8 AND (t = path OR (length(path) = 14 AND t[:14] = path)) GROUP BY doc_id, line_no""")
+def ref_canonical_titles(spark, d):
+    lines = views.chunks(spark, d)
+    titles = lines.where((F.col("line_no") == 0) & (F.col("doc_id") % 4 == 0)).select(F.col("doc_id").alias("item"), F.col("doc_id").alias("place"), F.substring("body", 1, 24).alias("title"))
+    texts = lines.select("doc_id", "line_no", F.substring("body", F.lit(1), 8 + F.length("body") % 20).alias("text"))
+    return headings.canonical_items(texts, titles, ["doc_id", "line_no"])

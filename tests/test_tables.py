@@ -105,9 +105,9 @@ def test_pieces_equal_brute_force(spark, target, chars):
         notes.append((t, context or None, [(c, 1, 2) for c in captions]))
     chance.shuffle(cells)
     cells, notes = spark.createDataFrame(cells, CELLS), spark.createDataFrame(notes, NOTES)
-    members = X.pack(cells, ["doc_id"], notes, budget).cache()
-    got = {(r.doc_id, r.piece): r.body for r in X.markdown(members, ["doc_id"], notes).collect()}
-    spans = {(r.doc_id, r.piece): r.spans and [tuple(s) for s in r.spans] for r in X.cell_spans(members, ["doc_id"], notes).collect()}
+    told = X.pack(cells, ["doc_id"], notes, budget).select("doc_id", "piece", X.markdown().alias("body"), X.cell_spans().alias("spans")).collect()
+    got = {(r.doc_id, r.piece): r.body for r in told}
+    spans = {(r.doc_id, r.piece): r.spans and [tuple(s) for s in r.spans] for r in told}
     want, want_spans, many = {}, {}, 0
     for t, (heads, rows, context, captions) in tables.items():
         told = brute(heads, rows, context, captions, budget)
@@ -123,7 +123,6 @@ def test_pieces_equal_brute_force(spark, target, chars):
             for c, text in enumerate(row):
                 assert sum(e - s for s, e in {m[2][r][c] for m in told if r in m[2] and c in m[2][r]}) >= len(text)
     assert got == want and spans == want_spans and many
-    members.unpersist()
 
 
 def test_a_sentence_beyond_the_bound_raises(spark):
