@@ -70,3 +70,19 @@ def forward(chunks: DataFrame, keys: list[str], text: str = "body", path: str |
 def postings_of(index: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, language, dl, lexeme, tf) of a written index."""
     return index.select(*keys, "language", "dl", F.explode("terms").alias("t")).select(*keys, "language", "dl", "t.lexeme", "t.tf")
+
+
+def readiness(chunks: DataFrame, index: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """One row: n_chunks, n_indexed, n_missing, n_stale, n_orphans, ready.
+
+    chunks and index: (keys, version, ...). An index is ready if it holds each chunk in its own version and nothing else. Keys and
+    versions are joined, no texts; an index table is written once and never changed, so what is read here is what is searched.
+    """
+    want = chunks.select(*keys, F.col(version).alias("wanted"), F.lit(True).alias("in_chunks"))
+    have = index.select(*keys, F.col(version).alias("held"), F.lit(True).alias("in_index"))
+    both = want.join(have, keys, "full")
+    told = both.agg(
+        F.count("in_chunks").alias("n_chunks"), F.count("in_index").alias("n_indexed"), F.count_if(F.col("in_index").isNull()).alias("n_missing"),
+        F.count_if(F.col("in_index") & F.col("in_chunks") & ~F.col("wanted").eqNullSafe(F.col("held"))).alias("n_stale"), F.count_if(F.col("in_chunks").isNull()).alias("n_orphans"),
+    )
+    return told.withColumn("ready", (F.col("n_chunks") > 0) & (F.col("n_missing") == 0) & (F.col("n_stale") == 0) & (F.col("n_orphans") == 0))

@@ -67,6 +67,19 @@ def bm25_index(questions: DataFrame, index: DataFrame, keys: list[str], k1: floa
     return hits.groupBy("query_id", *keys).agg(F.sum(idf(variant, F.col("n").cast("double"), F.col("df").cast("double")) * weight).alias("score"))
 
 
+def answered(questions: DataFrame, hits: DataFrame, state: DataFrame, strict: bool = True) -> DataFrame:
+    """The hits of each question with the index's state, which has one row: a question without hits keeps a row of nulls.
+
+    State and hits are read by one plan, so that neither an index that isn't ready nor one that was rebuilt meanwhile can turn into
+    an empty success. With `strict` an index that isn't ready raises an error when the result is read, hits or not.
+    """
+    told = questions.select("query_id").distinct().crossJoin(F.broadcast(state.limit(1))).join(hits, "query_id", "left")
+    if not strict:
+        return told
+    lacks = F.concat_ws(" ", F.lit("the index is not ready:"), *(x for c in ("n_chunks", "n_missing", "n_stale", "n_orphans") for x in (F.lit(c), F.col(c).cast("string"))))
+    return told.where(F.when(F.col("ready"), True).otherwise(F.raise_error(lacks).cast("boolean")))
+
+
 def cosine_search(queries: DataFrame, vectors: DataFrame, k: int, places: int | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest vectors of each query by exact cosine, ties by id.
 

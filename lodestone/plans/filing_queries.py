@@ -234,14 +234,18 @@ def ref_lexemes(spark, d):
     return index.select("doc_id", "line_no", "dl", F.sha2(told.cast("binary"), 256).alias("terms_sha256"))
 
 
-@query(rf"""
-    WITH {TERM},
+#: BM25 over the lines' terms; `asked` holds the questions' lexemes.
+SCORED = r"""
     weighed AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY language, lexeme) AS df, sum(tf) OVER (PARTITION BY doc_id, line_no) AS dl FROM term),
     stat AS (SELECT language, count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT doc_id, line_no, language, dl FROM weighed) GROUP BY language),
-    asked AS MATERIALIZED (SELECT DISTINCT item_id AS query_id, lexeme FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+')) AS word FROM benchmark) JOIN stemmed USING (word)),
+    asked AS MATERIALIZED (SELECT DISTINCT item_id AS query_id, lexeme FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS word FROM benchmark) JOIN stemmed USING (word)),
     scored AS (
         SELECT query_id, doc_id, line_no, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
-        FROM weighed JOIN asked USING (lexeme) JOIN stat USING (language) GROUP BY ALL)
+        FROM weighed JOIN asked USING (lexeme) JOIN stat USING (language) GROUP BY ALL)"""
+
+
+@query(rf"""
+    WITH {TERM}, {SCORED}
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, line_no)::INT AS rank FROM scored QUALIFY rank <= 10""")
 def ref_bm25_lexemes(spark, d):
     index = indexing.forward(views.chunks(spark, d), ["doc_id", "line_no"])
@@ -405,3 +409,20 @@ def ref_canonical_titles(spark, d):
     titles = lines.where((F.col("line_no") == 0) & (F.col("doc_id") % 4 == 0)).select(F.col("doc_id").alias("item"), F.col("doc_id").alias("place"), F.substring("body", 1, 24).alias("title"))
     texts = lines.select("doc_id", "line_no", F.substring("body", F.lit(1), 8 + F.length("body") % 20).alias("text"))
     return headings.canonical_items(texts, titles, ["doc_id", "line_no"])
+
+
+@query(rf"""
+    WITH {TERM}, {SCORED.replace("FROM benchmark", "FROM (SELECT * FROM benchmark WHERE item_id % 5 <> 0)")},
+    best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, line_no)::INT AS rank FROM scored QUALIFY rank <= 3),
+    state AS (SELECT count(*) AS n_chunks, count(*) AS n_indexed, 0::BIGINT AS n_missing, 0::BIGINT AS n_stale, 0::BIGINT AS n_orphans, true AS ready FROM chunk)
+    SELECT q.item_id AS query_id, n_chunks, n_indexed, n_missing, n_stale, n_orphans, ready, doc_id, line_no, score, rank
+    FROM (SELECT DISTINCT item_id FROM benchmark) q CROSS JOIN state LEFT JOIN best ON best.query_id = q.item_id""")
+def ref_ready_search(spark, d):
+    chunks = views.chunks(spark, d).withColumn("version", F.sha2(F.col("body").cast("binary"), 256))
+    index = indexing.forward(chunks, ["doc_id", "line_no", "version"])
+    questions = views.questions(spark, d)
+    # a fifth of the questions has stop words only, and so no hit
+    asked = questions.withColumn("question", F.when(F.col("query_id") % 5 == 0, "what is this of").otherwise(F.col("question")))
+    scored = ranking.bm25_index(asked, index, ["doc_id", "line_no"]).withColumn("score", F.round("score", 6))
+    state = indexing.readiness(chunks, index, ["doc_id", "line_no"], "version")
+    return ranking.answered(questions, ranking.top_k(scored, 3, "doc_id", "line_no"), state)

@@ -38,3 +38,23 @@ def test_bm25_of_a_written_index(spark, variant, b, want):
     assert [round(got[1, k], 4) for k in range(1, 6)] == pytest.approx(want, abs=1e-4)
     # a Korean chunk is asked by Korean pairs, whole Latin words included
     assert set(got) == {(1, k) for k in range(1, 6)} | {(1, 11), (2, 11)}
+
+
+def test_an_index_that_is_not_ready_raises_without_hits_too(spark):
+    from lodestone.operators import indexing, ranking
+
+    chunks = spark.createDataFrame([(1, "risk", "en", "a"), (2, "market", "en", "b"), (3, None, "en", None)], "id int, body string, language string, version string")
+    index = indexing.forward(chunks, ["id", "version"])
+    asked = spark.createDataFrame([(1, "risks"), (2, "of the"), (2, "of the")], "query_id int, question string")
+
+    def told(chunks, **k):
+        hits = ranking.bm25_index(asked, index, ["id"])
+        return {(r.query_id, r.id, r.ready, r.n_missing, r.n_stale, r.n_orphans) for r in ranking.answered(asked, hits, indexing.readiness(chunks, index, ["id"], "version"), **k).collect()}
+
+    assert told(chunks) == {(1, 1, True, 0, 0, 0), (2, None, True, 0, 0, 0)}
+    other = chunks.where("id <> 3").withColumn("version", F.when(F.col("id") == 1, "x").otherwise(F.col("version"))).union(spark.sql("SELECT 9, 'new', 'en', 'c'"))
+    assert told(other, strict=False) == {(1, 1, False, 1, 1, 1), (2, None, False, 1, 1, 1)}
+    with pytest.raises(Exception, match="n_missing 1 n_stale 1 n_orphans 1"):
+        told(other)
+    with pytest.raises(Exception, match="not ready: n_chunks 0"):
+        told(chunks.limit(0))
