@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import stemming as S
-from lodestone.operators import chunking, crossrefs, headings, indexing, matching, ranking, tables, units
+from lodestone.operators import chunking, crossrefs, grids, headings, indexing, matching, ranking, tables, units
 from lodestone.sources import views
 
 from .queries import CHUNK, DOCUMENT, query
@@ -426,3 +426,32 @@ def ref_ready_search(spark, d):
     scored = ranking.bm25_index(asked, index, ["doc_id", "line_no"]).withColumn("score", F.round("score", 6))
     state = indexing.readiness(chunks, index, ["doc_id", "line_no"], "version")
     return ranking.answered(questions, ranking.top_k(scored, 3, "doc_id", "line_no"), state)
+
+
+# --- grids ---------------------------------------------------------------------------------------------------------
+
+
+@query(rf"""
+    WITH {CHUNK},
+    doc AS (SELECT DISTINCT doc_id FROM chunk)
+    SELECT doc_id, -1 AS row_no, 0 AS col, true AS header, '(단위 : 원) (기준일 : 2024년 3월 1일)' AS text, '3-6' AS sources FROM doc WHERE doc_id % 3 = 0
+    UNION ALL SELECT doc_id, 1, unnest([0, 1, 2]), true, unnest(['', 'Amount', 'Share of all']), unnest(['0-1', '1-2', '2-3']) FROM doc
+    UNION ALL SELECT doc_id, line_no + 2, 0, false, 'L' || line_no, start_char || '-' || (start_char + 1) FROM chunk
+    UNION ALL SELECT doc_id, line_no + 2, 1, false, CASE WHEN length(body) % 2 = 0 THEN '$ ' ELSE '€ ' END || length(body), start_char || '-' || (start_char + 2) || ',' || start_char || '-' || (start_char + 3) FROM chunk
+    UNION ALL SELECT doc_id, line_no + 2, 2, false, length(body) % 100 || CASE WHEN length(body) % 5 > 0 THEN ' %' ELSE '' END, start_char || '-' || (start_char + 4) || CASE WHEN length(body) % 5 > 0 OR any_sign THEN ',' || start_char || '-' || (start_char + 5) ELSE '' END
+        FROM (SELECT *, bool_or(length(body) % 5 > 0) OVER (PARTITION BY doc_id) AS any_sign FROM chunk)""")
+def ref_grids(spark, d):
+    lines = views.chunks(spark, d)
+    at, l = F.col("start_char"), F.length("body")  # noqa: E741
+    cell = lambda k, text, start, end, across=1, align=None: F.struct(F.lit(k).alias("cell_no"), text.alias("text"), F.lit(1).alias("rowspan"), F.lit(across).alias("colspan"), F.lit(align).cast("string").alias("align"), start.cast("long").alias("start_char"), end.cast("long").alias("end_char"))
+    texts = (F.concat(F.lit("L"), F.col("line_no").cast("string")), F.when(l % 2 == 0, "$").otherwise("€"), l.cast("string"), (l % 100).cast("string"), F.when(l % 5 > 0, "%").otherwise(""))
+    body = lines.select("doc_id", (F.col("line_no") + 2).alias("row_no"), F.explode(F.array(*(cell(k, t, at, at + k + 1) for k, t in enumerate(texts)))).alias("c"))
+    docs = lines.select("doc_id").distinct()
+    heads = F.explode(F.array(cell(0, F.lit(""), F.lit(0), F.lit(1)), cell(1, F.lit("Amount"), F.lit(1), F.lit(2), 2, "right"), cell(2, F.lit("Share of all"), F.lit(2), F.lit(3), 2))).alias("c")
+    notes = F.explode(F.array(cell(0, F.lit("(단위 : 원)"), F.lit(3), F.lit(4), 4), cell(1, F.lit("(기준일 : 2024년 3월 1일)"), F.lit(5), F.lit(6)))).alias("c")
+    cells = body.unionByName(docs.select("doc_id", F.lit(1).alias("row_no"), heads)).unionByName(docs.where("doc_id % 3 = 0").select("doc_id", F.lit(0).alias("row_no"), notes))
+    own, captions = grids.structured(cells.select("doc_id", "row_no", "c.*"), ["doc_id"])
+    spans = F.array_join(F.transform("sources", lambda s: F.concat_ws("-", s["start_char"].cast("string"), s["end_char"].cast("string"))), ",")
+    first = F.col("captions")[0]
+    above = captions.select("doc_id", F.lit(-1).alias("row_no"), F.lit(0).alias("col"), F.lit(True).alias("header"), F.array_join(F.col("captions.text"), " ").alias("text"), F.concat_ws("-", first["start_char"].cast("string"), first["end_char"].cast("string")).alias("sources"))
+    return own.select("doc_id", "row_no", "col", "header", "text", spans.alias("sources")).unionByName(above)
