@@ -274,7 +274,18 @@ def ref_allowance(spark, d):
 # --- chunks --------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(r"""
+    WITH RECURSIVE """ + DOCUMENT + r""",
+    cut AS (SELECT doc_id, issuer || ' FY' || fiscal_year AS header, string_split(replace(replace(regexp_replace(text, '([.!?。！？])(\s)', '\1' || chr(1) || '\2', 'g'), chr(10) || chr(10), chr(10) || chr(1) || chr(10)), chr(10) || chr(10), chr(10) || chr(1) || chr(10)), chr(1)) AS parts FROM document),
+    part AS MATERIALIZED (
+        SELECT doc_id, k, s, len(regexp_extract_all(lower(header), '[\p{L}\p{M}\p{N}]+')) AS head, len(regexp_extract_all(lower(s), '[\p{L}\p{M}\p{N}]+')) AS tokens
+        FROM (SELECT doc_id, header, unnest(list_filter(parts, lambda x: x <> '')) AS s, unnest(range(1, len(list_filter(parts, lambda x: x <> '')) + 1)) AS k FROM cut)),
+    pass AS (
+        SELECT DISTINCT doc_id, 0::BIGINT AS k, -1 AS piece, 0::BIGINT AS held FROM part
+        UNION ALL
+        SELECT doc_id, k, piece + (NOT joins)::INT, tokens + CASE WHEN joins THEN held ELSE 0 END
+        FROM (SELECT p.doc_id, q.k, p.piece, p.held, q.tokens, p.piece >= 0 AND q.head + p.held + q.tokens <= 200 AS joins FROM pass p JOIN part q ON q.doc_id = p.doc_id AND q.k = p.k + 1))
+    SELECT doc_id, piece, sum(length(s))::BIGINT AS n_chars, sha256(string_agg(s, '' ORDER BY k)) AS body_sha256 FROM pass JOIN part USING (doc_id, k) GROUP BY doc_id, piece""")
 def ref_pieces(spark, d):
     sections = views.documents(spark, d).select("doc_id", F.lit(0).alias("section"), F.concat("issuer", F.lit(" FY"), "fiscal_year").alias("header"), "text")
     out = chunking.pieces(sections, chunking.Budget(200, 1_000_000, 10_000_000))
