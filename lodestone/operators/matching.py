@@ -10,6 +10,11 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, S
 from lodestone.functions.query import websearch_tokens
 from lodestone.functions.stemming import lexeme_spots
 
+from .ranking import having
+
+#: Texts and bytes of an Arrow batch, at most; a longer text is a batch by itself.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+
 
 @F.pandas_udf(ArrayType(StructType([StructField("excluded", BooleanType()), StructField("text", StringType())])))
 def _operands(queries: pd.Series) -> pd.Series:
@@ -36,6 +41,9 @@ def operands(queries: DataFrame) -> DataFrame:
 
 def positions(documents: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, korean, lexeme, at): where each lexeme of a document stands, by the plan of its language."""
+    # whole texts: a worker holds the lexemes of so many at once. Spark reads the settings when the result is run, so they stay
+    documents.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    documents.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     told = documents.select(*keys, F.col("language").eqNullSafe("ko").alias("korean"), lexeme_spots(F.col(text), F.col("language")).alias("spots"))
     return told.select(*keys, "korean", F.explode_outer("spots").alias("s")).where("s IS NOT NULL").select(*keys, "korean", "s.lexeme", "s.at")
 
@@ -45,12 +53,11 @@ def relaxed(queries: DataFrame, documents: DataFrame, keys: list[str], text: str
 
     documents: (keys, language, text). A document's language says by which plan a query is read for it. A phrase, and a word that
     falls into several lexemes, is met where its lexemes stand as far apart as in the query, stop words counted. A query without
-    a positive lexeme meets nothing; null texts have no lexemes. Only places of asked lexemes are moved; the asked lexemes are
-    joined as they are large, by Spark's own choice.
+    a positive lexeme meets nothing; null texts have no lexemes. Only places of asked lexemes are moved.
     """
     asked = operands(queries)
     places = positions(documents, keys, text)
-    hits = places.join(asked.select("korean", "lexeme").distinct(), ["korean", "lexeme"], "left_semi").join(asked, ["korean", "lexeme"])
+    hits = having(places, asked).join(asked, ["korean", "lexeme"])
     whole = hits.groupBy("query_id", "operand", "excluded", *keys, (F.col("at") - F.col("nth")).alias("begin"), "n").agg(F.count(F.lit(1)).alias("met")).where("met = n")
     told = whole.groupBy("query_id", *keys).agg(F.bool_or("excluded").alias("out"))
     return told.where("NOT out").select("query_id", *keys)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +54,18 @@ def asked_lexemes(questions: DataFrame) -> DataFrame:
     return told.select("query_id", "t.korean", "t.lexeme")
 
 
+#: Asked lexemes that are told to all tasks, at most: some 16 MB of hashes. More are joined by a shuffle.
+FEW_ASKED = 500_000
+
+
+def having(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows whose lexeme is asked for, with few others that share its hash. Asked lexemes are counted first: a set that isn't
+    large goes to all tasks, so that rows nobody asks for are not moved."""
+    wanted = asked.select(F.xxhash64("lexeme").alias("asked_hash")).distinct()
+    few = wanted.limit(FEW_ASKED + 1).count() <= FEW_ASKED
+    return rows.join(F.broadcast(wanted) if few else wanted, F.xxhash64("lexeme") == F.col("asked_hash"), "left_semi")
+
+
 def bm25_index(questions: DataFrame, index: DataFrame, keys: list[str], k1: float = 1.2, b: float = 0.75, variant: str = "lucene") -> DataFrame:
     """(query_id, keys, score) of the chunks of a written index that have a lexeme of the question, by their language's statistics.
 
@@ -59,7 +76,7 @@ def bm25_index(questions: DataFrame, index: DataFrame, keys: list[str], k1: floa
     check_bm25(k1, b, variant)
     asked = asked_lexemes(questions)
     rows = indexing.postings_of(index, keys).withColumn("korean", F.col("language").eqNullSafe("ko"))
-    met = rows.join(asked.select("korean", "lexeme").distinct(), ["korean", "lexeme"], "left_semi")
+    met = having(rows, asked)
     df = met.groupBy(F.col("language").alias("of"), F.col("lexeme").alias("word")).agg(F.count(F.lit(1)).alias("df"))
     stats = indexing.statistics(index.where("dl > 0")).withColumnRenamed("language", "in")
     hits = met.join(df, F.col("language").eqNullSafe(F.col("of")) & (F.col("lexeme") == F.col("word"))).join(stats, F.col("language").eqNullSafe(F.col("in"))).join(asked, ["korean", "lexeme"])
@@ -67,6 +84,84 @@ def bm25_index(questions: DataFrame, index: DataFrame, keys: list[str], k1: floa
     return hits.groupBy("query_id", *keys).agg(F.sum(idf(variant, F.col("n").cast("double"), F.col("df").cast("double")) * weight).alias("score"))
 
 
+def _best(weights: pa.Table, keys: list[str], k: int, k1: float, b: float, places: int):
+    """The k best chunks of each question among a task's rows, by rounded score and then by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexemes = pc.unique(weights["lexeme"].combine_chunks())
+        queries = pc.unique(weights["query_id"].combine_chunks())
+        languages = pc.unique(weights["language"].combine_chunks())
+        code = lambda values, known: pc.index_in(values, known).to_numpy(zero_copy_only=False)
+        # the questions of each (language, lexeme) with their weights, one after another
+        word = code(weights["language"].combine_chunks(), languages) * len(lexemes) + code(weights["lexeme"].combine_chunks(), lexemes)
+        order = np.argsort(word, kind="stable")
+        query, idf_of = code(weights["query_id"].combine_chunks(), queries)[order], weights["idf"].to_numpy()[order]
+        ends = np.searchsorted(word[order], np.arange(len(languages) * len(lexemes) + 1))
+        avgdl = np.zeros(len(languages))
+        avgdl[code(weights["language"].combine_chunks(), languages)] = weights["avgdl"].to_numpy()
+        least, held = np.full(len(queries), -np.inf), []
+
+        def pruned() -> pa.Table:
+            rows = pa.concat_tables(held).sort_by([("query_id", "ascending"), ("score", "descending"), *((c, "ascending") for c in keys)])
+            q = code(rows["query_id"].combine_chunks(), queries)
+            begin = np.flatnonzero(np.diff(q, prepend=-1))
+            nth = np.arange(len(q)) - np.repeat(begin, np.diff(begin, append=len(q)))
+            last = nth == k - 1
+            least[q[last]] = rows["score"].to_numpy()[last]
+            return rows.filter(pa.array(nth < k))
+
+        for batch in batches:
+            of = batch.column("terms")
+            sizes = of.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            terms = of.flatten()
+            row, found = np.repeat(np.arange(batch.num_rows), sizes), pc.index_in(terms.field("lexeme"), lexemes)
+            spoken = pc.index_in(batch.column("language"), languages).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            hit = found.is_valid().to_numpy(zero_copy_only=False) & (spoken[row] >= 0)
+            row, lang = row[hit], spoken[row[hit]]
+            at = lang * len(lexemes) + found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[hit]
+            tf, dl = terms.field("tf").to_numpy(zero_copy_only=False)[hit], batch.column("dl").to_numpy()[row]
+            worth = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl[lang]))
+            n = ends[at + 1] - ends[at]
+            asked = np.repeat(ends[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            pair, back = np.unique(np.repeat(row, n) * len(queries) + query[asked], return_inverse=True)
+            score = np.bincount(back, np.repeat(worth, n) * idf_of[asked], len(pair))
+            score = np.floor(score * 10**places + 0.5) / 10**places
+            keep = score >= least[pair % len(queries)]
+            pair, score = pair[keep], score[keep]
+            rows = batch.select(keys).take(pa.array(pair // len(queries)))
+            held.append(pa.table([queries.take(pa.array(pair % len(queries))), *rows.columns, pa.array(score)], names=["query_id", *keys, "score"]))
+            held[:] = [pruned()]
+        for t in held:
+            yield from t.to_batches()
+
+    return run
+
+
+def bm25_best(questions: DataFrame, index: DataFrame, keys: list[str], k: int, k1: float = 1.2, b: float = 0.75, variant: str = "lucene", places: int = 6) -> DataFrame:
+    """(query_id, keys, score, rank): the k best chunks of each question by bm25_index, scores rounded to `places`, ties by key.
+
+    Nearly every chunk shares some lexeme with a long question, so each task scores its chunks, whose terms stand in one row, and
+    passes on its own k best of each question only, which hold the best of all. The weights of asked lexemes, one for each question
+    and language, are counted before they go to the tasks; more than FEW_ASKED are joined by shuffles instead.
+    """
+    check_bm25(k1, b, variant)
+    asked = asked_lexemes(questions)
+    if asked.limit(FEW_ASKED + 1).count() > FEW_ASKED:
+        scored = bm25_index(questions, index, keys, k1, b, variant)
+        return top_k(scored.withColumn("score", F.round("score", places)), k, *keys)
+    rows = having(indexing.postings_of(index, keys), asked).withColumn("korean", F.col("language").eqNullSafe("ko"))
+    df = rows.groupBy("language", "korean", "lexeme").agg(F.count(F.lit(1)).alias("df"))
+    stats = indexing.statistics(index.where("dl > 0")).withColumnRenamed("language", "in")
+    known = df.join(stats, F.col("language").eqNullSafe(F.col("in"))).join(asked, ["korean", "lexeme"])
+    weights = known.select("query_id", F.coalesce("language", F.lit("")).alias("language"), "lexeme", idf(variant, F.col("n").cast("double"), F.col("df").cast("double")).alias("idf"), F.col("avgdl").cast("double").alias("avgdl")).toArrow()
+    kinds = dict(index.dtypes) | {"query_id": dict(questions.dtypes)["query_id"]}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in ("query_id", *keys)), "score double"])
+    told = index.select(*keys, F.coalesce("language", F.lit("")).alias("language"), "dl", "terms")
+    if not weights.num_rows:
+        return top_k(index.sparkSession.createDataFrame([], schema), k, *keys)
+    return top_k(told.mapInArrow(_best(weights, keys, k, k1, b, places), schema), k, *keys)
+
+
 def answered(questions: DataFrame, hits: DataFrame, state: DataFrame, strict: bool = True) -> DataFrame:
     """The hits of each question with the index's state, which has one row: a question without hits keeps a row of nulls.
 

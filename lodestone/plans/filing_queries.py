@@ -249,8 +249,7 @@ SCORED = r"""
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, line_no)::INT AS rank FROM scored QUALIFY rank <= 10""")
 def ref_bm25_lexemes(spark, d):
     index = indexing.forward(views.chunks(spark, d), ["doc_id", "line_no"])
-    scored = ranking.bm25_index(views.questions(spark, d), index, ["doc_id", "line_no"]).withColumn("score", F.round("score", 6))
-    return ranking.top_k(scored, 10, "doc_id", "line_no")
+    return ranking.bm25_best(views.questions(spark, d), index, ["doc_id", "line_no"], 10)
 
 
 # --- web searches --------------------------------------------------------------------------------------------------
@@ -423,9 +422,8 @@ def ref_ready_search(spark, d):
     questions = views.questions(spark, d)
     # a fifth of the questions has stop words only, and so no hit
     asked = questions.withColumn("question", F.when(F.col("query_id") % 5 == 0, "what is this of").otherwise(F.col("question")))
-    scored = ranking.bm25_index(asked, index, ["doc_id", "line_no"]).withColumn("score", F.round("score", 6))
     state = indexing.readiness(chunks, index, ["doc_id", "line_no"], "version")
-    return ranking.answered(questions, ranking.top_k(scored, 3, "doc_id", "line_no"), state)
+    return ranking.answered(questions, ranking.bm25_best(asked, index, ["doc_id", "line_no"], 3), state)
 
 
 # --- grids ---------------------------------------------------------------------------------------------------------

@@ -36,6 +36,12 @@ def test_bm25_of_a_written_index(spark, variant, b, want):
     questions = spark.createDataFrame([(1, "the market risk market"), (2, "매출액")], "query_id int, question string")
     got = {(r.query_id, r.id): r.score for r in ranking.bm25_index(questions, index, ["id"], b=b, variant=variant).collect()}
     assert [round(got[1, k], 4) for k in range(1, 6)] == pytest.approx(want, abs=1e-4)
+    best = {(r.query_id, r.id): r.score for r in ranking.bm25_best(questions, index, ["id"], 50, b=b, variant=variant).collect()}
+    assert best == pytest.approx({k: round(v, 6) for k, v in got.items()}, abs=2e-6)
+    two = [(r.query_id, r.id, r["rank"]) for r in ranking.bm25_best(questions, index, ["id"], 2, b=b, variant=variant).orderBy("query_id", "rank").collect()]
+    order = sorted((k for k in best if k[0] == 1), key=lambda k: (-best[k], k[1]))[:2]
+    assert two == [(1, order[0][1], 1), (1, order[1][1], 2), (2, 11, 1)]
+    assert ranking.bm25_best(questions.limit(0), index, ["id"], 2).count() == 0
     # a Korean chunk is asked by Korean pairs, whole Latin words included
     assert set(got) == {(1, k) for k in range(1, 6)} | {(1, 11), (2, 11)}
 
