@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,11 @@ WIDTH = 5
 #: Registers of a signature in bands of ROWS. At a similarity of 0.75 a pair has no band in common once in 12,000 times, at
 #: 0.8 once in two million; at 0.3, as documents that share a passage have, one pair in thirty has one.
 BANDS, ROWS = 48, 6
-#: Rounds of trying each document with so many hubs before the rest of the pairs is verified, at most.
-ROUNDS, TRIES = 6, 2
+#: Hubs that a document tries before the rest of the pairs is verified, and the buckets that it shares with each, at least.
+TRIES, SHARED = 2, 3
 #: Components of fewer documents are compared document by document, in buckets of up to CROWD such documents by pairs;
-#: all else in blocks of so many shingles.
-FEW, CROWD, BLOCK = 8, 16, 500_000
+#: all else in blocks of so many shingles. HEAD documents of a component are tried before the whole.
+FEW, CROWD, BLOCK, HEAD = 8, 16, 500_000, 64
 #: Words whose hashes a process keeps.
 KEPT = 300_000
 
@@ -135,12 +136,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashed.view(np.int64)))], names=["doc", "set"])
 
 
+def _asked(sets: DataFrame, docs: DataFrame, doc: str) -> DataFrame:
+    """The sets of the documents that a column names, and as few others as a bounded filter allows."""
+    return may_have(sets, "key", filter_of(docs.select(F.xxhash64(doc).alias("key")), "key", "asked-filter"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. Only sets that some pair asks for are dealt."""
     half, full = pairs, F.size(F.array_intersect("of_a", "of_b"))
     for side in "ab":
-        asked = may_have(sets, "key", filter_of(pairs.select(F.xxhash64(side).alias("key")), "key", "asked-filter"))
-        half = half.join(asked.select(F.col("doc").alias(side), F.col("set").alias(f"of_{side}")), side)
+        half = half.join(_asked(sets, pairs, side).select(F.col("doc").alias(side), F.col("set").alias(f"of_{side}")), side)
     return half.where(100 * full >= percent * (F.size("of_a") + F.size("of_b") - full)).select("a", "b")
 
 
@@ -149,22 +154,33 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _mixed(members: DataFrame, known: DataFrame, number: int) -> tuple[DataFrame, int, int]:
-    """The members (doc, n, c, bands) that share a bucket with another component, with those of their buckets that have
-    several components and each such bucket's hub, which a hash of the round's number picks: bands is an array of
-    (band, hub). And how many such members' places there are, and how many pairs of different components those buckets hold,
-    counted once in each bucket.
-
-    A document's component is looked up once, not once in each bucket. Buckets of one component are left out for good, since
-    components only grow together.
+def _hubs(places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of documents with a hub: each bucket's is the document that a hash picks. A document tries the TRIES hubs
+    that it shares most buckets with, SHARED of them at least: pairs that share fewer are seldom links, and wait for `_rest`.
     """
-    placed = members.join(known, F.col("doc") == F.col("node"), "left").select("doc", "n", F.coalesce("component", "doc").alias("c"), F.explode("bands").alias("band"))
-    hub = F.min(F.struct(F.xxhash64("doc", F.lit(number)).alias("by"), "doc", "n", "c")).alias("hub")
-    hubs = table(placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), hub).where("low < high").select("band", "hub"), "hubs", thin=True)
-    found = table(placed.join(hubs, "band"), "mixed", thin=True)
-    sizes = found.groupBy("band", "c").count().groupBy("band").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("within"))
-    places, pairs = sizes.agg(F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("within")) / 2)).first()
-    return found, places or 0, pairs or 0
+    hub = F.min(F.struct(F.xxhash64("doc", F.lit(0)).alias("by"), "doc", "n")).alias("hub")
+    hubs = table(places.groupBy("band").agg(hub), "hubs", thin=True)
+    facing = places.join(hubs, "band").where((F.col("doc") != F.col("hub.doc")) & _alike(F.col("n"), F.col("hub.n"), percent))
+    shared = facing.groupBy("doc", F.col("hub.doc").alias("b")).count().where(F.col("count") >= SHARED)
+    nth = F.row_number().over(Window.partitionBy("doc").orderBy(F.col("count").desc(), "b"))
+    tries = table(shared.withColumn("nth", nth).where(F.col("nth") <= TRIES).select(F.col("doc").alias("a"), "b"), "tries", thin=True)
+    return table(_verified(tries, sets, percent), "links", thin=True)
+
+
+def _told(places: DataFrame, known: DataFrame) -> DataFrame:
+    """The places (band, doc, n, c) in buckets that have several components, c being the document's."""
+    told = places.join(known, F.col("doc") == F.col("node"), "left").select("band", "doc", "n", F.coalesce("component", "doc").alias("c"))
+    told = table(told, "told", thin=True)
+    several = told.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
+    return table(told.join(several, "band", "left_semi"), "mixed", thin=True)
+
+
+def _postings(sets: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets' shingles in order, the number of the set that has each, and the sets' sizes."""
+    sizes = np.diff(sets.offsets.to_numpy())
+    flat = sets.flatten().to_numpy()
+    order = np.argsort(flat, kind="stable")
+    return flat[order], np.repeat(np.arange(len(sizes)), sizes)[order], sizes
 
 
 def _linked(percent: int, one: bool):
@@ -172,26 +188,28 @@ def _linked(percent: int, one: bool):
     on the left just one, which is enough where the right side is one component.
 
     All overlaps are counted exactly: the right side's shingles are sorted once, and each shingle on the left adds one to
-    every document on the right that has it.
+    every document on the right that has it. Where one link is enough, the first HEAD documents on the right are tried before
+    the others.
     """
 
     def link(left: pa.Table, right: pa.Table) -> pa.Table:
         sets = right.column("theirs").combine_chunks()
-        sizes = np.diff(sets.offsets.to_numpy())
-        flat = sets.flatten().to_numpy()
-        order = np.argsort(flat, kind="stable")
-        keys, owner = flat[order], np.repeat(np.arange(len(sizes)), sizes)[order]
         docs = right.column("b").to_numpy()
+        cuts = [0, HEAD, len(docs)] if one and len(docs) > HEAD else [0, len(docs)]
+        parts = [(docs[i:j], *_postings(sets.slice(i, j - i))) for i, j in pairwise(cuts)]
         held: list[tuple[np.ndarray, np.ndarray]] = []
         n_held = 0
         for a, mine in zip(left.column("a").to_pylist(), left.column("mine").combine_chunks(), strict=True):
             x = mine.values.to_numpy()
-            low, high = np.searchsorted(keys, x, "left"), np.searchsorted(keys, x, "right")
-            n = high - low
-            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            common = np.bincount(owner[at], minlength=len(sizes))
-            found = docs[100 * common >= percent * (len(x) + sizes - common)]
-            found = found[found != a]
+            for theirs, keys, owner, sizes in parts:
+                low, high = np.searchsorted(keys, x, "left"), np.searchsorted(keys, x, "right")
+                n = high - low
+                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(sizes))
+                found = theirs[100 * common >= percent * (len(x) + sizes - common)]
+                found = found[found != a]
+                if len(found):
+                    break
             if len(found):
                 found = found[:1] if one else found
                 held.append((np.full(len(found), a), found))
@@ -212,36 +230,51 @@ def _dealt(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int, one
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     of = lambda doc, n: F.pmod(F.xxhash64(doc), F.col(n)).cast("int")
     mine = left.join(plan, "g").select(F.col("g").alias("ga"), "a", of("a", "lefts").alias("la"), every("rights").alias("ra"))
-    mine = mine.join(sets.select(F.col("doc").alias("d"), F.col("set").alias("mine")), F.col("a") == F.col("d")).select("ga", "la", "ra", "a", "mine")
+    mine = mine.join(_asked(sets, left, "a").select(F.col("doc").alias("d"), F.col("set").alias("mine")), F.col("a") == F.col("d")).select("ga", "la", "ra", "a", "mine")
     theirs = right.join(plan, "g").select(F.col("g").alias("gb"), "b", of("b", "rights").alias("rb"), every("lefts").alias("lb"))
-    theirs = theirs.join(sets.select(F.col("doc").alias("d"), F.col("set").alias("theirs")), F.col("b") == F.col("d")).select("gb", "lb", "rb", "b", "theirs")
+    theirs = theirs.join(_asked(sets, right, "b").select(F.col("doc").alias("d"), F.col("set").alias("theirs")), F.col("b") == F.col("d")).select("gb", "lb", "rb", "b", "theirs")
     return mine.groupBy("ga", "la", "ra").cogroup(theirs.groupBy("gb", "lb", "rb")).applyInArrow(_linked(percent, one), "a long, b long")
 
 
-def _rest(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between documents of different components that share a bucket, enough of them to join all components
-    that are linked.
+def _wholes(told: DataFrame, large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of documents with the larger components (large, docs) that they share a bucket with, each faced as a whole.
 
-    placed: (band, doc, n, c) of buckets with several components. Documents face a component of FEW documents or more as a
-    whole. Those of smaller components face one another: in pairs where a bucket has CROWD of them at most, else bucket by
-    bucket. Wholes and buckets are read in parts of BLOCK shingles, so that no group makes pairs of rows.
+    Of two large components, the documents of the smaller face the larger: what links them shows from either side.
+    """
+    sized = told.join(large, F.col("c") == F.col("large"), "left")
+    wholes = sized.where("large IS NOT NULL").select("band", F.col("large").alias("g"), F.col("docs").alias("g_docs")).distinct()
+    facing = sized.join(wholes, "band").where(F.struct(F.coalesce("docs", F.lit(0)), "c") < F.struct("g_docs", "g")).select("g", F.col("doc").alias("a"), "n").distinct()
+    facing = table(facing, "facing", thin=True)
+    asked = large.join(facing.select(F.col("g").alias("large")).distinct(), "large", "left_semi")
+    whole = told.select("doc", "n", "c").distinct().join(asked, F.col("c") == F.col("large")).select(F.col("large").alias("g"), F.col("doc").alias("b"), "n")
+    return table(_dealt(facing, table(whole, "whole", thin=True), sets, percent, one=True), "links", thin=True)
+
+
+def _rest(told: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between documents of different components that share a bucket, with those known enough of them to join
+    all that is linked. told: (band, doc, n, c) of buckets with several components.
+
+    Documents face a component of FEW documents or more as a whole, see `_wholes`. Those of smaller components face one
+    another: in pairs where a bucket has CROWD of them at most, else bucket by bucket, all against those that are not of the
+    component that most are of. Wholes and buckets are read in parts of BLOCK shingles, so that no group makes pairs of rows.
     """
-    docs = table(placed.select("doc", "n", "c").distinct(), "left", thin=True)
-    sets = table(may_have(sets, "key", filter_of(docs.select(F.xxhash64("doc").alias("key")), "key", "left-filter")), "left-sets")
-    large = table(docs.groupBy("c").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= FEW).select(F.col("c").alias("large")), "large", thin=True)
-    told = placed.join(large, F.col("c") == F.col("large"), "left")
-    wholes = told.where("large IS NOT NULL").select("band", F.col("large").alias("g")).distinct()
-    facing = placed.join(wholes, "band").where("c <> g").select("g", F.col("doc").alias("a"), "n").distinct()
-    whole = docs.join(large, F.col("c") == F.col("large")).select(F.col("large").alias("g"), F.col("doc").alias("b"), "n")
-    links = _dealt(table(facing, "facing", thin=True), whole, sets, percent, one=True)
-    small = told.where("large IS NULL").select("band", "doc", "n", "c")
-    crowds = small.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    found = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    large = told.groupBy("c").agg(F.count_distinct("doc").alias("docs")).where(F.col("docs") >= FEW).select(F.col("c").alias("large"), "docs")
+    large = table(large, "large", thin=True)
+    small = told
+    if not large.isEmpty():
+        found = found.union(_wholes(told, large, sets, percent))
+        small = told.join(large, F.col("c") == F.col("large"), "left_anti")
+        small = _told(small.select("band", "doc", "n"), table(components(found), "components", thin=True))
+    counts = small.groupBy("band", "c").agg(F.count(F.lit(1)).alias("of_c"))
+    crowds = counts.groupBy("band").agg(F.sum("of_c").alias("crowd"), F.max(F.struct("of_c", "c")).getField("c").alias("most"))
     small = table(small.join(crowds, "band"), "small", thin=True)
     a, b = (small.where(F.col("crowd") <= CROWD).select("band", F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}")) for x in "ab")
     pairs = a.join(b, "band").where("a > b AND c_a <> c_b").where(_alike(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
     crowded = small.where(F.col("crowd") > CROWD)
-    side = lambda x: crowded.select(F.col("band").alias("g"), F.col("doc").alias(x), "n")
-    return links.union(_verified(pairs, sets, percent)).union(_dealt(side("a"), side("b"), sets, percent, one=False))
+    right = crowded.select(F.col("band").alias("g"), F.col("doc").alias("b"), "n")
+    left = crowded.where("c <> most").select(F.col("band").alias("g"), F.col("doc").alias("a"), "n")
+    return found.union(_verified(table(pairs, "pairs", thin=True), sets, percent)).union(_dealt(left, right, sets, percent, one=False))
 
 
 def _representatives(named: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -269,11 +302,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Shingles are told apart by 64-bit hashes, and equal sets by the number and two 64-bit sums of them. Equal sets are one
     class, whose smallest id stands for it. Representatives with a band in common are candidates; bands that one document
-    only has are dropped first, and buckets are not expanded into all pairs. In each round every bucket names a hub by a
-    hash, and each document is verified with the TRIES hubs of other components that it shares most buckets with; union-find
-    joins what is linked. Rounds go on while they link and buckets still hold many pairs of different components. Then every
-    document is verified against the other components that it shares a bucket with, on full sets, so no link between
-    components is lost.
+    only has are dropped first, and buckets are not expanded into all pairs. If buckets hold many pairs, each names a hub by a
+    hash, and each document is verified with the TRIES hubs that it shares most buckets with; union-find joins what is linked.
+    Then every document is verified against the other components that it shares a bucket with, on full sets, so no link
+    between components is lost. A document's places in buckets are listed once, not once in each step.
 
     Null or blank texts have no shingles and are linked with nothing. Rows without an id are linked with nothing and kept.
     Rows that share an id are one node. Other columns are ignored; an empty table gives no rows.
@@ -284,29 +316,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts, same = _representatives(signed.where("n_shingles > 0 AND doc_id IS NOT NULL"))
     placed = firsts.select("doc", "n", F.explode("bands").alias("band"))
     buckets = table(placed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band"), "buckets", thin=True)
-    crowded = may_have(placed, "band", filter_of(buckets, "band", "buckets-filter")).join(buckets, "band")
-    members = table(crowded.groupBy("doc", "n").agg(F.collect_set("band").alias("bands")), "members", thin=True)
+    crowded = may_have(placed, "band", filter_of(buckets, "band", "buckets-filter")).join(buckets, "band", "left_semi")
+    places = table(crowded.distinct(), "places")
     keyed = rows.where("doc_id IS NOT NULL").withColumn("key", F.xxhash64("doc_id"))
-    wanted = may_have(keyed, "key", filter_of(members.select(F.xxhash64("doc").alias("key")), "key", "crowded-filter"))
+    wanted = may_have(keyed, "key", filter_of(places.select(F.xxhash64("doc").alias("key")), "key", "crowded-filter"))
     sets = table(wanted.select("doc_id", "text").mapInArrow(_sets, "doc long, set array<long>"), "sets").withColumn("key", F.xxhash64("doc"))
-    known = df.sparkSession.createDataFrame([], "node long, component long")
-    total = 0
-    for number in range(ROUNDS + 1):
-        mixed_up, places, pairs = _mixed(members, known, number)
-        if number == ROUNDS or pairs <= 2 * places:
-            break
-        members = table(mixed_up.groupBy("doc", "n").agg(F.collect_set("band").alias("bands")), "members", thin=True)
-        shared = mixed_up.where((F.col("c") != F.col("hub.c")) & _alike(F.col("n"), F.col("hub.n"), percent)).groupBy("doc", F.col("hub.doc").alias("b")).count()
-        nth = F.row_number().over(Window.partitionBy("doc").orderBy(F.col("count").desc(), "b"))
-        tries = table(shared.withColumn("nth", nth).where(F.col("nth") <= TRIES).select(F.col("doc").alias("a"), "b"), "tries", thin=True)
-        links = table(_verified(tries, sets, percent), "links", thin=True)
-        new = links.count()
-        known = table(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "components", thin=True)
-        total += new
-        if new * 100 <= total:
-            mixed_up, _, _ = _mixed(members, known, number)
-            break
-    more = table(_rest(mixed_up.select("band", "doc", "n", "c"), sets, percent), "links", thin=True)
-    found = table(components(same.union(known.select(F.col("node").alias("a"), F.col("component").alias("b"))).union(more)), "components", thin=True)
+    told, known = places.withColumn("c", F.col("doc")), df.sparkSession.createDataFrame([], "node long, component long")
+    n_places, n_pairs = places.groupBy("band").count().agg(F.sum("count"), F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()
+    if (n_pairs or 0) > 2 * (n_places or 0):
+        known = table(components(_hubs(places, sets, percent)), "components", thin=True)
+        told = _told(places, known)
+    more = table(_rest(told, known, sets, percent), "links", thin=True)
+    found = table(components(same.union(more)), "components", thin=True)
     told = signed.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
     return told.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

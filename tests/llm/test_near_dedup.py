@@ -115,3 +115,47 @@ def test_components_of_random_graphs(spark, monkeypatch, block):
     assert got == {n: c for n, c in want.items() if n in got}
     assert {n for n, c in want.items() if n != c} <= got.keys()
     assert components(df.limit(0)).count() == 0
+
+
+def stragglers():
+    """A large group of near copies, some of which are linked with few others or none."""
+    rng = random.Random(4)
+    base, data = [f"b{k}" for k in range(120)], []
+    for k in range(300):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 16)):
+            copy[rng.randrange(120)] = f"x{rng.randrange(9999)}"
+        data.append((k * 11 % 997, " ".join(copy)))
+    return data
+
+
+def test_places_are_not_listed_again_and_again(spark, monkeypatch):
+    rows_of, table = [], near_dedup.table
+
+    def counted(df, *args, **more):
+        out = table(df, *args, **more)
+        rows_of.extend([out.count()] if {"band", "doc"} <= set(out.columns) else [])
+        return out
+
+    monkeypatch.setattr(near_dedup, "table", counted)
+    data = stragglers()
+    got = rows(near_dedup.near_duplicates(docs(spark, data)), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == sorted(brute_force(data), key=repr)
+    assert sum(rows_of) < 5 * max(rows_of)
+
+
+@pytest.mark.parametrize("head", [64, 3])
+def test_hubs_are_tried_by_documents_that_may_be_linked(spark, monkeypatch, head):
+    pairs_of, verified = [], near_dedup._verified
+
+    def counted(pairs, sets, percent):
+        pairs_of.append(pairs.count())
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(near_dedup, "_verified", counted)
+    monkeypatch.setattr(near_dedup, "HEAD", head, raising=False)
+    data = stragglers()
+    got = rows(near_dedup.near_duplicates(docs(spark, data)), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == sorted(brute_force(data), key=repr)
+    *tries, _ = pairs_of
+    assert 0 < sum(tries) < len(data)
