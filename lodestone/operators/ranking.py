@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestone.functions.stemming import lexeme_counts
 from lodestone.functions.text import tokens
@@ -175,18 +176,79 @@ def answered(questions: DataFrame, hits: DataFrame, state: DataFrame, strict: bo
     return told.where(F.when(F.col("ready"), True).otherwise(F.raise_error(lacks).cast("boolean")))
 
 
+#: Queries and vectors that meet in one cell, about; vectors that a cell scores at once.
+CELL_QUERIES, CELL_VECTORS, SLICE = 16_384, 32_768, 256
+
+
+def rounded(x: np.ndarray, places: int | None) -> np.ndarray:
+    """Halves away from zero, as SQL rounds; no negative zeros."""
+    return x if places is None else np.copysign(np.floor(np.abs(x) * 10**places + 0.5) / 10**places, x) + 0.0
+
+
+def _nearest(k: int, places: int | None, schema: pa.Schema):
+    """The k best vectors of each query of a cell, by rounded score and then by id; a NaN is beyond all scores."""
+    unit = 0.0 if places is None else 10.0**-places
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        if not queries.num_rows or not vectors.num_rows:
+            return schema.empty_table()
+        vectors = vectors.take(pc.sort_indices(vectors, sort_keys=[("vec_id", "ascending")], null_placement="at_start"))
+
+        def units(of: pa.ChunkedArray) -> np.ndarray:
+            m = pc.list_flatten(of).to_numpy().astype(np.float64).reshape(len(of), -1)
+            return m / np.sqrt((m * m).sum(axis=1))[:, None]
+
+        with np.errstate(invalid="ignore", over="ignore"):
+            asked = units(queries["q"])
+            least, held, new = np.full(len(asked), -np.inf), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+
+            def pruned() -> tuple[np.ndarray, ...]:
+                q, v, s = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.lexsort((v, -s, q))
+                q, v, s = q[order], v[order], s[order]
+                begin = np.flatnonzero(np.diff(q, prepend=-1))
+                nth = np.arange(len(q)) - np.repeat(begin, np.diff(begin, append=len(q)))
+                least[q[nth == k - 1]] = s[nth == k - 1]
+                return q[nth < k], v[nth < k], s[nth < k]
+
+            for at in range(0, vectors.num_rows, SLICE):
+                score = asked @ units(vectors["embedding"].slice(at, SLICE)).T
+                score[np.isnan(score)] = np.inf
+                # what came before has lower ids, so a score that only ties with the k-th is no better; unrounded, half a unit is less
+                low = least + 0.4 * unit
+                if score.shape[1] > k and not np.isfinite(low).all():
+                    low = np.where(np.isfinite(low), low, np.partition(score, -k, axis=1)[:, -k] - unit)
+                q, v = np.nonzero(score >= low[:, None])
+                held.append((q, v + at, rounded(score[q, v], places)))
+                new += len(q)
+                if new > len(asked) * k // 2:
+                    held[:], new = [pruned()], 0
+            q, v, s = pruned()
+        return pa.table([queries["query_id"].take(pa.array(q)), vectors["vec_id"].take(pa.array(v)), pa.array(np.where(np.isinf(s), np.nan, s))], schema=schema)
+
+    return run
+
+
 def cosine_search(queries: DataFrame, vectors: DataFrame, k: int, places: int | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest vectors of each query by exact cosine, ties by id.
 
-    queries (query_id, embedding) is a stated query set held against all vectors. Each side is normed once. Scores are rounded
-    to `places`, if given, before they are ranked, so that what ties then is ranked by id.
+    queries (query_id, embedding) is a stated query set held against all vectors. Scores are rounded to `places`, if given, before
+    they are ranked, so that what ties then is ranked by id. Either side is dealt by its ids, and each deal of queries meets each
+    deal of vectors in a cell, whose size doesn't grow: it multiplies matrices and passes on its own k best of each query, which
+    hold the best of all. Work is the product of both sides' sizes, as every pair is scored.
     """
-    unit = lambda df: df.withColumn("norm", norm(F.col("embedding"))).where("norm > 0")
-    q = unit(queries).select("query_id", F.col("embedding").alias("q"), F.col("norm").alias("q_norm"))
-    pairs = unit(vectors).join(F.broadcast(q), F.size("embedding") == F.size("q"))
-    product = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    score = product / (F.col("norm") * F.col("q_norm"))
-    return top_k(pairs.select("query_id", "vec_id", (score if places is None else F.round(score, places)).alias("score")), k, "vec_id")
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = dict(queries.select("query_id").dtypes) | dict(vectors.select("vec_id").dtypes)
+    unit = lambda df: df.withColumn("dim", F.size("embedding")).where(norm(F.col("embedding")) > 0)
+    asked_deals, vector_deals = 1 + queries.count() // CELL_QUERIES, 1 + vectors.count() // CELL_VECTORS
+    deal = lambda c, deals: F.pmod(F.xxhash64(c), F.lit(deals))
+    each = lambda deals: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deals - 1).cast("long")))
+    q = unit(queries).select("query_id", F.col("embedding").alias("q"), "dim", deal("query_id", asked_deals).alias("a")).withColumn("b", each(vector_deals))
+    v = unit(vectors).select("vec_id", "embedding", "dim", deal("vec_id", vector_deals).alias("b")).withColumn("a", each(asked_deals))
+    cells = [df.repartition(n, "dim", "a", "b").groupBy("dim", "a", "b") for df in (q, v)]
+    told = f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, score double"
+    schema = to_arrow_schema(queries.select("query_id").schema.add("vec_id", vectors.schema["vec_id"].dataType).add("score", "double"))
+    return top_k(cells[0].cogroup(cells[1]).applyInArrow(_nearest(k, places, schema), told), k, "vec_id")
 
 
 def top_k(scored: DataFrame, k: int, *ties: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """What grows with the tables: no group in one task, no pairs in a shuffle, and the same results."""
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import parsing
+from lodestone.operators import parsing, ranking
 
 
 def test_overlapping_deals_one_block_to_several_tasks(spark):
@@ -18,3 +21,24 @@ def test_overlapping_deals_one_block_to_several_tasks(spark):
                 want[i] = want.get(i, 0) + 1
     told = got.groupBy("b_id").agg(F.count("a_id").alias("n"), F.sum("a_id").alias("sum"), F.count_distinct("task").alias("tasks")).collect()
     assert {r.b_id: r.n for r in told} == want and all(r.tasks > 1 for r in told if r.b_id != 4)
+
+
+def test_cosine_search_by_cells_ranks_as_one(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    for name, value in (("CELL_QUERIES", 7), ("CELL_VECTORS", 40), ("SLICE", 16)):
+        monkeypatch.setattr(ranking, name, value)
+    m = rng.integers(-2, 3, (300, 4)).astype(float)  # many ties, some zero vectors
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(m)] + [(1000 + k, [1.0, float(k)]) for k in range(5)]
+    v = spark.createDataFrame([*rows, (2000, None), (2001, [float("nan")] * 2)], "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 3 = 0 AND vec_id < 2000").withColumnRenamed("vec_id", "query_id")
+    found = ranking.cosine_search(q, v, 5, 9)
+    plan = found._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan and "BroadcastHashJoin" not in plan
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found.collect()}
+    want = {}
+    for a, x in rows:
+        if a % 3 == 0 and any(x):
+            near = [(-round(math.sumprod(x, y) / (math.hypot(*x) * math.hypot(*y)), 9), b) for b, y in rows if len(x) == len(y) and any(y)]
+            near += [(-math.inf, 2001)] * (len(x) == 2)
+            want |= {(a, n): (b, -s) for n, (s, b) in enumerate(sorted(near)[:5], 1)}
+    assert {k: (b, math.inf if s != s else s) for k, (b, s) in got.items()} == {k: (b, s + 0.0) for k, (b, s) in want.items()}
