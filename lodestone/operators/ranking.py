@@ -37,7 +37,7 @@ def bm25(questions: DataFrame, postings: DataFrame, k1: float = 1.2, b: float =
     they aren't given they are summed over all postings. Statistics per language are a few rows.
     """
     check_bm25(k1, b, variant)
-    asked = questions.select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("lexeme"))
+    asked = questions.select("query_id", F.explode(tokens(F.col("question"))).alias("lexeme")).distinct()
     lengths = indexing.lengths(postings) if lengths is None else lengths
     met = postings.join(asked.select("lexeme").distinct(), "lexeme", "left_semi")
     hits = met.join(asked, "lexeme").join(indexing.document_frequency(met), ["language", "lexeme"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.spans import covered
-from lodestone.operators import catalog, evaluation, indexing, parsing, ranking, usage
+from lodestone.operators import catalog, evaluation, indexing, parsing, ranking, scans, usage
 from lodestone.sources import views
 from lodestone.streaming import streams
 
@@ -63,9 +63,13 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
     return views.read(spark, d, "events").select("event_id", "ts", "user_id", "event_type", F.round("value", 4).cast("decimal(18,4)").alias("cost"), k.alias("tokens"))
 
 
+def ranked(spark: SparkSession, d: str, lanes: dict[str, str], k: int) -> DataFrame:
+    texts = views.read(spark, d, "documents").select("doc_id", F.col("lang").alias("language"), "text")
+    return scans.ranked(views.questions(spark, d), texts, lanes, k)
+
+
 def bm25_hits(spark: SparkSession, d: str, k: int, variant: str = "lucene") -> DataFrame:
-    scored = ranking.bm25(views.questions(spark, d), views.postings(spark, d), variant=variant, lengths=views.lengths(spark, d)).withColumn("score", F.round("score", 6))
-    return ranking.top_k(scored, k, "doc_id")
+    return ranked(spark, d, {variant: variant}, k).drop("lane")
 
 
 # --- index -------------------------------------------------------------------------------------------------------

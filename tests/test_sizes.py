@@ -1,11 +1,14 @@
 """What grows with the tables: no group in one task, no pairs in a shuffle, and the same results."""
 
 import math
+import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import parsing, ranking
+from lodestone.operators import parsing, ranking, scans
+from lodestone.plans.filing_queries import QUERIES
 
 
 def test_overlapping_deals_one_block_to_several_tasks(spark):
@@ -42,3 +45,36 @@ def test_cosine_search_by_cells_ranks_as_one(spark, monkeypatch):
             near += [(-math.inf, 2001)] * (len(x) == 2)
             want |= {(a, n): (b, -s) for n, (s, b) in enumerate(sorted(near)[:5], 1)}
     assert {k: (b, math.inf if s != s else s) for k, (b, s) in got.items()} == {k: (b, s + 0.0) for k, (b, s) in want.items()}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(name, spark):
+    return QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["ref_bm25_robertson"])
+def test_hits_come_from_scans_that_shuffle_no_token(spark, name):
+    assert "regexp_extract_all" not in plan(name, spark)
+
+
+def test_ranked_scans_equal_joins_of_postings(spark, monkeypatch):
+    rng = random.Random(11)
+    words = ["alpha", "Beta", "gamma", "été", "ñandú", "7", "한국", "delta"]
+    said = lambda most: rng.choice((" ", "\n", "; ")).join(rng.choice(words) for _ in range(rng.randrange(most)))
+    docs = [(k, rng.choice(("en", "de", None)), said(30)) for k in range(150)] + [(k % 9, rng.choice(("en", "de")), said(12)) for k in range(20)]
+    docs += [(None, "en", " ".join(words)), (None, "de", "7 7"), (500, "en", None), (501, "de", "!?"), (502, None, "gamma delta")]
+    asked = [(k, said(6)) for k in range(12)] + [(3, "delta alpha alpha"), (50, None), (51, "nowhere")]
+    texts, questions = spark.createDataFrame(docs, "doc_id long, language string, text string").repartition(3), spark.createDataFrame(asked, "query_id int, question string")
+    lanes = {"a": "lucene", "b": "robertson", "c": "overlap"}
+    told = lambda: {(r.query_id, r.lane, r["rank"]): (r.doc_id, round(r.score, 6)) for r in scans.ranked(questions, texts, lanes, 6).collect()}
+    got = told()
+    for name, value in (("PAIRS", 9), ("SCORES", 40)):
+        monkeypatch.setattr(scans, name, value)
+    small = told()
+    monkeypatch.setattr(scans, "FEW_IDS", 2)
+    many = told()
+    monkeypatch.setattr(ranking, "FEW_ASKED", 0)
+    assert got == small == many == told() and {lane for _, lane, _ in got} == set(lanes)
+    assert any(d is None for d, _ in got.values()) and len({d for d, _ in got.values() if d is not None and d < 9}) > 3
