@@ -161,11 +161,7 @@ lanes AS (SELECT query_id, 'bm25' AS lane, doc_id, rank FROM bm UNION ALL SELECT
 
 
 def lanes(spark, d):
-    q = views.questions(spark, d)
-    asked = q.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("lexeme"))
-    shared = views.postings(spark, d).join(asked, "lexeme").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
-    lane = lambda hits, name: hits.select("query_id", F.lit(name).alias("lane"), "doc_id", "rank")
-    return lane(bm25_hits(spark, d, 20), "bm25").unionByName(lane(ranking.top_k(shared, 20, "doc_id"), "overlap"))
+    return ranked(spark, d, {"bm25": "lucene", "overlap": "overlap"}, 20).drop("score")
 
 
 FUSED = """fused AS (
