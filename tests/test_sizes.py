@@ -54,7 +54,7 @@ def plan(name, spark):
     return QUERIES[name](spark, SF)._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["ref_bm25_robertson", "ref_component_ranks"])
+@pytest.mark.parametrize("name", ["ref_bm25_robertson", "ref_component_ranks", "ref_hybrid_fusion"])
 def test_hits_come_from_scans_that_shuffle_no_token(spark, name):
     assert "regexp_extract_all" not in plan(name, spark)
 
