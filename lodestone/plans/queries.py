@@ -233,7 +233,8 @@ def gold(spark, d):
 
 
 def span_hits(spark, d):
-    return bm25_hits(spark, d, 10).join(views.chunks(spark, d).groupBy("doc_id").agg(F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char")), "doc_id")
+    hits = bm25_hits(spark, d, 10)
+    return hits.join(views.chunks(spark, d, hits).groupBy("doc_id").agg(F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char")), "doc_id")
 
 
 @query(f"WITH {GOLD} SELECT query_id, doc_id, start_char, end_char, gold_no FROM gold")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import passages
 from lodestone.functions.text import tokens
 
 
@@ -27,12 +28,15 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def chunks(spark: SparkSession, path: str) -> DataFrame:
+def chunks(spark: SparkSession, path: str, only: DataFrame | None = None) -> DataFrame:
     """One chunk a line that isn't blank: (doc_id, line_no, start_char, end_char, body, language), spans half-open in code points.
 
     The offset of a line is what the lines before it take, which a fold over the text's own lines gives without a shuffle.
+    only: a few (doc_id) whose documents alone are read.
     """
-    d = read(spark, path, "documents").select("doc_id", F.col("lang").alias("language"), F.split("text", "\n").alias("lines"))
+    d = read(spark, path, "documents")
+    d = d if only is None else d.join(F.broadcast(only.select("doc_id").distinct()), "doc_id", "left_semi")
+    d = d.select("doc_id", F.col("lang").alias("language"), F.split("text", "\n").alias("lines"))
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<line_no:int,start_char:bigint,body:string>>").alias("out"))
 
     def step(acc, line):
@@ -63,10 +67,7 @@ def gold(spark: SparkSession, path: str) -> DataFrame:
     The passages are a stated query set, held against all texts in one pass.
     """
     d, b = read(spark, path, "documents"), read(spark, path, "benchmark")
-    q = b.select("item_id", F.col("text").alias("passage"))
-    hit = d.join(F.broadcast(q), F.contains("text", "passage"))
-    start = F.expr("locate(passage, text)") - 1
-    return hit.select("item_id", "doc_id", start.cast("long").alias("start_char"), (start + F.length("passage")).cast("long").alias("end_char"))
+    return passages.found(d, b.select("item_id", F.col("text").alias("passage")))
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:

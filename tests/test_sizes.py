@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import passages
 from lodestone.operators import parsing, ranking, scans
 from lodestone.plans.filing_queries import QUERIES
 
@@ -78,3 +79,21 @@ def test_ranked_scans_equal_joins_of_postings(spark, monkeypatch):
     monkeypatch.setattr(ranking, "FEW_ASKED", 0)
     assert got == small == many == told() and {lane for _, lane, _ in got} == set(lanes)
     assert any(d is None for d, _ in got.values()) and len({d for d, _ in got.values() if d is not None and d < 9}) > 3
+
+
+def test_passages_are_found_where_contains_finds_them(spark):
+    rng = random.Random(3)
+    said = lambda n: "".join(rng.choice("aabbcé한😀 ") for _ in range(n))
+    docs = [(k, said(rng.randrange(400))) for k in range(80)] + [(80, None), (81, ""), (81, "한국어 abcabcabc"), (None, "xyz abcabcabc"), (82, "abcabca"), (83, "bc")]
+    held = [docs[k][1][s : s + n] for k in range(0, 60, 3) for s, n in ((5, 12), (0, 60), (50, 3))]
+    asked = [(k, p) for k, p in enumerate([*held, held[1], "", "a", "abcabcabc", "abcabcabcabc", None])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(asked, "item_id long, passage string")
+    found = passages.found(d, b)
+    want = sorted(((i, k, t.find(p), t.find(p) + len(p)) for k, t in docs if t is not None for i, p in asked if p is not None and p in t), key=str)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == want and len(want) > 300
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["ref_case_scores"])
+def test_gold_is_found_in_one_pass(spark, name):
+    assert "regexp_extract_all" not in (told := plan(name, spark)) and "NestedLoop" not in told and "contains(" not in told
