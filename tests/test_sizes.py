@@ -94,6 +94,6 @@ def test_passages_are_found_where_contains_finds_them(spark):
     assert "MapInArrow" in found._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["ref_case_scores", "ref_suite_metrics"])
+@pytest.mark.parametrize("name", ["ref_case_scores", "ref_suite_metrics", "ref_category_metrics"])
 def test_gold_is_found_in_one_pass(spark, name):
     assert "regexp_extract_all" not in (told := plan(name, spark)) and "NestedLoop" not in told and "contains(" not in told
