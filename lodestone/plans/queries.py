@@ -221,7 +221,8 @@ def listed(ids: str):
 
 @query(f"WITH {BM25.format(idf=LUCENE, k=10)}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(sum({ROBERTSON} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM posting JOIN asked USING (lexeme) JOIN freq USING (language, lexeme) JOIN len USING (doc_id, language) JOIN stat USING (language) GROUP BY ALL)) SELECT query_id, doc_id, CASE WHEN b.rank IS NULL THEN 'miss_to_hit' WHEN a.rank IS NULL THEN 'hit_to_miss' ELSE 'stable_hit' END AS change, b.rank - a.rank AS delta FROM bm b FULL JOIN (SELECT * FROM r WHERE rank <= 10) a USING (query_id, doc_id)")
 def ref_rank_transitions(spark, d):
-    return ranking.transitions(bm25_hits(spark, d, 10), bm25_hits(spark, d, 10, "robertson"))
+    both = ranked(spark, d, {"before": "lucene", "after": "robertson"}, 10)
+    return ranking.transitions(both.where("lane = 'before'"), both.where("lane = 'after'"))
 
 
 # --- evaluation --------------------------------------------------------------------------------------------------
