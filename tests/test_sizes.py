@@ -55,7 +55,7 @@ def plan(name, spark):
     return QUERIES[name](spark, SF)._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["ref_bm25_robertson", "ref_component_ranks", "ref_hybrid_fusion", "ref_grades", "ref_rank_transitions"])
+@pytest.mark.parametrize("name", ["ref_bm25_robertson", "ref_component_ranks", "ref_hybrid_fusion", "ref_grades", "ref_rank_transitions", "ref_budgeted_fill"])
 def test_hits_come_from_scans_that_shuffle_no_token(spark, name):
     assert "regexp_extract_all" not in plan(name, spark)
 
