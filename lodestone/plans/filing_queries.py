@@ -444,12 +444,16 @@ def ref_grids(spark, d):
     cell = lambda k, text, start, end, across=1, align=None: F.struct(F.lit(k).alias("cell_no"), text.alias("text"), F.lit(1).alias("rowspan"), F.lit(across).alias("colspan"), F.lit(align).cast("string").alias("align"), start.cast("long").alias("start_char"), end.cast("long").alias("end_char"))
     texts = (F.concat(F.lit("L"), F.col("line_no").cast("string")), F.when(l % 2 == 0, "$").otherwise("€"), l.cast("string"), (l % 100).cast("string"), F.when(l % 5 > 0, "%").otherwise(""))
     body = lines.select("doc_id", (F.col("line_no") + 2).alias("row_no"), F.explode(F.array(*(cell(k, t, at, at + k + 1) for k, t in enumerate(texts)))).alias("c"))
-    docs = lines.select("doc_id").distinct()
-    heads = F.explode(F.array(cell(0, F.lit(""), F.lit(0), F.lit(1)), cell(1, F.lit("Amount"), F.lit(1), F.lit(2), 2, "right"), cell(2, F.lit("Share of all"), F.lit(2), F.lit(3), 2))).alias("c")
-    notes = F.explode(F.array(cell(0, F.lit("(단위 : 원)"), F.lit(3), F.lit(4), 4), cell(1, F.lit("(기준일 : 2024년 3월 1일)"), F.lit(5), F.lit(6)))).alias("c")
-    cells = body.unionByName(docs.select("doc_id", F.lit(1).alias("row_no"), heads)).unionByName(docs.where("doc_id % 3 = 0").select("doc_id", F.lit(0).alias("row_no"), notes))
-    own, captions = grids.structured(cells.select("doc_id", "row_no", "c.*"), ["doc_id"])
+    docs = views.read(spark, d, "documents").where(F.exists(F.split("text", "\n"), lambda x: F.trim(x) != "")).select("doc_id").distinct()
+    heads = F.array(cell(0, F.lit(""), F.lit(0), F.lit(1)), cell(1, F.lit("Amount"), F.lit(1), F.lit(2), 2, "right"), cell(2, F.lit("Share of all"), F.lit(2), F.lit(3), 2))
+    notes = F.array(cell(0, F.lit("(단위 : 원)"), F.lit(3), F.lit(4), 4), cell(1, F.lit("(기준일 : 2024년 3월 1일)"), F.lit(5), F.lit(6)))
+    above = F.array(F.struct(F.lit(1).alias("row_no"), heads.alias("cells")), F.struct(F.lit(0).alias("row_no"), F.when(F.col("doc_id") % 3 == 0, notes).alias("cells")))
+    cells = body.unionByName(docs.select("doc_id", F.inline(above)).select("doc_id", "row_no", F.explode("cells").alias("c")))
+    told = grids.told(cells.select("doc_id", "row_no", "c.*"), ["doc_id"])
     spans = F.array_join(F.transform("sources", lambda s: F.concat_ws("-", s["start_char"].cast("string"), s["end_char"].cast("string"))), ",")
-    first = F.col("captions")[0]
-    above = captions.select("doc_id", F.lit(-1).alias("row_no"), F.lit(0).alias("col"), F.lit(True).alias("header"), F.array_join(F.col("captions.text"), " ").alias("text"), F.concat_ws("-", first["start_char"].cast("string"), first["end_char"].cast("string")).alias("sources"))
-    return own.select("doc_id", "row_no", "col", "header", "text", spans.alias("sources")).unionByName(above)
+    first, noted = F.get("captions", F.lit(0)), F.col("row_no").isNull()
+    of_first = F.concat_ws("-", first["start_char"].cast("string"), first["end_char"].cast("string"))
+    return told.select(
+        "doc_id", F.coalesce("row_no", F.lit(-1)).alias("row_no"), F.coalesce("col", F.lit(0)).alias("col"), F.coalesce("header", F.lit(True)).alias("header"),
+        F.when(noted, F.array_join(F.col("captions.text"), " ")).otherwise(F.col("text")).alias("text"), F.when(noted, of_first).otherwise(spans).alias("sources"),
+    )

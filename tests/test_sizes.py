@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import passages
-from lodestone.operators import parsing, ranking, scans
+from lodestone.operators import grids, parsing, ranking, scans
 from lodestone.plans.filing_queries import QUERIES
 
 
@@ -97,3 +97,15 @@ def test_passages_are_found_where_contains_finds_them(spark):
 @pytest.mark.parametrize("name", ["ref_case_scores", "ref_suite_metrics", "ref_category_metrics"])
 def test_gold_is_found_in_one_pass(spark, name):
     assert "regexp_extract_all" not in (told := plan(name, spark)) and "NestedLoop" not in told and "contains(" not in told
+
+
+def test_grids_shuffle_a_tables_cells_once(spark):
+    spans = "doc_id int, row_no int, cell_no int, text string, rowspan int, colspan int, align string, start_char long, end_char long"
+    cells = [(1, 0, 0, "(단위 : 원)", 1, 2, None, 0, 9), (1, 1, 0, "Year\n", 1, 1, None, 10, 14), (1, 1, 1, "2024\n", 0, None, None, 15, 19), (1, 2, 0, "Sales", 1, 1, None, 20, None), (1, 2, 1, "5\n", 1, 5000, "x", 26, 27), (1, None, 0, "lost", 1, 1, None, 0, 1), (2, 0, 0, " ", 1, 1, None, 0, 1)]
+    own, notes = grids.structured(spark.createDataFrame(cells, spans), ["doc_id"])
+    for df in (own, notes):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r.row_no, r.col, r.header, r.text, [tuple(s) for s in r.sources]) for r in own.collect()) == [
+        (1, 0, True, "Year\n", [(10, 14)]), (1, 1, True, "2024\n", [(15, 19)]), (2, 0, False, "Sales", [(20, None)]), (2, 1, False, "5\n", [(26, 27)]),
+    ]
+    assert [(r.doc_id, [tuple(c) for c in r.captions]) for r in notes.collect()] == [(1, [("(단위 : 원)", 0, 9)])]
